@@ -102,9 +102,9 @@ def contains_any(text: Column, markers) -> Column:
 
 def human_size(size: Column) -> Column:
     value = size.cast("double")
-    shown = F.format_string("%.1f TiB", value / 1024**4)
+    shown = F.format_string("%.1f TiB", F.bround(value / 1024**4, 1))
     for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
-        scaled = value / 1024**power
+        scaled = F.bround(value / 1024**power, 1)
         shown = F.when(value < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", scaled)).otherwise(shown)
     return F.when(value < 1024, F.format_string("%d B", size.cast("long"))).otherwise(shown)
 

@@ -67,11 +67,11 @@ pg AS (
 
 LINE_PAGES = """
 doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-doc_parts AS (SELECT doc_id, lines, unnest(range((len(lines) - 1) // 20 + 1)) AS at FROM doc_lines),
+doc_parts AS (SELECT doc_id, lines, unnest(range((len(lines) - 1) // 20 + 1)) AS nr FROM doc_lines),
 pg AS (
-  SELECT doc_id * 100000 + at + 1 AS id, doc_id AS document_id, at + 1 AS page_number,
-    array_to_string(lines[at * 20 + 1 : at * 20 + 20], chr(10)) AS text,
-    length(array_to_string(lines[at * 20 + 1 : at * 20 + 20], chr(10))) AS text_length
+  SELECT doc_id * 100000 + nr + 1 AS id, doc_id AS document_id, nr + 1 AS page_number,
+    array_to_string(lines[nr * 20 + 1 : nr * 20 + 20], chr(10)) AS text,
+    length(array_to_string(lines[nr * 20 + 1 : nr * 20 + 20], chr(10))) AS text_length
   FROM doc_parts)"""
 
 POINT_PAGES = """
@@ -87,7 +87,7 @@ pg AS (
 SECTIONS = f"""
 starts AS (
   SELECT doc_id, i, coalesce(sum(length(line) + 1) OVER (
-      PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+      PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
     i < n OR {strip("substring(line, length(i || '. ') + 1)")} <> '' AS is_point
   FROM doc_lines),
 point_counts AS (SELECT doc_id AS document_id, count(*) AS points FROM starts WHERE is_point GROUP BY doc_id),
@@ -216,10 +216,10 @@ PHRASE_QUERIES = (
 )
 UNITS = f"""
 raw_tokens AS (
-  SELECT query_id, unnest(found) AS token, generate_subscripts(found, 1) AS at
+  SELECT query_id, unnest(found) AS token, generate_subscripts(found, 1) AS nr
   FROM (SELECT query_id, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+') AS found FROM qs)),
 units AS (
-  SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY min(at)) - 1 AS position,
+  SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY min(nr)) - 1 AS position,
     {tokens("token")} AS words
   FROM raw_tokens WHERE length(token) >= 2 GROUP BY query_id, token)"""
 

@@ -10,13 +10,13 @@ SAMPLE_PACK = RulePack(
         ("order", r"^7\d*\.txt"),
         ("scheme", r"src1\d"),
         ("report", r"licen[sc]e"),
-        ("letter", r"\bthe\b"),
-        ("law", r"\bavec\b|\bder\b"),
+        ("letter", r"\sthe\s"),
+        ("law", r"avec\s|\sder\s"),
     ),
     content_categories=(
         ("reference", r"released\s+under|licensed\s+under"),
-        ("training", r"\bwith\b"),
-        ("legal_policy", r"\bund\b|\bpour\b"),
+        ("training", r"\swith\s"),
+        ("legal_policy", r"schaft|ciones"),
     ),
     document_numbers=(r"\bversion\s+(\d+)", r"\b(\d{3}[-–]\d{2,})\b", r"\b(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d"),
     organizations=(("Public licence", r"general\s+public"), ("Institute", r"\bmit\s+license"), ("List", r"\|")),
@@ -24,7 +24,7 @@ SAMPLE_PACK = RulePack(
 SAMPLE_MARKERS = {"thinking": ("license", "hahaha"), "foreign": ("schaft", "ñue ")}
 PROFILE_MARKERS = {
     **MARKERS,
-    "section": r"(?iU)\bthe\b",
+    "section": r"(?iU)\sthe\s",
     "chapter": r"(?iU)\blicense\b",
     "table": r"(?U)\s\|\s",
 }

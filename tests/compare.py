@@ -51,7 +51,13 @@ def check(spark, connection, sf_dir: str, name: str, queries, oracle) -> str | N
     if got != want:
         extra = [row for row in got if row not in set(want)][:2]
         missing = [row for row in want if row not in set(got)][:2]
-        return f"{len(got)} rows != {len(want)} rows\n   extra {extra}\n   missing {missing}"
+        columns = {
+            name
+            for one, two in zip(got, want)
+            for name, left, right in zip(got_columns, one, two)
+            if left != right
+        }
+        return f"{len(got)} rows != {len(want)} rows, {columns}\n   extra {extra}\n   missing {missing}"
     return None if got else "no rows"
 
 
