@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from folioscope.functions.text import strip
 from folioscope.operators.profile import length_stats
-from folioscope.operators.spread import attach, heavy_keys, running
+from folioscope.operators.spread import attach_in_blocks, running
 
 # Document types split at numbered points, and what makes a page structured or a table page.
 POINT_TYPES = ("order", "procedure", "instruction", "doctrine")
@@ -156,60 +156,77 @@ def count_tables(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"(?iU){TABLE_PATTERN}"))
 
 
-def page_source(page_limit: int = ChunkOptions.page_limit) -> Column:
+def _candidates(pages: DataFrame, options: ChunkOptions) -> DataFrame:
+    """Every page with the pieces it may be cut into, found where the page is read.
+
+    Which of them count is known once the page has met its document; by then the text itself is no longer carried.
+    """
+    text = F.coalesce("text", F.lit(""))
+    measured = pages.select(
+        F.col("id").alias("page_id"),
+        "document_id",
+        "page_number",
+        text.alias("text"),
+        strip(text).alias("clean"),
+        (F.col("text_length") <= options.page_limit).alias("fits"),
+        (count_points(text) >= MIN_POINTS).alias("has_points"),
+        (count_tables(text) >= MIN_TABLES).alias("has_tables"),
+    )
+    whole = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("clean").alias("text"))
+    return measured.select(
+        "page_id",
+        "document_id",
+        "page_number",
+        "fits",
+        "has_points",
+        "has_tables",
+        F.length("clean").alias("clean_length"),
+        F.when(F.col("fits"), F.array(whole)).alias("whole"),
+        point_pieces(F.when(F.col("has_points"), F.col("text")), options).alias("by_points"),
+        long_text_pieces(F.when(~F.col("fits"), F.col("text")), options).alias("by_length"),
+    )
+
+
+def page_source() -> Column:
     """How a page is chunked: structure, table_page, page or long_page."""
-    points = F.col("document_type").isin(*POINT_TYPES) & (count_points(F.col("text")) >= MIN_POINTS)
-    fits = F.col("text_length") <= page_limit
-    tables = (F.col("content_category") == "reference") & (count_tables(F.col("text")) >= MIN_TABLES)
+    points = F.col("document_type").isin(*POINT_TYPES) & F.col("has_points")
+    tables = (F.col("content_category") == "reference") & F.col("has_tables")
     return (
-        F.when(points, "structure").when(tables & fits, "table_page").when(fits, "page").otherwise("long_page")
+        F.when(points, "structure")
+        .when(tables & F.col("fits"), "table_page")
+        .when(F.col("fits"), "page")
+        .otherwise("long_page")
     )
 
 
 def _split_pages(documents: DataFrame, pages: DataFrame, options: ChunkOptions) -> DataFrame:
     """Every page of an eligible document with its pieces and, of its document, how much text there is."""
-    eligible = documents.select(
+    eligible = documents.filter(
+        ~F.coalesce("ocr_required", F.lit(False)) & F.coalesce("has_text", F.lit(False))
+    ).select(
         F.col("id").alias("document_id"),
         F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
         "content_category",
-        "ocr_required",
-        "has_text",
-    ).filter(~F.coalesce("ocr_required", F.lit(False)) & F.coalesce("has_text", F.lit(False)))
-    eligible = eligible.drop("ocr_required", "has_text")
-    narrow = pages.select(
-        F.col("id").alias("page_id"),
-        "document_id",
-        "page_number",
-        F.coalesce("text", F.lit("")).alias("text"),
-        "text_length",
-    )
-    routed = (
-        attach(narrow, eligible, "document_id", ["page_id"], heavy_keys(pages, "document_id"))
-        .filter(F.col("document_type").isNotNull())
-        .withColumn("source_type", page_source(options.page_limit))
-        .withColumn("clean", strip(F.col("text")))
-    )
-
-    def only(source: str) -> Column:
-        return F.when(F.col("source_type") == source, F.col("text"))
-
-    whole = F.struct(
-        F.lit(0).alias("start"), F.length("text").alias("end"), F.col("clean").alias("text")
     )
-    none = F.array().cast(PIECES)
+    source = F.col("source_type")
     pieces = (
-        F.when(F.col("clean") == "", none)
-        .when(F.col("source_type") == "structure", point_pieces(only("structure"), options))
-        .when(F.col("source_type") == "long_page", long_text_pieces(only("long_page"), options))
-        .otherwise(F.array(whole))
+        F.when(F.col("clean_length") == 0, F.array().cast(PIECES))
+        .when(source == "structure", F.col("by_points"))
+        .when(source == "long_page", F.col("by_length"))
+        .otherwise(F.col("whole"))
     )
-    split = routed.select(
-        "document_id",
-        "page_id",
-        "page_number",
-        "source_type",
-        F.length("clean").alias("clean_length"),
-        pieces.alias("pieces"),
+    split = (
+        attach_in_blocks(_candidates(pages, options), eligible, "document_id", "page_number")
+        .withColumn("source_type", page_source())
+        .select(
+            "document_id",
+            "page_id",
+            "page_number",
+            "block",
+            "source_type",
+            "clean_length",
+            pieces.alias("pieces"),
+        )
     )
     is_long = F.size(F.filter("pieces", lambda piece: F.length(piece["text"]) >= options.min_length))
     return running(

@@ -25,6 +25,8 @@ PASS_LIMIT = 200_000
 # Cells of the chunk-by-query score matrix a task fills at a time.
 CELLS = 2_000_000
 SCORE_DIGITS = 10
+# Chunks a task inverts at a time.
+POSTING_ROWS = 2_000
 # Lifts chunks with every unit above all others while a task looks for its leaders; no score comes near it.
 COMPLETE_LIFT = 1e6
 
@@ -84,13 +86,38 @@ def build_index(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in slices(whole, POSTING_ROWS)):
+        lengths = batch["tokens"].value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        terms = batch["tokens"].flatten().dictionary_encode()
+        cell = row * max(1, len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        bounds = np.r_[first, len(cell)]
+        keys = batch.select(KEYS).take(pa.array(row[order[first]]))
+        places = pa.ListArray.from_arrays(
+            pa.array(bounds, pa.int32()), pa.array(position[order], pa.int32())
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                terms.dictionary.take(terms.indices.take(pa.array(order[first]))),
+                *keys.columns,
+                pa.array(np.diff(bounds), pa.int64()),
+                places,
+            ],
+            names=["term", *KEYS, "tf", "positions"],
+        )
+
+
 def postings(index: DataFrame) -> DataFrame:
-    """Inverted form of the index: one row per chunk and term with its frequency and positions."""
-    places = index.select("chunk_id", "document_id", "chunk_index", F.posexplode("tokens").alias("position", "term"))
-    grouped = places.groupBy(*KEYS, "term").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")
-    )
-    return grouped.select("term", *KEYS, "tf", "positions")
+    """Inverted form of the index: one row per chunk and term with its frequency and positions.
+
+    All tokens of a chunk are in one row, so nothing has to be shuffled to group them.
+    """
+    schema = "term string, chunk_id string, document_id long, chunk_index long, tf long, positions array<int>"
+    return index.select(*KEYS, "tokens").mapInArrow(_invert, schema)
 
 
 def term_stats(index: DataFrame) -> DataFrame:

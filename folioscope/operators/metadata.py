@@ -24,6 +24,11 @@ def _joined(*names: str) -> Column:
     return F.concat_ws(" ", *(F.nullif(name, F.lit("")) for name in names))
 
 
+def _matching(text: Column) -> Column:
+    """Normalized text, with the two letters that have another letter's capital written as that letter."""
+    return F.translate(normalize(text), "ſı", "si")
+
+
 def _type_match(pack: RulePack, source: str, text: Column) -> Column:
     match = first_match(pack.document_types, text)
     return F.when(
@@ -36,10 +41,10 @@ def extract_metadata(documents: DataFrame, pack: RulePack = RulePack()) -> DataF
     """``documents`` has id, name, relative_path, folder_category and text_start."""
     texts = documents.select(
         "id",
-        normalize(F.col("name")).alias("name_text"),
-        normalize(F.concat_ws(" ", "relative_path", "folder_category")).alias("path_text"),
+        _matching(F.col("name")).alias("name_text"),
+        _matching(F.concat_ws(" ", "relative_path", "folder_category")).alias("path_text"),
         _joined("name", "relative_path", "folder_category", "text_start").alias("raw"),
-    ).withColumn("text", normalize(F.col("raw")))
+    ).withColumn("text", _matching(F.col("raw")))
     matches = texts.select(
         "id",
         F.coalesce(

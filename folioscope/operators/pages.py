@@ -93,7 +93,8 @@ def extraction_counters(documents: DataFrame, rollup: DataFrame) -> DataFrame:
 def text_start(pages: DataFrame, limit: int = TEXT_START) -> DataFrame:
     """The first ``limit`` characters of a document, its pages joined by a space in page order.
 
-    Only the pages that reach into the limit are joined, each cut to it, so no row grows beyond the limit.
+    Only the pages that reach into the limit are joined, or have the space before them in it, each cut to it; so no
+    row grows far beyond the limit.
     """
     pieces = pages.select(
         "document_id",
@@ -103,7 +104,7 @@ def text_start(pages: DataFrame, limit: int = TEXT_START) -> DataFrame:
     )
     placed = running(pieces, "document_id", "page_number", {"chars": F.col("page_chars") + 1})
     joined = (
-        placed.filter(F.col("chars_before") < limit)
+        placed.filter(F.col("chars_before") <= limit)
         .groupBy("document_id")
         .agg(F.expr("listagg(piece, ' ') WITHIN GROUP (ORDER BY page_number)").alias("text"))
     )

@@ -46,6 +46,21 @@ def attach(
     return joined.select(*rows.columns, *(F.col("partner")[name].alias(name) for name in columns))
 
 
+def block_of(position: str, block: int = BLOCK) -> Column:
+    return F.floor(F.col(position) / block).cast("long")
+
+
+def attach_in_blocks(rows: DataFrame, lookup: DataFrame, key: str, position: str, block: int = BLOCK) -> DataFrame:
+    """Inner join to a table with unique keys, on the key and the block of the row's position.
+
+    No block has more than ``block`` rows, so no key is heavy, and ``running`` works on the result without moving
+    the rows again. The lookup is repeated once per block that occurs.
+    """
+    blocked = rows.withColumn("block", block_of(position, block))
+    occurring = blocked.select(key, "block").distinct()
+    return blocked.join(occurring.join(lookup, key), [key, "block"])
+
+
 def running(
     rows: DataFrame,
     group: str,
@@ -59,7 +74,7 @@ def running(
     no task holds a whole group; only groups that reach beyond their first block need the totals of their blocks,
     which are ``block`` times fewer narrow rows.
     """
-    blocked = rows.withColumn("block", F.floor(F.col(position) / block).cast("long"))
+    blocked = rows if "block" in rows.columns else rows.withColumn("block", block_of(position, block))
     for name, value in values.items():
         blocked = blocked.withColumn(name, value)
     long_groups = (

@@ -18,13 +18,19 @@ MODEL = "m0"
 LINES_PER_PAGE = 20
 EXTENSIONS = ("pdf", "docx", "doc", "txt")
 TYPES = ("order", "procedure", "training_manual", "standard_or_norms", "list")
-SHINGLE = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in at least as many parts as there are cores; a table of many files stays as it is read."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _by_remainder(column, values):
     choices = F.array(*(F.lit(value) for value in values))
     return F.element_at(choices, (F.pmod(column, F.lit(len(values))) + 1).cast("int"))
@@ -82,13 +88,13 @@ def _pages(rows: DataFrame) -> DataFrame:
 
 def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return _pages(docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text"))
 
 
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for every 20 lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = texts(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
     last = ((F.size("lines") - 1) / LINES_PER_PAGE).cast("int")
     pages = F.transform(
         F.sequence(F.lit(0), last),
@@ -100,7 +106,7 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per document with its lines as numbered points."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = texts(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("lines"))
     numbered = F.transform(
         "lines", lambda line, at: F.concat((at + 1).cast("string"), F.lit(". "), line)
     )
@@ -162,30 +168,19 @@ def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relevant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a passage and a document that contains it.
 
-    A passage is looked up by a run of its inner words, which any text that contains the passage has too; only texts
-    that share the run are compared.
+    A passage is looked up by its longest inner word, which every text that contains the passage has too; only texts
+    with that word are compared.
     """
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     words = index_tokens(F.col("passage"))
-    long_enough = F.when(
-        F.size(words) < SHINGLE + 2, F.raise_error(F.lit("a passage is too short to be looked up"))
-    ).otherwise(F.array_join(F.slice(words, 2, SHINGLE), " "))
-    runs = items.select("item_id", "passage", long_enough.alias("run"))
-    tokens = texts.withColumn("tokens", index_tokens(F.col("text")))
-    last = F.size("tokens") - SHINGLE + 1
-    text_runs = F.when(
-        last >= 1,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                lambda at: F.array_join(F.slice("tokens", at, F.lit(SHINGLE)), " "),
-            )
-        ),
-    )
-    shared = tokens.select("doc_id", F.explode(text_runs).alias("run")).join(runs, "run")
-    pairs = shared.join(texts, "doc_id").filter(F.contains("text", "passage"))
-    return pairs.select("item_id", "doc_id").distinct()
+    inner = F.slice(words, 2, F.size(words) - 2)
+    longest = F.array_max(F.transform(inner, lambda word: F.struct(F.length(word), word.alias("word"))))["word"]
+    checked = F.when(F.size(words) < 3, F.raise_error(F.lit("a passage needs an inner word"))).otherwise(longest)
+    keyed = items.select("item_id", "passage", checked.alias("word"))
+    found = docs.select("doc_id", F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("word"))
+    pairs = found.join(keyed, "word").join(docs, "doc_id").filter(F.contains("text", "passage"))
+    return pairs.select("item_id", "doc_id")
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -629,7 +629,8 @@ def _evaluated(spark, d) -> DataFrame:
     )
     fused = hybrid.fusion.fuse(stored.lexical, stored.semantic, 10)
     rankings = hybrid.Rankings(stored.lexical, stored.semantic, fused)
-    return evaluation.evaluate(_query_set(spark, d), rankings, corpus.documents)
+    test_queries = materialize(_query_set(spark, d), "queries")
+    return evaluation.evaluate(test_queries, rankings, corpus.documents)
 
 
 @register
