@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,32 +109,31 @@ def ignoring_case(pattern: str) -> str:
 def fits(pattern: str, text: Column) -> Column:
     """Whether a pattern occurs in a normalized text.
 
-    Each branch of the pattern that starts with plain letters is tried only on texts that contain these letters; a
-    search for fixed letters costs a fraction of a pattern search, and most texts fit no rule.
+    When every branch of the pattern starts with plain letters, it is tried only on texts that contain one of these
+    starts: a search for fixed letters costs a fraction of a pattern search, and most texts fit no rule.
     """
+    searched = text.rlike(ignoring_case(pattern))
     if "(" in pattern or BAR_IN_CLASS.search(pattern):
-        return text.rlike(ignoring_case(pattern))
-    found = None
+        return searched
+    starts = []
     for branch in BRANCHES.split(pattern):
         start = PLAIN_START.match(branch)
         letters = start.group(1) if start else ""
         if start and branch[start.end() :][:1] in ("*", "?", "{"):
             letters = letters[:-1]
-        searched = text.rlike(ignoring_case(branch))
-        if letters and letters == letters.lower():
-            has_letters = F.contains(text, F.lit(letters))
-            searched = has_letters if branch == letters else has_letters & searched
-        found = searched if found is None else found | searched
-    return found
+        if not letters or letters != letters.lower():
+            return searched
+        starts.append(letters)
+    return reduce(Column.__or__, (F.contains(text, F.lit(letters)) for letters in dict.fromkeys(starts))) & searched
 
 
-def first_match(rules: Sequence[Rule], text: Column) -> Column:
+def first_match(rules: Sequence[Rule], text: Column, note: str = "") -> Column:
     """Struct of ``value`` and ``pattern`` of the first rule that fits the normalized text, else NULL."""
     return F.coalesce(
         *(
             F.when(
                 fits(pattern, text),
-                F.struct(F.lit(value).alias("value"), F.lit(pattern).alias("pattern")),
+                F.struct(F.lit(value).alias("value"), F.lit(note + pattern).alias("pattern")),
             )
             for value, pattern in rules
         )

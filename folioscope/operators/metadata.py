@@ -29,14 +29,6 @@ def _matching(text: Column) -> Column:
     return F.translate(normalize(text), "ſı", "si")
 
 
-def _type_match(pack: RulePack, source: str, text: Column) -> Column:
-    match = first_match(pack.document_types, text)
-    return F.when(
-        match.isNotNull(),
-        F.struct(match["value"].alias("value"), F.concat(F.lit(f"{source}:"), match["pattern"]).alias("pattern")),
-    )
-
-
 def extract_metadata(documents: DataFrame, pack: RulePack = RulePack()) -> DataFrame:
     """``documents`` has id, name, relative_path, folder_category and text_start."""
     texts = documents.select(
@@ -48,9 +40,9 @@ def extract_metadata(documents: DataFrame, pack: RulePack = RulePack()) -> DataF
     matches = texts.select(
         "id",
         F.coalesce(
-            _type_match(pack, "name", F.col("name_text")),
-            _type_match(pack, "path", F.col("path_text")),
-            _type_match(pack, "text", F.col("text")),
+            first_match(pack.document_types, F.col("name_text"), "name:"),
+            first_match(pack.document_types, F.col("path_text"), "path:"),
+            first_match(pack.document_types, F.col("text"), "text:"),
         ).alias("document_type"),
         first_match(pack.content_categories, F.col("text")).alias("content_category"),
         first_group(pack.document_numbers, F.col("raw")).alias("document_number"),
