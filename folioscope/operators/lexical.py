@@ -282,7 +282,31 @@ def _scorer(shared, k: int):
     return score
 
 
-def _search_pass(index: DataFrame, eligible: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+@dataclass(frozen=True)
+class IndexStats:
+    """Stored statistics of an index: ``terms`` from ``term_stats`` and ``corpus`` from ``corpus_stats``."""
+
+    terms: DataFrame
+    corpus: DataFrame
+
+
+def _counted(index: DataFrame, block: QueryBlock, shared) -> dict[int, int]:
+    counted = index.select("tokens", "doc_len").mapInArrow(_unit_counter(shared), "unit long, n long")
+    return {row["unit"]: row["n"] for row in counted.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+
+
+def _looked_up(stats: IndexStats, block: QueryBlock) -> dict[int, int]:
+    spark = stats.terms.sparkSession
+    words = [(unit, block.words[parts[0]]) for unit, parts in enumerate(block.units)]
+    asked = spark.createDataFrame(words, "unit long, term string")
+    found = stats.terms.join(F.broadcast(asked), "term").select("unit", "df").collect()
+    totals = stats.corpus.first()
+    return {row["unit"]: row["df"] for row in found} | {-1: totals["n_chunks"], -2: totals["total_len"]}
+
+
+def _search_pass(
+    index: DataFrame, eligible: DataFrame, queries: DataFrame, k: int, stats: IndexStats | None
+) -> DataFrame:
     spark = index.sparkSession
     rows = query_units(queries).select("query_id", "position", "words").collect()
     block = QueryBlock.of(rows)
@@ -291,8 +315,8 @@ def _search_pass(index: DataFrame, eligible: DataFrame, queries: DataFrame, k: i
         empty = spark.createDataFrame([], BEST_SCHEMA)
         return empty.join(names, "query")
     shared = spark.sparkContext.broadcast(block)
-    counted = index.select("tokens", "doc_len").mapInArrow(_unit_counter(shared), "unit long, n long")
-    counts = {row["unit"]: row["n"] for row in counted.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+    single_words = all(len(words) == 1 for words in block.units)
+    counts = _looked_up(stats, block) if stats and single_words else _counted(index, block, shared)
     n_chunks, tokens = counts.get(-1, 0), counts.get(-2, 0)
     df = np.array([counts.get(unit, 0) for unit in range(len(block.units))], dtype=float)
     idf = np.maximum(np.log((n_chunks - df + 0.5) / (df + 0.5)), 0.0)
@@ -314,11 +338,13 @@ def search(
     document_type: str | None = None,
     content_category: str | None = None,
     chunk_strategy: str | None = None,
+    stats: IndexStats | None = None,
 ) -> DataFrame:
     """Ranked chunks per query: those with every unit, or with any unit where no chunk has them all.
 
-    Filters act before that choice. Term statistics come from the whole index. The index is read twice, so pass
-    one that was written. ``queries`` has query_id and query.
+    Filters act before that choice. Term statistics come from the whole index: from ``stats`` if given, else they
+    are counted in a first pass, as they are when a query holds a phrase. The index is then read twice, so pass one
+    that was written. ``queries`` has query_id and query.
     """
     boost = (
         reference_boost(F.col("document_type"), F.col("content_category")) if prefer_reference else F.lit(0.0)
@@ -329,7 +355,7 @@ def search(
         queries.select("query_id", "query"),
         words + 1,
         PASS_LIMIT,
-        lambda block: _search_pass(index, eligible, block, k),
+        lambda block: _search_pass(index, eligible, block, k, stats),
     )
     order = [F.desc("complete"), F.desc("ranking"), F.asc("document_id"), F.asc("chunk_index")]
     ranked = top_k(scored, ["query_id"], order, k, "rank", ["chunk_id"])

@@ -152,3 +152,13 @@ def test_empty_tables(spark):
     assert lexical.search(index, none).count() == 0
     queries = spark.createDataFrame([(1, "наказ")], "query_id long, query string")
     assert lexical.search(index.filter("false"), queries).count() == 0
+
+
+def test_stored_statistics_give_the_same_scores(spark):
+    docs, chunks = tables(spark, corpus(8, 50))
+    index = lexical.build_index(chunks, docs)
+    stats = lexical.IndexStats(lexical.term_stats(index), lexical.corpus_stats(index))
+    for texts in (["наказ карта", "the grid nowhere"], ["foo_bar the"]):
+        queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+        counted = sorted(map(tuple, lexical.search(index, queries, 9).collect()))
+        assert sorted(map(tuple, lexical.search(index, queries, 9, stats=stats).collect())) == counted

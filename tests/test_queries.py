@@ -1,11 +1,13 @@
 """Every registered query against its SQL, on the smallest of the given tables."""
 
+from functools import cache
 from pathlib import Path
 
 import compare
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from folioscope.plans import fixtures
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the given tables are not here")
@@ -18,6 +20,15 @@ def connection():
     return compare.connect(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def built_once():
+    """The corpus is the same for every query, so the tests build it once."""
+    patch = pytest.MonkeyPatch()
+    patch.setattr(fixtures, "corpus", cache(fixtures.corpus))
+    yield
+    patch.undo()
+
+
 def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
 
