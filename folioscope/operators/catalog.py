@@ -90,13 +90,14 @@ def upsert(
     new_id = F.xxhash64("path") if new_id is None else new_id
     old = existing.select("path", F.struct(*existing.columns).alias("old"))
     new = scanned.withColumn("id", new_id).select("path", F.struct("id", *scanned.columns).alias("new"))
-    scanned_columns = set(scanned.columns)
+    scanned_columns, stored_columns = set(scanned.columns), set(existing.columns)
+    names = [*existing.columns, *(name for name in scanned.columns if name not in stored_columns)]
     known = F.col("old").isNotNull()
     seen = F.col("new").isNotNull()
     changed = known & seen & (F.col("old.sha256") != F.col("new.sha256"))
 
     def merged(name: str) -> Column:
-        before = F.col("old")[name]
+        before = F.col("old")[name] if name in stored_columns else F.lit(None)
         if name in KEPT_COLUMNS or name not in scanned_columns:
             after = F.col("new")[name] if name in scanned_columns or name == "id" else F.lit(None)
             value = F.when(known, before).otherwise(after)
@@ -110,7 +111,7 @@ def upsert(
 
     joined = old.join(new, "path", "full_outer")
     kept = joined.filter(seen | (F.col("old.scan_root") != scan_root))
-    return kept.select(*(merged(name) for name in existing.columns))
+    return kept.select(*(merged(name) for name in names))
 
 
 def vanished(existing: DataFrame, scanned: DataFrame, scan_root: str) -> DataFrame:

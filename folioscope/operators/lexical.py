@@ -190,7 +190,7 @@ class QueryBlock:
         for row in sorted(rows, key=lambda row: (place[row["query_id"]], row["position"])):
             query = place[row["query_id"]]
             block.sizes[query] += 1
-            words = tuple(word_ids.setdefault(word, len(word_ids)) for word in row["words"])
+            words = tuple(word_ids.setdefault(word, len(word_ids)) for word in row["words"] or ())
             if words:
                 unit = unit_ids.setdefault(words, len(unit_ids))
                 if unit == len(block.users):

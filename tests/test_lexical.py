@@ -162,3 +162,10 @@ def test_stored_statistics_give_the_same_scores(spark):
         queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
         counted = sorted(map(tuple, lexical.search(index, queries, 9).collect()))
         assert sorted(map(tuple, lexical.search(index, queries, 9, stats=stats).collect())) == counted
+
+
+def test_query_without_text_finds_nothing(spark):
+    docs, chunks = tables(spark, corpus(9, 10))
+    queries = spark.createDataFrame([(1, None), (2, "наказ")], "query_id long, query string")
+    found = lexical.search(lexical.build_index(chunks, docs), queries, 3)
+    assert {row.query_id for row in found.collect()} <= {2}
