@@ -79,7 +79,7 @@ def main() -> int:
     found, oracle = queries(), oracle_sql()
     print("without SQL:", sorted(set(found) - set(oracle)), "SQL only:", sorted(set(oracle) - set(found)))
     bad = 0
-    for name in names or found:
+    for name in names or oracle:
         started = time.time()
         try:
             problem = check(spark, connection, sf_dir, name, found, oracle)

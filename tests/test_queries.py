@@ -6,8 +6,10 @@ from pathlib import Path
 import compare
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from folioscope.plans import fixtures
+from folioscope.plans.oracle import ORACLE
+from folioscope.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the given tables are not here")
@@ -30,13 +32,13 @@ def built_once():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
-    problem = compare.check(spark, connection, SF_DIR, name, queries(), oracle_sql())
+    problem = compare.check(spark, connection, SF_DIR, name, QUERIES, ORACLE)
     assert problem is None or (problem == "no rows" and name in MAY_BE_EMPTY), problem
 
 
