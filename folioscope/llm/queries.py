@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import jaccard_join, quality_rules
+from folioscope.llm import decontamination, jaccard_join, line_dedup, quality_rules, source_mixing
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": quality_rules.oracle(),
+    "op9_line_dedup": line_dedup.oracle(),
+    "op10_decontamination": decontamination.oracle(),
 }
-ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.oracle()}
