@@ -226,13 +226,15 @@ def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. Measured twice (to fit, to filter) rather than shuffled."""
+    """The rows of ``docs`` that pass, with their columns. Rows are written with their counts, so that texts are
+    measured once; were the filter a plain expression over the texts, it would be measured again for every rule."""
     scratch = Scratch(docs.sparkSession, "quality")
     into = _fresh("counts", docs.columns)
-    model = fit(measured(docs.select("text"), "counts"), "counts", scratch)
+    rows = scratch.write(measured(docs, into), "rows")
+    model = fit(rows, into, scratch)
     counted = F.col(into)
     passed = ~base_failed(counted) & (probability(model, counted) >= least)
-    return measured(docs, into).filter(passed).select(*docs.columns)
+    return rows.filter(passed).select(*docs.columns)
 
 
 def oracle(rounds: int = 20, least: float = 0.5, rules: tuple[Rule, ...] = RULES) -> str:
