@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontamination, jaccard_join, line_dedup, quality_rules, source_mixing
+from folioscope.llm import decontamination, jaccard_join, line_dedup, quality_rules, source_mixing, suffix_dedup
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -34,6 +38,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
