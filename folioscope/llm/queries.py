@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontamination, jaccard_join, line_dedup, quality_rules, source_mixing, suffix_dedup
+from folioscope.llm import (
+    decontamination,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    quality_rules,
+    secret_scan,
+    source_mixing,
+    suffix_dedup,
+)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
 
@@ -38,6 +55,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
+    "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
@@ -45,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
+    "op5_license_scan": license_scan.oracle(),
+    "op6_secret_scan": secret_scan.oracle(),
     "op9_line_dedup": line_dedup.oracle(),
     "op10_decontamination": decontamination.oracle(),
 }
