@@ -11,10 +11,12 @@ from folioscope.llm import (
     jaccard_join,
     license_scan,
     line_dedup,
+    pii_crf,
     quality_rules,
     secret_scan,
     source_mixing,
     suffix_dedup,
+    template_extraction,
 )
 
 
@@ -26,6 +28,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -55,6 +65,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
+    "op3_pii_crf": op3_pii_crf,
+    "op4_template_extraction": op4_template_extraction,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
