@@ -42,21 +42,22 @@ class JoinOptions:
     hubs: int = 8
 
 
-def least_overlap(sizes: np.ndarray, percent: int) -> np.ndarray:
-    return -(-sizes * percent // 100)
+def sketches(elements: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bit set of each set, a row each: an element sets one bit."""
+    bits = np.zeros((len(edges) - 1, SKETCH_BITS), np.uint8)
+    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    bits[owner, (elements >> np.uint64(54)).astype(np.int64) & (SKETCH_BITS - 1)] = 1
+    return np.packbits(bits, axis=1)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Bit set of a set: each element sets one bit."""
-    bits = np.zeros(SKETCH_BITS, np.uint8)
-    bits[(elements >> np.uint64(54)).astype(np.int64) & (SKETCH_BITS - 1)] = 1
-    return np.packbits(bits).view(np.uint64)
-
-
-def digest(elements: np.ndarray) -> tuple[int, int]:
-    one = np.bitwise_xor.reduce(mix(elements ^ np.uint64(0x9E3779B97F4A7C15))) if len(elements) else np.uint64(0)
-    two = np.add.reduce(mix(elements)) if len(elements) else np.uint64(0)
-    return int(one.view(np.int64)), int(two.view(np.int64))
+def digests(elements: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set; 0 for an empty one."""
+    one, two = np.zeros(len(edges) - 1, np.uint64), np.zeros(len(edges) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(edges))
+    if len(some):
+        one[some] = np.bitwise_xor.reduceat(mix(elements ^ np.uint64(0x9E3779B97F4A7C15)), edges[some])
+        two[some] = np.add.reduceat(mix(elements), edges[some])
+    return one.view(np.int64), two.view(np.int64)
 
 
 def _described(width: int):
@@ -64,16 +65,16 @@ def _described(width: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text"):
-                sets = shingle_sets(batch.column("text"), width)
-                digests = [digest(found) for found in sets]
+            for batch in batches_of(whole, "text", 4 << 20):
+                elements, edges = shingle_sets(batch.column("text"), width)
+                one, two = digests(elements, edges)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array([len(found) for found in sets], pa.int64()),
-                        pa.array([one for one, _ in digests], pa.int64()),
-                        pa.array([two for _, two in digests], pa.int64()),
-                        pa.array([sketch(found).tobytes() for found in sets], pa.binary()),
+                        pa.array(np.diff(edges)),
+                        pa.array(one),
+                        pa.array(two),
+                        pa.array([row.tobytes() for row in sketches(elements, edges)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "digest_one", "digest_two", "sketch"],
                 )
@@ -123,10 +124,10 @@ def _counted(width: int, bucket_bits: int, most: int = 1 << 21):
         held, size = [], 0
         for whole in batches:
             for batch in batches_of(whole, "text"):
-                for found in shingle_sets(batch.column("text"), width):
-                    bucket, rest = short_name(found, bucket_bits)
-                    held.append((bucket.astype(np.uint64) << np.uint64(32)) | rest)
-                    size += len(found)
+                found, _ = shingle_sets(batch.column("text"), width)
+                bucket, rest = short_name(found, bucket_bits)
+                held.append((bucket.astype(np.uint64) << np.uint64(32)) | rest)
+                size += len(found)
                 if size >= most:
                     yield flush(held)
                     held, size = [], 0
@@ -197,26 +198,45 @@ def boundary(mean_list: float, options: JoinOptions) -> int:
     """Largest set that enumerates subsets: its subsets must cost no more entries than scanning its lists."""
     size = 0
     for candidate in range(4, 400):
-        prefix = candidate - int(least_overlap(np.array([candidate]), options.percent)[0]) + 1
+        prefix = candidate - -(-candidate * options.percent // 100) + 1
         if (prefix + 1) * prefix // 2 <= prefix * (1 + mean_list):
             size = candidate
     return size
 
 
+class Frequent:
+    """Frequencies of the frequent shingles by short name; 0 for others. A table of marks answers most questions."""
+
+    def __init__(self, names: np.ndarray, frequency: np.ndarray, bucket_bits: int) -> None:
+        self.names, self.frequency, self.bits = names, frequency, bucket_bits
+        self.marks = np.zeros(1 << 22, bool)
+        self.marks[self._mark(names)] = True
+
+    def _mark(self, names: np.ndarray) -> np.ndarray:
+        return (names >> np.uint64(max(0, 32 + self.bits - 22))).astype(np.int64) & ((1 << 22) - 1)
+
+    def weight(self, elements: np.ndarray) -> np.ndarray:
+        bucket, rest = short_name(elements, self.bits)
+        short = (bucket.astype(np.uint64) << np.uint64(32)) | rest
+        weight = np.zeros(len(elements), np.int64)
+        asked = np.flatnonzero(self.marks[self._mark(short)])
+        if len(asked):
+            place = np.minimum(np.searchsorted(self.names, short[asked]), len(self.names) - 1)
+            weight[asked] = np.where(self.names[place] == short[asked], self.frequency[place], 0)
+        return weight
+
+
 def signatures(
-    found: np.ndarray, names: np.ndarray, frequency: np.ndarray, bucket_bits: int, edge: int, percent: int
+    found: np.ndarray, weight: np.ndarray, edge: int, percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of a set, the place of the last element of each in the set's order, and whether all its elements
-    are frequent ones."""
+    are frequent ones. ``weight`` has the frequencies, 0 for elements that are not frequent."""
     size = len(found)
     if size < 4 and percent >= 80:  # can only be equal to another set
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    bucket, rest = short_name(found, bucket_bits)
-    short = (bucket.astype(np.uint64) << np.uint64(32)) | rest
-    place = np.minimum(np.searchsorted(names, short), max(len(names) - 1, 0))
-    weight = np.where(names[place] == short, frequency[place], 0) if len(names) else np.zeros(size, np.int64)
-    prefix = size - int(least_overlap(np.array([size]), percent)[0]) + 1
-    order = np.lexsort((found, weight))[: prefix + 1]
+    prefix = size - -(-size * percent // 100) + 1
+    rare = np.flatnonzero(weight == 0)[: prefix + 1]
+    order = rare if len(rare) > prefix else np.lexsort((found, weight))[: prefix + 1]
     ordered, known = found[order], weight[order] > 0
     alone = size > edge or size * 100 >= percent * (edge + 1)
     made = [mix(ordered[:prefix])] if alone else []
@@ -251,22 +271,24 @@ def _posted(options: JoinOptions, shared, bucket_bits: int, edge: int, most: int
         )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, frequency = shared.value
+        frequent = Frequent(*shared.value, bucket_bits)
         held, count, seen = [], 0, set()
         for whole in batches:
             for batch in batches_of(whole, "text"):
-                for found in shingle_sets(batch.column("text"), options.width):
-                    doc = digest(found)[0]
+                elements, edges = shingle_sets(batch.column("text"), options.width)
+                names, _ = digests(elements, edges)
+                weights = frequent.weight(elements)
+                for doc, begin, end in zip(names.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
                     if doc in seen:
                         continue
                     seen.add(doc)
                     signature, place, heavy = signatures(
-                        found, names, frequency, bucket_bits, edge, options.percent
+                        elements[begin:end], weights[begin:end], edge, options.percent
                     )
                     posted = len(signature)
                     if posted:
                         doc_of = np.full(posted, doc, np.int64)
-                        size_of = np.full(posted, len(found), np.int32)
+                        size_of = np.full(posted, end - begin, np.int32)
                         held.append([signature, doc_of, size_of, place.astype(np.int32), heavy])
                         count += posted
                 if count >= most:
@@ -319,30 +341,30 @@ def popcount(values: np.ndarray) -> np.ndarray:
 
 
 def may_link(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of two blocks of one list may link (rows x columns), and a bound on their distance.
+    """Which pairs may link, and a bound on their distance. The sides' arrays match or broadcast.
 
     Length: the smaller set must have enough elements. Place: if the list's signature is their first common one,
     what follows must be enough; a pair that links passes in the list of its first common signature. Sketch: two sets
     differ in at least as many elements as their sketches differ in bits.
     """
-    one, two = left["size"][:, None].astype(np.int64), right["size"][None, :].astype(np.int64)
+    one, two = left["size"].astype(np.int64), right["size"].astype(np.int64)
     needed = -(-(one + two) * percent // (100 + percent))
     fits = np.minimum(one, two) * 100 >= np.maximum(one, two) * percent
-    fits &= np.minimum(one - left["place"][:, None], two - right["place"][None, :]) + 1 >= needed
-    apart = popcount(left["sketch"][:, None, :] ^ right["sketch"][None, :, :])
+    fits &= np.minimum(one - left["place"], two - right["place"]) + 1 >= needed
+    apart = popcount(left["sketch"] ^ right["sketch"])
     fits &= one + two - apart >= 2 * needed
-    fits &= left["doc"][:, None] != right["doc"][None, :]
+    fits &= left["doc"] != right["doc"]
     return fits, apart
 
 
-def _rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
-    """Runs of equal keys of a sorted partition, as arrays. A run may continue in the next batch."""
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Chunks of a sorted partition that end where a run of equal keys does."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         if held and any(batch.column(k)[0] != held[-1].column(k)[held[-1].num_rows - 1] for k in keys):
-            yield from _runs(pa.Table.from_batches(held), keys)
+            yield pa.Table.from_batches(held)
             held = []
         changes = np.zeros(batch.num_rows - 1, bool)
         for key in keys:
@@ -350,69 +372,86 @@ def _rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
             changes |= column[1:] != column[:-1]
         last = int(np.flatnonzero(changes)[-1]) + 1 if changes.any() else 0
         if last:
-            held.append(batch.slice(0, last))
-            yield from _runs(pa.Table.from_batches(held), keys)
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
             held = []
         held.append(batch.slice(last))
     if held:
-        yield from _runs(pa.Table.from_batches(held), keys)
+        yield pa.Table.from_batches(held)
 
 
-def _runs(table: pa.Table, keys: list[str]) -> Iterator[dict]:
-    columns = {
-        name: (
-            np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-            if name == "sketch"
-            else table.column(name).to_numpy()
-        )
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    def sketch(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+    return {
+        name: sketch(table.column(name)) if name == "sketch" else table.column(name).to_numpy()
         for name in table.column_names
     }
-    changes = np.zeros(table.num_rows - 1, bool)
-    for key in keys:
-        changes |= columns[key][1:] != columns[key][:-1]
-    first = np.flatnonzero(np.append(True, changes))
-    for begin, end in zip(first, np.append(first[1:], table.num_rows)):
-        yield {name: column[begin:end] for name, column in columns.items()}
-
-
-def _pairs_schema(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    one = np.concatenate([row[0] for row in found]) if found else np.zeros(0, np.int64)
-    two = np.concatenate([row[1] for row in found]) if found else np.zeros(0, np.int64)
-    apart = np.concatenate([row[2] for row in found]) if found else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(apart.astype(np.int32))],
-        ["a", "b", "apart"],
-    )
+
+
+def _rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
+    """Runs of equal keys of a sorted partition, as arrays; only runs of several rows and components."""
+    for table in _whole_runs(batches, keys):
+        columns = _columns(table)
+        changes = np.zeros(table.num_rows - 1, bool)
+        for key in keys:
+            changes |= columns[key][1:] != columns[key][:-1]
+        first = np.flatnonzero(np.append(True, changes))
+        least = np.minimum.reduceat(columns["component"], first)
+        apart = np.flatnonzero(least != np.maximum.reduceat(columns["component"], first))
+        ends = np.append(first[1:], table.num_rows)
+        for begin, end in zip(first[apart].tolist(), ends[apart].tolist()):
+            yield {name: column[begin:end] for name, column in columns.items()}
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    one, two = (np.concatenate(side) for side in zip(*found))
+    pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def _stars(percent: int, hubs: int, salt: int):
     """Each document of a list with the nearest of a few hubs of the list that are in another component.
 
-    Hubs have the smallest hash of their id, so lists with much the same documents choose the same hubs.
+    Hubs are the documents with the smallest hash of their id, one a component, so lists with much the same documents
+    choose the same hubs. All lists of a chunk are compared at once, hub by hub.
     """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, count = [], 0
-        for run in _rows(batches, ["signature", "part"]):
-            if len(run["doc"]) < 2:
+    def nearest(rows: dict) -> pa.RecordBatch:
+        count = len(rows["doc"])
+        run = np.cumsum(np.append(True, (np.diff(rows["signature"]) != 0) | (np.diff(rows["part"]) != 0))) - 1
+        rank = mix(rows["doc"].view(np.uint64) + np.uint64(salt))
+        by_component = np.lexsort((rank, rows["component"], run))
+        first = np.append(True, (np.diff(run[by_component]) != 0) | (np.diff(rows["component"][by_component]) != 0))
+        chosen = by_component[first]
+        chosen = chosen[np.lexsort((rank[chosen], run[chosen]))]
+        begin = np.searchsorted(run[chosen], np.arange(run[-1] + 1))
+        length = np.diff(np.append(begin, len(chosen)))
+        best = np.full(count, SKETCH_BITS + 1, np.int32)
+        hub_of = np.zeros(count, np.int64)
+        for number in range(hubs):
+            asked = np.flatnonzero(number < length[run])
+            hub = chosen[begin[run[asked]] + number]
+            other = rows["component"][asked] != rows["component"][hub]
+            asked, hub = asked[other], hub[other]
+            if not len(asked):
                 continue
-            rank = mix(run["doc"].astype(np.uint64) + np.uint64(salt))
-            chosen = np.argsort(rank, kind="stable")
-            _, first = np.unique(run["component"][chosen], return_index=True)
-            chosen = chosen[np.sort(first)][:hubs]
-            hub = {name: column[chosen] for name, column in run.items()}
-            fits, apart = may_link(run, hub, percent)
-            fits &= run["component"][:, None] != hub["component"][None, :]
-            apart = np.where(fits, apart, SKETCH_BITS + 1)
-            best = apart.argmin(axis=1)
-            rows = np.flatnonzero(fits.any(axis=1))
-            if len(rows):
-                found.append((run["doc"][rows], hub["doc"][best[rows]], apart[rows, best[rows]]))
-                count += len(rows)
-            if count > 100_000:
-                yield _pairs_schema(found)
-                found, count = [], 0
-        yield _pairs_schema(found)
+            fits, apart = may_link(
+                {name: column[asked] for name, column in rows.items()},
+                {name: column[hub] for name, column in rows.items()},
+                percent,
+            )
+            better = fits & (apart < best[asked])
+            best[asked[better]] = apart[better]
+            hub_of[asked[better]] = rows["doc"][hub[better]]
+        some = best <= SKETCH_BITS
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows["doc"][some]), pa.array(hub_of[some]), pa.array(best[some])], ["doc", "hub", "apart"]
+        )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches, ["signature", "part"]):
+            yield nearest(_columns(table))
 
     return task
 
@@ -421,22 +460,27 @@ def _squares(percent: int):
     """All pairs of two blocks of one list that are in different components and may link."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, count = [], 0
         for run in _rows(batches, ["signature", "one", "two"]):
-            if len(run["doc"]) < 2 or (run["component"] == run["component"][0]).all():
-                continue
             alone = run["one"][0] == run["two"][0]
             left = np.flatnonzero(run["block"] == run["one"])
             right = left if alone else np.flatnonzero(run["block"] == run["two"])
             for begin in range(0, len(left), 128):
-                some = {name: column[left[begin : begin + 128]] for name, column in run.items()}
-                other = {name: column[right] for name, column in run.items()}
+                some = {name: column[left[begin : begin + 128]][:, None] for name, column in run.items()}
+                other = {name: column[right][None] for name, column in run.items()}
                 fits, apart = may_link(some, other, percent)
-                fits &= some["component"][:, None] != other["component"][None, :]
+                fits &= some["component"] != other["component"]
                 if alone:
-                    fits &= some["doc"][:, None] < other["doc"][None, :]
+                    fits &= some["doc"] < other["doc"]
                 row, column = np.nonzero(fits)
                 if len(row):
-                    yield _pairs_schema([(some["doc"][row], other["doc"][column], apart[row, column])])
+                    found.append((some["doc"][row, 0], other["doc"][0, column]))
+                    count += len(row)
+                if count > 50_000:
+                    yield _pairs(found)
+                    found, count = [], 0
+        if found:
+            yield _pairs(found)
 
     return task
 
@@ -445,7 +489,8 @@ def _set_rows(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole, "text"):
-                sets = [found.tobytes() for found in shingle_sets(batch.column("text"), width)]
+                elements, edges = shingle_sets(batch.column("text"), width)
+                sets = [elements[begin:end].tobytes() for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "elements"]
                 )
@@ -468,24 +513,30 @@ def _verified(percent: int):
     return task
 
 
-def links_among(pairs: DataFrame, docs: DataFrame, options: JoinOptions, scratch: Scratch) -> DataFrame:
-    """The pairs whose sets really are similar enough, by their whole sets."""
+def links_among(
+    pairs: DataFrame, docs: DataFrame, known: list[DataFrame], options: JoinOptions, scratch: Scratch
+) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets really are similar enough, by their whole sets.
+
+    ``known`` are the sets that earlier calls wrote; those that are missing are added to it.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.write(
-        docs.select("doc_id", "text")
-        .join(ids, "doc_id", "left_semi")
-        .mapInArrow(_set_rows(options.width), "doc long, elements binary")
-        .dropDuplicates(["doc"]),
-        "sets",
+    for sets in known:
+        ids = ids.join(sets.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
+    wanted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    known.append(
+        scratch.write(
+            wanted.mapInArrow(_set_rows(options.width), "doc long, elements binary").dropDuplicates(["doc"]), "sets"
+        )
     )
+    sets = known[0]
+    for more in known[1:]:
+        sets = sets.unionAll(more)
     joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("elements").alias("left")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("elements").alias("right")), "b"
     )
-    found = scratch.write(
-        joined.select("a", "b", "left", "right").mapInArrow(_verified(options.percent), "a long, b long"), "verified"
-    )
-    scratch.drop(sets)
-    return found
+    verified = joined.select("a", "b", "left", "right").mapInArrow(_verified(options.percent), "a long, b long")
+    return scratch.write(verified, "verified")
 
 
 def similar_groups(docs: DataFrame, options: JoinOptions | None = None) -> DataFrame:
@@ -545,7 +596,7 @@ def similar_groups(docs: DataFrame, options: JoinOptions | None = None) -> DataF
     )
     scratch.drop(listed)
     # Hubs first, twice: the second time between what is still apart.
-    found = None
+    found, sets = None, []
     current = lists
     for turn in range(2):
         part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("length") / (8 * BLOCK)).cast("long"))
@@ -553,13 +604,12 @@ def similar_groups(docs: DataFrame, options: JoinOptions | None = None) -> DataF
             current.withColumn("part", part)
             .repartition("signature", "part")
             .sortWithinPartitions("signature", "part")
-            .mapInArrow(_stars(options.percent, options.hubs, 7919 * turn), "a long, b long, apart int")
+            .mapInArrow(_stars(options.percent, options.hubs, 7919 * turn), "doc long, hub long, apart int")
         )
-        best = stars.groupBy("a", "b").agg(F.min("apart").alias("apart"), F.count("*").alias("times"))
-        nearest = best.groupBy("b").agg(F.min_by("a", F.struct("apart", -F.col("times"), "a")).alias("a"))
-        also = best.groupBy("a").agg(F.min_by("b", F.struct("apart", -F.col("times"), "b")).alias("b"))
-        chosen = scratch.write(nearest.select("a", "b").unionAll(also.select("a", "b")).distinct(), "chosen")
-        links = links_among(chosen, with_id, options, scratch)
+        # The nearest hub of each document, over all its lists.
+        chosen = stars.groupBy("doc").agg(F.min_by("hub", F.struct("apart", "hub")).alias("hub"))
+        chosen = chosen.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+        links = links_among(scratch.write(chosen, "chosen"), with_id, sets, options, scratch)
         found = links if found is None else scratch.write(found.unionAll(links), "links")
         labels = components(found, scratch)
         current = (
@@ -584,11 +634,11 @@ def similar_groups(docs: DataFrame, options: JoinOptions | None = None) -> DataF
         .withColumn("two", F.greatest("block", "other"))
         .repartition("signature", "one", "two")
         .sortWithinPartitions("signature", "one", "two")
-        .mapInArrow(_squares(options.percent), "a long, b long, apart int")
+        .mapInArrow(_squares(options.percent), "a long, b long")
     )
-    rest = links_among(scratch.write(squares.select("a", "b").distinct(), "rest"), with_id, options, scratch)
+    rest = links_among(scratch.write(squares.distinct(), "rest"), with_id, sets, options, scratch)
     labels = components(scratch.write(found.unionAll(rest), "links"), scratch)
-    scratch.drop(lists, current)
+    scratch.drop(lists, current, *sets)
     grouped = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         *key, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )

@@ -115,18 +115,27 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingles of each text: runs of ``width`` words, or all words where there are fewer."""
+def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text, put together, and where each text's begin (one more than texts).
+
+    A shingle is a run of ``width`` words, or all words where there are fewer; a text without words has none.
+    """
     data, offsets = text_bytes(column)
     hashes, _, _, first = words(data, offsets, NOT_SPACE)
     whole = windows(hashes, width)
-    found = []
-    for begin, end in zip(first[:-1], first[1:]):
-        count = end - begin
-        if count >= width:
-            found.append(np.unique(whole[begin : end - width + 1]))
-        elif count:
-            found.append(windows(hashes[begin:end], int(count)))
-        else:
-            found.append(np.zeros(0, np.uint64))
-    return found
+    count = np.diff(first)
+    sizes = np.where(count >= width, count - width + 1, (count > 0).astype(np.int64))
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    found = np.empty(int(edges[-1]), np.uint64)
+    for begin, words_in, place, size in zip(first[:-1].tolist(), count.tolist(), edges[:-1].tolist(), sizes.tolist()):
+        if words_in >= width:
+            part = found[place : place + size]
+            part[:] = whole[begin : begin + size]
+            part.sort()
+        elif words_in:
+            found[place] = windows(hashes[begin : begin + words_in], words_in)[0]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[edges[:-1][sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return found[new], kept[edges]
