@@ -23,6 +23,8 @@ from folioscope.llm.words import mix, shingle_sets
 
 # A set's sketch has this many bits; see ``apart``.
 SKETCH_BITS = 1024
+# Documents to fetch are marked in a bit table of this size (8 MB), whatever their number. Chance hits only fetch more.
+MARK_BITS = 1 << 26
 # Lists are compared in squares of this many documents, so no task holds a longer list.
 BLOCK = 1024
 
@@ -485,10 +487,15 @@ def _squares(percent: int):
     return task
 
 
-def _set_rows(width: int):
+def _set_rows(width: int, shared):
+    """The sets of marked documents."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            spot = whole.column("spot").to_numpy()
+            chosen = (marks[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
+            for batch in batches_of(whole.filter(pa.array(chosen.astype(bool))), "text"):
                 elements, edges = shingle_sets(batch.column("text"), width)
                 sets = [elements[begin:end].tobytes() for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -498,6 +505,20 @@ def _set_rows(width: int):
     return task
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bit table of hashed ids."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    words = (
+        ids.select(spot.alias("spot"))
+        .groupBy(F.expr("shiftright(spot, 6)").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    marks = np.zeros(MARK_BITS // 64, np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
 def _verified(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -523,12 +544,10 @@ def links_among(
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     for sets in known:
         ids = ids.join(sets.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
-    wanted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    known.append(
-        scratch.write(
-            wanted.mapInArrow(_set_rows(options.width), "doc long, elements binary").dropDuplicates(["doc"]), "sets"
-        )
-    )
+    # Texts stay where they are read: the ids to fetch are sent to them as marks, and only sets move.
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+    spotted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("spot"))
+    known.append(scratch.write(spotted.mapInArrow(_set_rows(options.width, marks), "doc long, elements binary"), "sets"))
     sets = known[0]
     for more in known[1:]:
         sets = sets.unionAll(more)
