@@ -67,7 +67,7 @@ def _described(width: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text", 4 << 20):
+            for batch in batches_of(whole, "text"):
                 elements, edges = shingle_sets(batch.column("text"), width)
                 one, two = digests(elements, edges)
                 yield pa.RecordBatch.from_arrays(
@@ -102,7 +102,7 @@ def _cut(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, l
         yield int(bucket[begin]), [column[begin:end].tobytes() for column in columns]
 
 
-def _counted(width: int, bucket_bits: int, most: int = 1 << 21):
+def _counted(width: int, bucket_bits: int, most: int = 1 << 20):
     """Per task and bucket: the short names of its shingles and in how many documents each occurs."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -252,7 +252,7 @@ def signatures(
     return np.concatenate(made), np.concatenate(places), np.concatenate(heavy)
 
 
-def _posted(options: JoinOptions, shared, bucket_bits: int, edge: int, most: int = 1 << 20):
+def _posted(options: JoinOptions, shared, bucket_bits: int, edge: int, most: int = 1 << 18):
     """Per task and bucket: signature, set, size and place of each posting. A set is named by its digest, and a task
     posts a set once, however many copies it reads. Signatures of frequent shingles, whose lists have no bound, do not
     meet in a bucket: they are dealt out by set, under negative numbers."""

@@ -32,7 +32,7 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
     """Slices of a batch with at most so many bytes in a column, or one row where a row has more."""
     sizes = batch.column(column).nbytes
     if sizes <= most_bytes or batch.num_rows <= 1:
