@@ -497,10 +497,8 @@ def _set_rows(width: int, shared):
             chosen = (marks[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
             for batch in batches_of(whole.filter(pa.array(chosen.astype(bool))), "text"):
                 elements, edges = shingle_sets(batch.column("text"), width)
-                sets = [elements[begin:end].tobytes() for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "elements"]
-                )
+                sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(elements.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["doc", "elements"])
 
     return task
 
@@ -519,21 +517,6 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return marks
 
 
-def _verified(percent: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for one, two in zip(batch.column("left"), batch.column("right")):
-                left, right = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
-                both = np.sort(np.concatenate([left, right]))
-                common = int((both[1:] == both[:-1]).sum())
-                kept.append(100 * common >= percent * (len(left) + len(right) - common))
-            chosen = batch.filter(pa.array(kept, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([chosen.column("a"), chosen.column("b")], ["a", "b"])
-
-    return task
-
-
 def links_among(
     pairs: DataFrame, docs: DataFrame, known: list[DataFrame], options: JoinOptions, scratch: Scratch
 ) -> DataFrame:
@@ -547,15 +530,19 @@ def links_among(
     # Texts stay where they are read: the ids to fetch are sent to them as marks, and only sets move.
     marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
     spotted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("spot"))
-    known.append(scratch.write(spotted.mapInArrow(_set_rows(options.width, marks), "doc long, elements binary"), "sets"))
+    known.append(scratch.write(spotted.mapInArrow(_set_rows(options.width, marks), "doc long, elements array<bigint>"), "sets"))
     sets = known[0]
     for more in known[1:]:
         sets = sets.unionAll(more)
     joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("elements").alias("left")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("elements").alias("right")), "b"
     )
-    verified = joined.select("a", "b", "left", "right").mapInArrow(_verified(options.percent), "a long, b long")
-    return scratch.write(verified, "verified")
+    common = F.size(F.array_intersect("left", "right"))
+    total = F.size("left") + F.size("right")
+    verified = joined.withColumn("common", common).filter(
+        100 * F.col("common") >= options.percent * (total - F.col("common"))
+    )
+    return scratch.write(verified.select("a", "b"), "verified")
 
 
 def similar_groups(docs: DataFrame, options: JoinOptions | None = None) -> DataFrame:
