@@ -94,7 +94,7 @@ def upsert(
     names = [*existing.columns, *(name for name in scanned.columns if name not in stored_columns)]
     known = F.col("old").isNotNull()
     seen = F.col("new").isNotNull()
-    changed = known & seen & (F.col("old.sha256") != F.col("new.sha256"))
+    changed = known & seen & ~F.col("old.sha256").eqNullSafe(F.col("new.sha256"))
 
     def merged(name: str) -> Column:
         before = F.col("old")[name] if name in stored_columns else F.lit(None)
@@ -110,7 +110,8 @@ def upsert(
         return value.alias(name)
 
     joined = old.join(new, "path", "full_outer")
-    kept = joined.filter(seen | (F.col("old.scan_root") != scan_root))
+    # A stored row without a root belongs to no scan, so it stays.
+    kept = joined.filter(seen | ~F.col("old.scan_root").eqNullSafe(F.lit(scan_root)))
     return kept.select(*(merged(name) for name in names))
 
 

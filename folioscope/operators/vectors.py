@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.blocks import BEST_SCHEMA, KEYS, BestRows, in_blocks, leaders, slices
 from folioscope.operators.spread import top_k
+from folioscope.sources.tables import replace
 
 # Bytes of query vectors that one pass hands to every task.
 PASS_BYTES = 64 << 20
@@ -80,8 +81,9 @@ def search(embeddings: DataFrame, queries: DataFrame, model: str, k: int = 10) -
     """Ranked chunks per query by cosine similarity, over every vector of ``model``.
 
     ``embeddings`` has chunk_id, document_id, chunk_index, model and embedding; ``queries`` has query_id and vector.
-    Vectors of another dimension than the queries are an error.
+    Vectors of another dimension than the queries are an error; a query without a vector has no results.
     """
+    queries = queries.filter(F.col("vector").isNotNull())
     of_model = embeddings.filter(F.col("model") == model)
     scored = in_blocks(
         queries.select("query_id", "vector"),
@@ -94,8 +96,10 @@ def search(embeddings: DataFrame, queries: DataFrame, model: str, k: int = 10) -
     return ranked.select("query_id", "rank", F.col("ranking").alias("similarity"), *KEYS)
 
 
-def locate(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Embeddings with the position of their chunk; vectors whose chunk has gone are left out."""
+def locate(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Embeddings with the position of their chunk; vectors whose chunk has gone, or its document, are left out."""
+    if documents is not None:
+        chunks = chunks.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     return embeddings.join(chunks.select(*KEYS), "chunk_id")
 
 
@@ -133,7 +137,7 @@ def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def write_embeddings(embeddings: DataFrame, path: str) -> None:
     """One folder per model, so a search opens only the files of its model."""
-    embeddings.write.mode("overwrite").partitionBy("model").parquet(path)
+    replace(embeddings.sparkSession, path, embeddings.write.partitionBy("model").parquet)
 
 
 def backfill(

@@ -145,7 +145,7 @@ def embeddings(spark: SparkSession, sf_dir: str, chunk_table: DataFrame) -> Data
 
 
 def located_embeddings(spark: SparkSession, sf_dir: str, chunk_table: DataFrame) -> DataFrame:
-    return locate(embeddings(spark, sf_dir, chunk_table), chunk_table)
+    return locate(embeddings(spark, sf_dir, chunk_table), chunk_table, documents(spark, sf_dir))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

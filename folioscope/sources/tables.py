@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import strip
@@ -23,18 +26,39 @@ def read_query_set(spark: SparkSession, path: str) -> DataFrame:
     return query_set(spark.read.schema(QUERY_SET).json(path))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``number``, their place in reading order from 1. Only one count per partition is ordered."""
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    placed = placed.withColumn("part", F.expr("shiftright(place, 33)"))
+    counts = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    number = F.col("start") + F.expr("place & 8589934591") + 1
+    return placed.join(F.broadcast(starts), "part").withColumn("number", number).drop("place", "part", "start")
+
+
 def query_set(rows: DataFrame) -> DataFrame:
-    """Check a query set: no query is empty and each names a relevant document. A bad row fails the job."""
+    """Check a query set: no query is empty, each names a relevant document, and no id is there twice.
+
+    A query without id is named by its ``position``, or without one by its place in the rows. A bad row fails the job,
+    whichever columns are read.
+    """
+    position = F.coalesce(F.col("position").cast("long"), F.col("number"))
     query = strip(F.col("query"))
     named = F.coalesce(F.size("known_relevant_documents"), F.lit(0)) > 0
-    label = F.concat(F.lit("query item #"), F.coalesce(F.col("position").cast("string"), F.lit("?")))
-    given = F.nullif(F.col("query_id"), F.lit(""))
-    return rows.select(
-        F.coalesce(given, F.format_string("q%03d", F.col("position"))).alias("query_id"),
+    label = F.concat(F.lit("query item #"), position.cast("string"))
+    given = F.coalesce(F.nullif(F.col("query_id"), F.lit("")), F.format_string("q%03d", position))
+    rows = _numbered(rows).withColumn("query_id", given)
+    rows = rows.withColumn("same_id", F.count("*").over(Window.partitionBy("query_id")))
+    checked = (
         F.when(F.coalesce(query, F.lit("")) == "", F.raise_error(F.concat(label, F.lit(" has no query"))))
         .when(~named, F.raise_error(F.concat(label, F.lit(" has no known_relevant_documents"))))
-        .otherwise(query)
-        .alias("query"),
+        .when(F.col("same_id") > 1, F.raise_error(F.concat(label, F.lit(" repeats the id "), F.col("query_id"))))
+        .otherwise(F.col("query_id"))
+    )
+    return rows.select(
+        checked.alias("query_id"),
+        query.alias("query"),
         "known_relevant_documents",
         *(
             F.nullif(F.col(name), F.lit("")).alias(name)
@@ -43,9 +67,28 @@ def query_set(rows: DataFrame) -> DataFrame:
     )
 
 
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a table beside ``path``, then put it there. What is written may be made from what is there now.
+
+    Until the new table is whole the old one is untouched; between the two renames it has another name beside it.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    beside = {kind: target.suffix(f"__{kind}-{mark}") for kind in ("new", "old")}
+    write(beside["new"].toString())
+    if system.exists(target) and not system.rename(target, beside["old"]):
+        raise OSError(f"cannot move {path}; the new table is in {beside['new'].toString()}")
+    if not system.rename(beside["new"], target):
+        system.rename(beside["old"], target)
+        raise OSError(f"cannot put the new table at {path}")
+    if system.exists(beside["old"]):
+        system.delete(beside["old"], True)
+
+
 def overwrite(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").parquet(path)
+    replace(table.sparkSession, path, table.write.parquet)
 
 
 def write_json_lines(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").json(path)
+    replace(results.sparkSession, path, results.write.json)

@@ -102,3 +102,10 @@ def test_text_start_joins_pages_in_order(spark):
     assert starts == {1: "aaaa bbbb c", 2: " " * 11}
     whole = {row.document_id: row.text_start for row in pages.text_start(df, 5000).collect()}
     assert whole == {1: "aaaa bbbb cccc", 2: " " * 1999 + "end"}
+
+
+def test_rows_without_root_are_kept(spark):
+    schema = "id long, path string, sha256 string, scan_root string"
+    old = spark.createDataFrame([(1, "/c/a.txt", "a", None), (2, "/c/b.txt", "b", "/c")], schema)
+    new = spark.createDataFrame([("/c/d.txt", "d", "/c")], "path string, sha256 string, scan_root string")
+    assert {row.path for row in catalog.upsert(old, new, "/c").collect()} == {"/c/a.txt", "/c/d.txt"}

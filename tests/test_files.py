@@ -88,3 +88,22 @@ def test_table_round_trip(spark, tmp_path):
     assert row.folder_category == "top" and row.document_type == "unknown" and row.is_supported is True
     tables.write_json_lines(legacy, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first().path == "/r/a.txt"
+    # A table can be made from itself.
+    for value in (2, 3):
+        spark.createDataFrame([(value, "/r/b.txt")], "id long, path string").write.mode("append").parquet(
+            str(tmp_path / "self")
+        )
+    tables.overwrite(spark.read.parquet(str(tmp_path / "self")).filter("id > 2"), str(tmp_path / "self"))
+    assert [row.id for row in spark.read.parquet(str(tmp_path / "self")).collect()] == [3]
+    assert sorted(path.name for path in tmp_path.iterdir()) == ["docs", "json", "self"]
+
+
+def test_queries_are_named_by_their_place(spark, tmp_path):
+    path = tmp_path / "queries.json"
+    line = '{"query": "%s", "known_relevant_documents": ["a"]}'
+    path.write_text(line % "pear" + "\n" + line % "fig" + "\n")
+    rows = {row.query_id: row.query for row in tables.read_query_set(spark, str(path)).collect()}
+    assert rows == {"q001": "pear", "q002": "fig"}
+    path.write_text(line.replace("{", '{"query_id": "x", ', 1) % "pear" + "\n" + line.replace("{", '{"query_id": "x", ', 1) % "fig")
+    with pytest.raises(Exception, match="repeats the id"):
+        tables.read_query_set(spark, str(path)).select("query_id").collect()

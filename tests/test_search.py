@@ -155,3 +155,12 @@ def test_evaluation(spark):
     }
     with pytest.raises(ValueError):
         evaluation.evaluate(asked, None, docs, top_k=5)
+
+
+def test_vectors_of_lost_documents_take_no_place(spark):
+    chunks = spark.createDataFrame([("a", 1, 0), ("b", 2, 0), ("c", 3, 0)], "chunk_id string, document_id long, chunk_index long")
+    made = spark.createDataFrame([(key, "m", [1.0, float(n)]) for n, key in enumerate("abc")], "chunk_id string, model string, embedding array<float>")
+    documents = spark.createDataFrame([(2,), (3,)], "id long")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], "query_id string, vector array<float>")
+    found = vectors.search(vectors.locate(made, chunks, documents), queries, "m", 2).collect()
+    assert sorted((row.rank, row.chunk_id) for row in found) == [(1, "b"), (2, "c")]
