@@ -530,7 +530,9 @@ def links_among(
     # Texts stay where they are read: the ids to fetch are sent to them as marks, and only sets move.
     marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
     spotted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("spot"))
-    known.append(scratch.write(spotted.mapInArrow(_set_rows(options.width, marks), "doc long, elements array<bigint>"), "sets"))
+    # Hashes do not compress; trying to only costs buffers outside the heap.
+    sets = spotted.mapInArrow(_set_rows(options.width, marks), "doc long, elements array<bigint>")
+    known.append(scratch.write(sets, "sets", "none"))
     sets = known[0]
     for more in known[1:]:
         sets = sets.unionAll(more)
