@@ -50,6 +50,27 @@ def test_unreadable_lists_what_the_scan_lacks(spark, tree):
     assert [row.path for row in missing] == [str(root / "c/bad.txt")]
 
 
+def test_scan_keeps_every_name_and_the_errors(spark, tmp_path):
+    for name in ("a/_note.txt", ".hidden.txt", "_drafts/.deep/d.txt", "a/x#1 %20.txt", "a/ok.txt", "txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty").mkdir()
+    scanned = files.scan(spark, f"{tmp_path}/")
+    rows = {row.relative_path: row.sha256 for row in scanned.collect()}
+    names = {"a/_note.txt", ".hidden.txt", "_drafts/.deep/d.txt", "a/x#1 %20.txt", "a/ok.txt"}
+    assert rows == {name: hashlib.sha256(name.encode()).hexdigest() for name in names}
+    (tmp_path / "a/up").symlink_to(tmp_path)
+    assert files.scan(spark, str(tmp_path)).count() == len(names)
+    assert files.unreadable(spark, str(tmp_path), scanned).count() == 0
+    listed = files.walk(spark, str(tmp_path))
+    (tmp_path / "a/ok.txt").unlink()
+    tried = files.hashed(spark, str(tmp_path), listed).filter("error IS NOT NULL").collect()
+    assert [row.path for row in tried] == [str(tmp_path / "a/ok.txt")] and "No such file" in tried[0].error
+    with pytest.raises(FileNotFoundError):
+        files.scan(spark, str(tmp_path / "missing"))
+    assert files.scan(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_text_pages(spark, tree):
     root, _ = tree
     listed = files.list_files(spark, str(root)).filter(F.lower("path").endswith(".txt"))
