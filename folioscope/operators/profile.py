@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import strip
-from folioscope.operators.spread import attach, top_k
+from folioscope.operators.spread import top_k
 
 SHORT_PAGE = 100
 LONG_PAGE = 5000
@@ -36,6 +36,11 @@ def length_stats(lengths: DataFrame, column: str, by: str | None = None, digits:
     histogram = lengths.groupBy(*groups, F.col(column).alias("length")).agg(
         F.count(column).alias("n"), F.sum(F.col(column).cast("long")).alias("chars")
     )
+    return _of_histogram(histogram, by, digits)
+
+
+def _of_histogram(histogram: DataFrame, by: str | None, digits: int) -> DataFrame:
+    groups = [by] if by else []
     stats = histogram.groupBy(*groups).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.coalesce(F.min("length"), F.lit(0)).alias("min"),
@@ -48,19 +53,19 @@ def length_stats(lengths: DataFrame, column: str, by: str | None = None, digits:
     return stats.orderBy(by) if by else stats
 
 
-def with_pages(documents: DataFrame, pages: DataFrame, columns) -> DataFrame:
-    """Every document with each of its pages, or with NULLs when it has none."""
-    narrow = pages.select("document_id", *columns)
-    docs = documents.select(F.col("id").alias("document_id"), "document_type")
-    found = attach(narrow, docs, "document_id", list(columns)).filter(F.col("document_type").isNotNull())
-    having = pages.select("document_id").distinct()
-    without = docs.join(having, "document_id", "left_anti")
-    return found.unionByName(without, allowMissingColumns=True)
-
-
 def length_stats_by_type(documents: DataFrame, pages: DataFrame, digits: int = 1) -> DataFrame:
-    rows = with_pages(documents, pages, ["page_number", "text_length"])
-    return length_stats(rows, "text_length", "document_type", digits)
+    """As ``length_stats`` per document type. Pages are counted per document and length before they meet documents,
+    so no document is a heavy key, and each table is read once."""
+    counted = pages.groupBy("document_id", F.col("text_length").alias("length")).agg(
+        F.count("text_length").alias("n")
+    )
+    docs = documents.select(F.col("id").alias("document_id"), "document_type")
+    histogram = (
+        docs.join(counted, "document_id", "left")
+        .groupBy("document_type", "length")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("length").cast("long") * F.col("n")).alias("chars"))
+    )
+    return _of_histogram(histogram, "document_type", digits)
 
 
 def pages_by_type(documents: DataFrame, pages: DataFrame) -> DataFrame:
