@@ -16,6 +16,8 @@ from folioscope.session import materialize
 ROOT = "/corpus"
 MODEL = "m0"
 LINES_PER_PAGE = 20
+# Ids kept for the pages of one document: more than an int page number can reach.
+PAGE_IDS = 1 << 32
 EXTENSIONS = ("pdf", "docx", "doc", "txt")
 TYPES = ("order", "procedure", "training_manual", "standard_or_norms", "list")
 
@@ -78,7 +80,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(rows: DataFrame) -> DataFrame:
     return rows.select(
-        (F.col("document_id") * 100_000 + F.col("page_number")).alias("id"),
+        (F.col("document_id") * PAGE_IDS + F.col("page_number")).alias("id"),
         "document_id",
         "page_number",
         "text",

@@ -62,14 +62,14 @@ docs AS (
 
 WHOLE_PAGES = """
 pg AS (
-  SELECT doc_id * 100000 + 1 AS id, doc_id AS document_id, 1 AS page_number, text, length(text) AS text_length
+  SELECT doc_id * 4294967296 + 1 AS id, doc_id AS document_id, 1 AS page_number, text, length(text) AS text_length
   FROM documents)"""
 
 LINE_PAGES = """
 doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 doc_parts AS (SELECT doc_id, lines, unnest(range((len(lines) - 1) // 20 + 1)) AS nr FROM doc_lines),
 pg AS (
-  SELECT doc_id * 100000 + nr + 1 AS id, doc_id AS document_id, nr + 1 AS page_number,
+  SELECT doc_id * 4294967296 + nr + 1 AS id, doc_id AS document_id, nr + 1 AS page_number,
     array_to_string(lines[nr * 20 + 1 : nr * 20 + 20], chr(10)) AS text,
     length(array_to_string(lines[nr * 20 + 1 : nr * 20 + 20], chr(10))) AS text_length
   FROM doc_parts)"""
@@ -79,7 +79,7 @@ doc_lines AS (
   SELECT doc_id, i, i || '. ' || string_split(text, chr(10))[i] AS line, len(string_split(text, chr(10))) AS n
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 pg AS (
-  SELECT doc_id * 100000 + 1 AS id, doc_id AS document_id, 1 AS page_number,
+  SELECT doc_id * 4294967296 + 1 AS id, doc_id AS document_id, 1 AS page_number,
     string_agg(line, chr(10) ORDER BY i) AS text, length(string_agg(line, chr(10) ORDER BY i)) AS text_length
   FROM doc_lines GROUP BY doc_id)"""
 
