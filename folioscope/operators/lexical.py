@@ -27,8 +27,6 @@ CELLS = 2_000_000
 SCORE_DIGITS = 10
 # Chunks a task inverts at a time.
 POSTING_ROWS = 2_000
-# Lifts chunks with every unit above all others while a task looks for its leaders; no score comes near it.
-COMPLETE_LIFT = 1e6
 
 INDEX_FIELDS = ("chunk_text", "filename", "path", "document_type", "content_category", "chunk_strategy")
 PROVENANCE = (
@@ -274,7 +272,9 @@ def _scorer(shared, k: int):
             matched, points = matched.reshape(shape), total.reshape(shape)
             points = points + batch["boost"].to_numpy(zero_copy_only=False)[:, None]
             complete = matched == block.sizes
-            row, query = np.nonzero(leaders(np.where(matched > 0, points + COMPLETE_LIFT * complete, -np.inf), k))
+            # Lifts chunks with every unit above all others of the slice.
+            lift = 2.0 * float(np.abs(points).max(initial=0.0)) + 1.0
+            row, query = np.nonzero(leaders(np.where(matched > 0, points + lift * complete, -np.inf), k))
             score = points[row, query]
             best.add(batch, query, row, complete[row, query], np.round(score, SCORE_DIGITS), score)
         yield from best.batches()
@@ -355,6 +355,7 @@ def search(
         queries.select("query_id", "query"),
         words + 1,
         PASS_LIMIT,
+        k,
         lambda block: _search_pass(index, eligible, block, k, stats),
     )
     order = [F.desc("complete"), F.desc("ranking"), F.asc("document_id"), F.asc("chunk_index")]

@@ -89,6 +89,7 @@ def search(embeddings: DataFrame, queries: DataFrame, model: str, k: int = 10) -
         queries.select("query_id", "vector"),
         F.size("vector") * 8,
         PASS_BYTES,
+        k,
         lambda block: _search_pass(of_model, block, k),
     )
     order = [F.desc("ranking"), F.asc("document_id"), F.asc("chunk_index")]

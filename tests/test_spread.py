@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,9 @@ def test_many_passes_give_the_same_ranking(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PASS_BYTES", 50)
     monkeypatch.setattr(vectors, "CELLS", 20)
     assert sorted(map(tuple, vectors.search(table, queries, "m", 4).collect())) == one
+    monkeypatch.setattr(vectors, "PASS_BYTES", 1 << 20)
+    monkeypatch.setattr(blocks, "KEPT_ROWS", 12)
+    assert sorted(map(tuple, vectors.search(table, queries, "m", 4).collect())) == one
 
     index = spark.createDataFrame(
         [(str(n), n, 0, "t", None, "s", [f"w{n % 4}", f"w{n % 7}", "all"], 5) for n in range(30)],
@@ -75,9 +80,28 @@ def test_many_passes_give_the_same_ranking(spark, monkeypatch):
     assert sorted(map(tuple, lexical.search(index, asked, 3).collect())) == whole
 
 
-def test_leaders_keep_ties():
-    import numpy as np
+@pytest.mark.parametrize("least", [1, 50, 100_000])
+def test_best_rows_of_many_slices(monkeypatch, least):
+    monkeypatch.setattr(blocks, "LEAST_CANDIDATES", least)
+    rng = np.random.default_rng(least)
+    score = rng.integers(0, 9, (60, 7)).astype(float)
+    whole = rng.random((60, 7)) < 0.2
+    best = blocks.BestRows(7, 4)
+    for begin in range(0, 60, 5):
+        part = range(begin, begin + 5)
+        rows = pa.RecordBatch.from_pydict({"chunk_id": [str(n) for n in part], "document_id": list(part), "chunk_index": [0] * 5})
+        row, query = np.nonzero(np.ones((5, 7), bool))
+        value = score[begin + row, query]
+        best.add(rows, query, row, whole[begin + row, query], value, value)
+    got = {(row["query"], row["document_id"]) for batch in best.batches() for row in batch.to_pylist()}
+    assert got == {
+        (query, row)
+        for query in range(7)
+        for row in sorted(range(60), key=lambda row: (not whole[row, query], -score[row, query], row))[:4]
+    }
 
+
+def test_leaders_keep_ties():
     values = np.array([[1.0], [3.0], [3.0], [2.0], [-np.inf]])
     assert blocks.leaders(values, 1)[:, 0].tolist() == [False, True, True, False, False]
     assert blocks.leaders(values, 9)[:, 0].tolist() == [True, True, True, True, False]
