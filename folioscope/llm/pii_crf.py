@@ -143,16 +143,16 @@ def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
 
 def edges_of(text: str, tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges between tokens with nothing but spaces and marks between them, and skip edges from each token to
-    the next one of the same form. Linking only the next keeps their number linear; the form's tokens still form one
-    connected line."""
+    the next one of the same form, unless a chain edge links the two. Linking only the next keeps their number linear;
+    the form's tokens still form one connected line."""
     chain = [
         (n, n + 1)
         for n, (one, two) in enumerate(zip(tokens, tokens[1:]))
         if two.start - one.end <= 8 and not any(letter.isalnum() for letter in text[one.end : two.start])
     ]
-    skip, last = [], {}
+    skip, last, near = [], {}, set(chain)
     for n, token in enumerate(tokens):
-        if token.form in last and last[token.form] != n - 1:
+        if token.form in last and (last[token.form], n) not in near:
             skip.append((last[token.form], n))
         last[token.form] = n
     return chain, skip

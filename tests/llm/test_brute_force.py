@@ -127,6 +127,24 @@ def test_repeated_tokens_share_their_label(spark):
     assert row.n_phone == 1 and row.n_added >= 1 and row.spans.count("phone") == 2
 
 
+def test_next_mention_has_an_edge_however_far(spark):
+    text = "phone +1 (212) 555-7777 here " + "word " * 400 + "ask for 555-7777 there"
+    tokens = pii_crf.tokens_of(text, pii_crf.base_spans(text))
+    assert pii_crf.edges_of(text, tokens) == ([(0, 1), (1, 2)], [(2, 3)])
+    # By themselves all tokens are "other".
+    size = len(pii_crf.LABELS)
+    prior = np.log([0.6, 0.1, 0.1, 0.1, 0.1])
+    field = pii_crf.Field(np.zeros((pii_crf.FEATURES, size)), prior, np.zeros((size, size)), 4.0)
+    alone = "ask for 555-7777 there"
+    assert field.marginals(alone, pii_crf.tokens_of(alone, []))[0].argmax() == 0
+    docs = spark.createDataFrame([(1, text), (2, alone)], "doc_id long, text string")
+    got = sorted(pii_crf.scan(docs, field).select("doc_id", "n_phone", "n_added").collect())
+    assert got == [(1, 1, 1), (2, 0, 0)]
+    # 96 pairs of mentions with one label: (96 + 2) / (96 + 4).
+    twice = spark.createDataFrame([(n, "part 123-4567 or part 123-4567") for n in range(96)], "doc_id long, text string")
+    assert pii_crf.train(twice).skip == pytest.approx(np.log(49))
+
+
 def test_benchmark_in_parts(spark):
     items = spark.createDataFrame([(n, f"alpha{n} beta gamma delta") for n in range(30)], "item_id long, text string")
     docs = spark.createDataFrame([(n, f"Say alpha{n} beta, GAMMA delta alpha{n + 1} beta gamma delta!") for n in range(29)], "doc_id long, text string")
