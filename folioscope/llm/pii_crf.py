@@ -24,6 +24,8 @@ from folioscope.llm.scratch import Scratch, batches_of
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 FEATURES = 1 << 12
+# Message passing ends when it has converged. A document that has not after so many rounds is reported.
+ROUNDS = 2_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,16 +143,25 @@ def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
     return found
 
 
-def edges_of(text: str, tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between tokens with nothing but spaces and marks between them, and skip edges from each token to
-    the next one of the same form, unless a chain edge links the two. Linking only the next keeps their number linear;
-    the form's tokens still form one connected line."""
+def edges_of(text: str, tokens: list[Token], hubs: bool = False) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges between tokens with nothing but spaces and marks between them, and skip edges between tokens of the
+    same form, unless a chain edge links the two: from each to the next, or, with ``hubs``, between one of them and
+    each other one. That one is the first fixed by an expression, else the first. Both keep their number linear; with
+    hubs any two tokens of a form are at most two edges apart."""
     chain = [
         (n, n + 1)
         for n, (one, two) in enumerate(zip(tokens, tokens[1:]))
         if two.start - one.end <= 8 and not any(letter.isalnum() for letter in text[one.end : two.start])
     ]
-    skip, last, near = [], {}, set(chain)
+    skip, near = [], set(chain)
+    if hubs:
+        hub: dict[str, int] = {}
+        for n, token in enumerate(tokens):
+            if token.form not in hub or (token.label is not None and tokens[hub[token.form]].label is None):
+                hub[token.form] = n
+        pairs = [(min(n, hub[token.form]), max(n, hub[token.form])) for n, token in enumerate(tokens)]
+        return chain, [pair for pair in pairs if pair[0] < pair[1] and pair not in near]
+    last: dict[str, int] = {}
     for n, token in enumerate(tokens):
         if token.form in last and (last[token.form], n) not in near:
             skip.append((last[token.form], n))
@@ -167,17 +178,17 @@ class Field:
     chain: np.ndarray
     skip: float
 
-    def marginals(self, text: str, tokens: list[Token], rounds: int = 30) -> np.ndarray:
-        """Label probabilities of the tokens by loopy message passing with damping."""
+    def marginals(self, text: str, tokens: list[Token], rounds: int = ROUNDS) -> tuple[np.ndarray, bool]:
+        """Label probabilities of the tokens by loopy message passing with damping, and whether it converged."""
         count = len(LABELS)
         node = np.array([self.prior + sum(self.node[feature] for feature in token.features) for token in tokens])
         for place, token in enumerate(tokens):
             if token.label is not None:
                 node[place] = -50.0
                 node[place, token.label] = 0.0
-        chain, skip = edges_of(text, tokens)
+        chain, skip = edges_of(text, tokens, hubs=True)
         if not chain and not skip:
-            return _normal(node)
+            return _normal(node), True
         edges = np.array(chain + skip)
         agree = np.where(np.eye(count, dtype=bool), self.skip, 0.0)
         factor = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(agree[None], len(skip), 0)])
@@ -187,6 +198,7 @@ class Field:
         factor = np.concatenate([factor, factor.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), count))
+        converged = False
         for _ in range(rounds):
             belief = node.copy()
             np.add.at(belief, target, message)
@@ -195,11 +207,12 @@ class Field:
             fresh -= fresh.max(axis=1, keepdims=True)
             change = np.abs(fresh - message).max()
             message = 0.5 * message + 0.5 * fresh
-            if change < 1e-4:
+            converged = bool(change < 1e-4)
+            if converged:
                 break
         belief = node.copy()
         np.add.at(belief, target, message)
-        return _normal(belief)
+        return _normal(belief), converged
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
@@ -269,12 +282,12 @@ def train(docs: DataFrame) -> Field:
     return Field(weights, prior, np.clip(transition, -4.0, 4.0), float(np.clip(np.log(same / (1.0 - same)), 0.5, 6.0)))
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, least: float) -> list[tuple[int, int, int]]:
-    """Runs of neighbouring tokens outside the base spans that the field gives one kind."""
+def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, least: float) -> tuple[list[tuple[int, int, int]], bool]:
+    """Runs of neighbouring tokens outside the base spans that the field gives one kind, and whether it converged."""
     tokens = tokens_of(text, base)
     if not any(token.label is None for token in tokens):
-        return []
-    chances = field.marginals(text, tokens)
+        return [], True
+    chances, converged = field.marginals(text, tokens)
     found: list[list[int]] = []
     last = -2
     chain = {two for _, two in edges_of(text, tokens)[0]}
@@ -287,7 +300,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, least
         else:
             found.append([token.start, label - 1, token.end])
         last = place
-    return [tuple(span) for span in found]
+    return [tuple(span) for span in found], converged
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -295,7 +308,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 SCANNED = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, "
+    "converged boolean"
 )
 
 
@@ -307,14 +321,14 @@ def _scanning(shared, least: float):
                 rows = []
                 for text in batch.column("text").to_pylist():
                     base = base_spans(text) if text else []
-                    added = added_spans(text, base, field, least) if text else []
+                    added, converged = added_spans(text, base, field, least) if text else ([], True)
                     count = [sum(kind == n for _, kind, _ in base) for n in range(len(KINDS))]
                     digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                    rows.append((*count, digest, _joined(sorted(base + added)), len(added)))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                    rows.append((*count, digest, _joined(sorted(base + added)), len(added), converged))
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")] + [pa.array([row[n] for row in rows], kind) for n, kind in enumerate(kinds)],
-                    ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                    ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "converged"],
                 )
 
     return task
@@ -322,7 +336,8 @@ def _scanning(shared, least: float):
 
 def scan(docs: DataFrame, field: Field | None = None, least: float = 0.7) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, the number of base spans of each kind, ``base_sha256`` (digest of the base
-    spans), ``spans`` (base and added ones as kind:start:end, by start and kind) and ``n_added``.
+    spans), ``spans`` (base and added ones as kind:start:end, by start and kind), ``n_added``, and ``converged``: false
+    where message passing was ended before it converged, so that such documents can be counted.
 
     No shuffle: a document is judged where it is read. Cases: a null or empty text has no spans; a document without
     digit or at sign has no field; a token repeated any number of times has linearly many edges; rows that repeat are

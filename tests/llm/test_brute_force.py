@@ -136,7 +136,7 @@ def test_next_mention_has_an_edge_however_far(spark):
     prior = np.log([0.6, 0.1, 0.1, 0.1, 0.1])
     field = pii_crf.Field(np.zeros((pii_crf.FEATURES, size)), prior, np.zeros((size, size)), 4.0)
     alone = "ask for 555-7777 there"
-    assert field.marginals(alone, pii_crf.tokens_of(alone, []))[0].argmax() == 0
+    assert pii_crf.added_spans(alone, [], field, 0.7)[0] == []
     docs = spark.createDataFrame([(1, text), (2, alone)], "doc_id long, text string")
     got = sorted(pii_crf.scan(docs, field).select("doc_id", "n_phone", "n_added").collect())
     assert got == [(1, 1, 1), (2, 0, 0)]
@@ -145,6 +145,21 @@ def test_next_mention_has_an_edge_however_far(spark):
     assert pii_crf.train(twice).skip == pytest.approx(np.log(49))
 
 
+def test_many_mentions_share_their_label(spark):
+    size = len(pii_crf.LABELS)
+    field = pii_crf.Field(np.zeros((pii_crf.FEATURES, size)), np.zeros(size), np.zeros((size, size)), 6.0)
+    again = " or ask for 555-7777 there" * 60
+    rows = [(1, "phone +1 (212) 555-7777 here" + again), (2, again + " phone +1 (212) 555-7777 here"), (3, again)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(pii_crf.scan(docs, field).select("doc_id", "n_phone", "n_added", "converged").collect())
+    assert got == [(1, 1, 60, True), (2, 1, 60, True), (3, 0, 0, True)]
+    tokens = pii_crf.tokens_of(rows[0][1], pii_crf.base_spans(rows[0][1]))
+    assert not field.marginals(rows[0][1], tokens, rounds=2)[1]
+    # Long chains are run to their end as well.
+    table = " ".join(f"{n} 10.0.0.{n}" for n in range(200))
+    assert field.marginals(table, pii_crf.tokens_of(table, pii_crf.base_spans(table)))[1]
+
+
 def test_benchmark_in_parts(spark):
     items = spark.createDataFrame([(n, f"alpha{n} beta gamma delta") for n in range(30)], "item_id long, text string")
     docs = spark.createDataFrame([(n, f"Say alpha{n} beta, GAMMA delta alpha{n + 1} beta gamma delta!") for n in range(29)], "doc_id long, text string")
