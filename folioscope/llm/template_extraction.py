@@ -2,8 +2,9 @@
 
 A token is a tag with its place in the tree, or a whole text node with its place. Tokens with one occurrence vector
 over a host's pages (how often each page has them) form an equivalence class; classes that enough pages have and whose
-tokens nest in one another are the host's template. What stands between its tokens are slots. Slots that hold the
-article are extracted; menus, notices and whatever else the template or the markup marks as no part of it are not.
+tokens nest in one another are the host's template. What stands between its tokens are slots. On a page with a main
+element its content is extracted, on others all slots but menus; notices and whatever else the template or the markup
+marks as no part of the article are not.
 
 An occurrence vector is as long as a host has pages, so it is never built: each token gets a digest of it, a sum over
 pages that is combined before the shuffle.
@@ -213,46 +214,41 @@ def token_counts(pages: DataFrame) -> DataFrame:
     )
 
 
-def template_of(rows: list[dict], host_pages: int, options: TemplateOptions) -> tuple[list[str], list[str]]:
-    """Paths of the host's slots that hold the article, and the text tokens that are template.
+def slot_of(path: str, skeleton: frozenset[str]) -> str:
+    """The deepest element around a text that is in the template with all elements around it."""
+    parts = path.split("/")
+    depth = 0
+    while depth < len(parts) and "/".join(parts[: depth + 1]) in skeleton:
+        depth += 1
+    return "/".join(parts[:depth])
+
+
+def template_of(rows: list[dict], host_pages: int, options: TemplateOptions) -> tuple[list[str], list[str], list[str]]:
+    """Paths of the elements that are in the host's template, those of them that are menus as slots, and the text
+    tokens that are template.
 
     ``rows`` are the host's tokens. Classes of tags with one occurrence vector are valid if enough pages have them
     and more than one token is in them; an element is in the template if its tag is in a valid class of single
-    occurrences and all elements around it are, too. A slot is the deepest such element around a text.
+    occurrences and all elements around it are, too. A slot is the deepest such element around a text; it is a menu if
+    most of its words are in links.
     """
     classes: dict[tuple, list[str]] = {}
     for row in rows:
         if row["what"] == "tag" and 100 * row["pages"] >= options.percent * host_pages:
             vector = (row["pages"], row["times"], row["vector_one"], row["vector_two"])
             classes.setdefault(vector, []).append(row["token"])
-    skeleton: set[str] = set()
+    valid: set[str] = set()
     for (pages, times, _, _), tokens in classes.items():
         if len(tokens) > 1 and pages == times:
-            skeleton.update(token for token in tokens if "<" in token)
-
-    def slot(path: str) -> str:
-        parts = path.split("/")
-        depth = 0
-        while depth < len(parts) and "/".join(parts[:depth]) + "<" + parts[depth] in skeleton:
-            depth += 1
-        return "/".join(parts[:depth])
-
+            valid.update(token.replace("<", "/", 1).lstrip("/") for token in tokens if "<" in token)
+    skeleton = frozenset(path for path in valid if slot_of(path, valid) == path)
     slots: dict[str, list[int]] = {}
-    inside_main = set()
     for row in rows:
         if row["what"] == "path":
-            place = slot(row["token"])
-            sums = slots.setdefault(place, [0, 0])
+            sums = slots.setdefault(slot_of(row["token"], skeleton), [0, 0])
             sums[0] += row["words"]
             sums[1] += row["linked"]
-            if MAIN & {part.partition("[")[0] for part in row["token"].split("/")}:
-                inside_main.add(place)
-    if inside_main:
-        chosen = inside_main
-    else:
-        total = sum(words for words, _ in slots.values())
-        # A slot of mostly links, or of next to none of the words, is a menu or a notice.
-        chosen = {place for place, (words, linked) in slots.items() if 2 * linked <= words and 50 * words >= total}
+    menus = [place for place, (words, linked) in slots.items() if 2 * linked > words]
     fixed = [
         row["token"]
         for row in rows
@@ -260,18 +256,22 @@ def template_of(rows: list[dict], host_pages: int, options: TemplateOptions) ->
         and host_pages >= options.text_pages
         and 100 * row["pages"] >= options.text_percent * host_pages
     ]
-    return sorted(chosen), sorted(fixed)
+    return sorted(skeleton), sorted(menus), sorted(fixed)
+
+
+TEMPLATE = "host string, skeleton array<string>, menus array<string>, fixed array<string>"
 
 
 def _deducing(options: TemplateOptions):
     def task(table: pa.Table) -> pa.Table:
         host_pages = table.column("host_pages")[0].as_py()
-        chosen, fixed = template_of(table.to_pylist(), host_pages, options)
+        skeleton, menus, fixed = template_of(table.to_pylist(), host_pages, options)
         kind = pa.list_(pa.string())
         return pa.table(
             {
                 "host": table.column("host").slice(0, 1),
-                "slots": pa.array([chosen], kind),
+                "skeleton": pa.array([skeleton], kind),
+                "menus": pa.array([menus], kind),
                 "fixed": pa.array([fixed], kind),
             }
         )
@@ -280,7 +280,7 @@ def _deducing(options: TemplateOptions):
 
 
 def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
-    """``host``, ``slots`` and ``fixed``: a row per host. Text nodes that too few pages have are left out before
+    """``host``, ``skeleton``, ``menus`` and ``fixed``: a row per host. Text nodes that too few pages have are left out before
     tokens of a host meet, so what meets follows the site's structure, not its number of pages."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages")).withColumnRenamed("host", "host_of")
     counted = token_counts(pages).join(hosts, F.col("host").eqNullSafe(F.col("host_of")))
@@ -290,28 +290,42 @@ def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
         counted.filter(enough)
         .select("host", "host_pages", "what", "token", "pages", "times", "vector_one", "vector_two", "words", "linked")
         .groupBy("host")
-        .applyInArrow(_deducing(options), "host string, slots array<string>, fixed array<string>")
+        .applyInArrow(_deducing(options), TEMPLATE)
     )
 
 
-def article(page: str, slots: frozenset[str], fixed: frozenset[str]) -> str:
-    """The text of a page's article slots, blocks joined by one space."""
-    found = []
-    for path, text, _, _ in blocks(page):
-        if not text or any(map(silent, path)) or text_token(path, text) in fixed:
-            continue
-        if MAIN & {part.partition("[")[0] for part in path} or any(
-            "/".join(path[:depth]) in slots for depth in range(len(path), -1, -1)
-        ):
-            found.append(text)
-    return " ".join(found)
+def article(page: str, skeleton: frozenset[str], menus: frozenset[str], fixed: frozenset[str]) -> str:
+    """The text of a page's article, blocks joined by one space.
+
+    On a page with text in a main element that is what the main elements hold. On any other it is the text of all
+    slots, whatever their share of the host's words, but those that are menus: most of their words are in links, over
+    the host and on this page.
+    """
+    held = [
+        (path, text, linked)
+        for path, text, linked, _ in blocks(page)
+        if text and not any(map(silent, path)) and text_token(path, text) not in fixed
+    ]
+    main = [text for path, text, _ in held if any(part.partition("[")[0] in MAIN for part in path)]
+    if main:
+        return " ".join(main)
+    if not menus:
+        return " ".join(text for _, text, _ in held)
+    places = [slot_of("/".join(path), skeleton) for path, _, _ in held]
+    sums = {place: [0, 0] for place in places}
+    for place, (_, text, linked) in zip(places, held):
+        number = text.count(" ") + 1
+        sums[place][0] += number
+        sums[place][1] += number * linked
+    menu = {place for place, (words, linked) in sums.items() if place in menus and 2 * linked > words}
+    return " ".join(text for place, (_, text, _) in zip(places, held) if place not in menu)
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str | None, tuple[frozenset[str], frozenset[str]]] = {}
+    known: dict[str | None, tuple[frozenset[str], ...]] = {}
     for whole in batches:
         for batch in batches_of(whole, "html"):
             texts = []
@@ -320,8 +334,8 @@ def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if host not in known:
                     if len(known) > 2_000:
                         known.clear()
-                    slots, fixed = (batch.column(name)[place].as_py() or () for name in ("slots", "fixed"))
-                    known[host] = frozenset(slots), frozenset(fixed)
+                    template = (batch.column(name)[place].as_py() or () for name in ("skeleton", "menus", "fixed"))
+                    known[host] = tuple(map(frozenset, template))
                 texts.append(article(page or "", *known[host]))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -364,4 +378,4 @@ def extract(pages: DataFrame, options: TemplateOptions | None = None) -> DataFra
         joined = rows.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(
             salted, same & (F.col("salt") == F.col("salt_of")), "left"
         )
-    return joined.select("page_id", "url", "html", "host", "slots", "fixed").mapInArrow(_extracting, EXTRACTED)
+    return joined.select("page_id", "url", "html", "host", "skeleton", "menus", "fixed").mapInArrow(_extracting, EXTRACTED)

@@ -106,3 +106,20 @@ def test_pages(spark):
     assert got[3, "http://h.example/2"] == ("", 0) == got[None, "no url"]
     assert got[4, "http://i.example/"][0] == "plain text here"
     assert template_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_rare_layouts_are_articles(spark):
+    def layout(n: int, start: str, end: str) -> str:
+        story = " ".join(f"word{n}x{m}" for m in range(50))
+        links = f"<div class='top'><a href='/'>one link {n}</a> <a href='/'>two links {n}</a></div>"
+        return f"<html><body>{links}{start}<h1>title{n}</h1><p>{story}</p>{end}</body></html>"
+
+    usual, rare = ("<div class='story'>", "</div>"), ("<section class='text'>", "</section>")
+    plain = [(n, f"http://plain.example/{n}", layout(n, *(usual if n % 100 else rare))) for n in range(200)]
+    # One page with a main element; and a host where most have one.
+    one = [(1000 + n, f"http://one.example/{n}", layout(n, *(usual if n else ("<main>", "</main>")))) for n in range(20)]
+    most = [(2000 + n, f"http://most.example/{n}", layout(n, *(usual if n % 4 == 0 else ("<article>", "</article>")))) for n in range(20)]
+    pages = spark.createDataFrame(plain + one + most, "page_id long, url string, html string")
+    for row in template_extraction.extract(pages).collect():
+        n = row.page_id % 1000
+        assert row.text.split() == [f"title{n}", *(f"word{n}x{m}" for m in range(50))], row.url
