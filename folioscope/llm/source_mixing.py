@@ -2,29 +2,35 @@
 
 Each source is a chain of blocks. With weight w, its j-th block (from 0) is released at slot floor(j / w) and due by
 slot ceil((j + 1) / w). Every slot goes to the released block with the earliest deadline, which keeps each source less
-than one block from its share at all times. Weights are whole units of a period, so the schedule repeats with the
-period: one period is laid out, and every block of the corpus finds its slot by arithmetic on its number.
+than one block from its share at all times. Weights are exact: floating-point numbers are whole multiples of one small
+unit, so releases and deadlines are taken in whole numbers. Slots follow one another, so one task lays the schedule out,
+a row for each block; it holds a few numbers for each source, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.scratch import Scratch
 
-# Sources have a row each in the driver; more than this is an error.
-MOST_SOURCES = 20_000
+# Up to so many sources their sizes are broadcast; more meet the documents in a salted shuffle.
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 
 
 @dataclass(frozen=True)
 class MixOptions:
     """``weights`` by source; where it is None, a source weighs its size to the power ``exponent``. Sizes are
-    characters plus one a document; a block is ``block`` of them. ``period`` bounds the laid-out schedule."""
+    characters plus one a document; a block is ``block`` of them. ``period`` is how many slots of the schedule are
+    held at once; the schedule does not depend on it."""
 
     weights: Mapping[str, float] | None = None
     exponent: float = 0.5
@@ -32,94 +38,119 @@ class MixOptions:
     period: int = 1 << 10
 
 
-@dataclass(frozen=True)
+@dataclass
 class Phase:
-    """A stretch of slots in which the same sources still have blocks.
-
-    ``slots[source]`` are its slots in one period, ``first[source]`` its first block here.
-    """
+    """A stretch of slots in which the same sources still have blocks."""
 
     start: int
     length: int
-    period: int
-    slots: dict
-    first: dict
-
-
-def units(weights: Mapping, period: int) -> dict:
-    """Whole units of a period by largest remainder, at least one each, so that they sum to the period."""
-    total = sum(weights.values())
-    exact = {source: weight / total * period for source, weight in weights.items()}
-    found = {source: max(1, int(share)) for source, share in exact.items()}
-    order = sorted(exact, key=lambda source: (found[source] - exact[source], str(source)))
-    place = 0
-    while sum(found.values()) < period:
-        found[order[place % len(order)]] += 1
-        place += 1
-    while sum(found.values()) > period:
-        largest = max(found, key=lambda source: (found[source] - exact[source], found[source], str(source)))
-        if found[largest] == 1:
-            largest = max(found, key=lambda source: found[source])
-        found[largest] -= 1
-    return found
 
 
-def one_period(shares: Mapping, period: int) -> dict:
-    """Slots of each source in one period: of the released blocks, the one with the earliest deadline.
+def _slots(units: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """First slot of the phase, source and block number of each slot. Sources are numbers, by falling ``units``.
 
-    Ties go to the source with the larger share, then by name.
+    A phase ends when a source is used up. In the next all others begin anew at its first slot, where the one with the
+    largest weight has the earliest deadline. So sources without a block in the phase stay in their order, and only
+    those with one are in the heaps: no phase costs more than its slots.
     """
-
-    def block(source, number: int) -> tuple:
-        share = shares[source]
-        return number * period // share, -(-(number + 1) * period // share), -share, str(source), source, number
-
-    waiting = [block(source, 0) for source in shares]
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    slots: dict = {source: [] for source in shares}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            entry = heapq.heappop(waiting)
-            heapq.heappush(ready, entry[1:])
-        if not ready:
+    total, size = sum(units), len(units)
+    used, following = [0] * size, list(range(size + 1))
+
+    def alive(source: int) -> int:
+        """The first source from this one on that is not used up."""
+        found = source
+        while following[found] != found:
+            found = following[found]
+        while following[source] != found:
+            following[source], source = found, following[source]
+        return found
+
+    start = slot = 0
+    ready: list[tuple[int, int, int]] = []
+    waiting: list[tuple[int, int, int]] = []
+    fresh = alive(0)
+    while total:
+        now = slot - start
+        while waiting and waiting[0][0] <= now:
+            _, source, number = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(number + 1) * total // units[source]), source, number))
+        first = (-(-total // units[fresh]), fresh, 0) if fresh < size else None
+        if first and (not ready or first < ready[0]):
+            fresh = alive(fresh + 1)
+        elif ready:
+            first = heapq.heappop(ready)
+        else:
             raise RuntimeError("a slot without a released block")
-        deadline, _, _, source, number = heapq.heappop(ready)
-        if slot >= deadline:
+        deadline, source, number = first
+        if now >= deadline:
             raise RuntimeError("a block missed its deadline")
-        slots[source].append(slot)
-        if number + 1 < shares[source]:
-            heapq.heappush(waiting, block(source, number + 1))
-    return slots
+        yield start, source, used[source]
+        used[source] += 1
+        slot += 1
+        if used[source] < blocks[source]:
+            heapq.heappush(waiting, ((number + 1) * total // units[source], source, number + 1))
+        else:
+            total -= units[source]
+            following[source] = source + 1
+            start, ready, waiting, fresh = slot, [], [], alive(0)
+
+
+def laid_out(blocks: Mapping, weights: Mapping, period: int) -> Iterator[list[tuple]]:
+    """Lists of at most ``period`` slots: first slot of the phase, slot, source and block number, until every source is
+    used up. When one is, the others share its part from the next slot on. Ties go to the source with the larger
+    weight, then by name. Sources of weight 0 come after all others, in equal parts."""
+    exact = {source: Fraction(weights[source]) for source, count in blocks.items() if count}
+    if any(weight < 0 for weight in exact.values()):
+        raise ValueError("a weight below 0")
+    scale = math.lcm(*(weight.denominator for weight in exact.values()))
+    units = {source: int(weight * scale) for source, weight in exact.items()}
+    order = sorted(units, key=lambda source: (-units[source], str(source), source is None))
+    held: list[tuple] = []
+    before = 0
+    for part in ([name for name in order if units[name]], [name for name in order if not units[name]]):
+        slot = before
+        for start, source, number in _slots([units[name] or 1 for name in part], [blocks[name] for name in part]):
+            held.append((before + start, slot, part[source], number))
+            slot += 1
+            if len(held) >= period:
+                yield held
+                held = []
+        before = slot
+    if held:
+        yield held
 
 
 def phases(blocks: Mapping, weights: Mapping, period: int) -> list[Phase]:
-    """The schedule until every source is used up. When one is, the others share its part from the next slot on."""
-    left = {source: count for source, count in blocks.items() if count}
-    used = {source: 0 for source in left}
-    start, found = 0, []
-    while left:
-        length = max(period, len(left))
-        shares = units({source: weights[source] for source in left}, length)
-        slots = one_period(shares, length)
-
-        def last_slot(source) -> int:
-            whole, rest = divmod(left[source] - 1, shares[source])
-            return whole * length + slots[source][rest]
-
-        end = min(last_slot(source) for source in left) + 1
-        found.append(Phase(start, end, length, slots, dict(used)))
-        for source in list(left):
-            whole, rest = divmod(end, length)
-            done = whole * shares[source] + sum(slot < rest for slot in slots[source])
-            used[source] += done
-            left[source] -= done
-            if not left[source]:
-                del left[source]
-        start += end
+    """The phases of the schedule."""
+    found: list[Phase] = []
+    for piece in laid_out(blocks, weights, period):
+        for start, _, _, _ in piece:
+            if not found or found[-1].start != start:
+                found.append(Phase(start, 0))
+            found[-1].length += 1
     return found
 
 
+SLOTS = "slot_source string, slot_block long, slot long"
+
+
+def _laying(period: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, weights = {}, {}
+        for batch in batches:
+            names = batch.column("source").to_pylist()
+            blocks.update(zip(names, batch.column("blocks").to_pylist()))
+            weights.update(zip(names, batch.column("weight").to_pylist()))
+        for piece in laid_out(blocks, weights, period):
+            _, slots, names, numbers = zip(*piece)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(numbers, pa.int64()), pa.array(slots, pa.int64())],
+                ["slot_source", "slot_block", "slot"],
+            )
+
+    return task
+
+
 def mixed(docs: DataFrame, options: MixOptions | None = None, source: str = "source") -> DataFrame:
     """Each row of ``docs`` as ``doc_id``, ``source``, its ``block`` number within the source, the ``slot`` of that
     block in the mix, and ``place``, its rank within the block. Reading by ``slot``, then ``place`` gives the mix.
@@ -144,22 +175,31 @@ def mixed(docs: DataFrame, options: MixOptions | None = None, source: str = "sou
         F.xxhash64("text").alias("tie"),
     )
     narrow = scratch.write(narrow, "documents")
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"{len(totals)} sources; the mix takes at most {MOST_SOURCES}")
-    sizes = {row["source"]: row["size"] for row in totals}
+    totals = narrow.groupBy("source").agg(F.sum("size").alias("size"))
     if options.weights is None:
-        weights = {name: max(1, size) ** options.exponent for name, size in sizes.items()}
+        weighed = totals.withColumn("weight", F.pow("size", F.lit(options.exponent)))
     else:
-        weights = {name: options.weights[name] for name in sizes}
-    blocks = {name: max(1, -(-size // options.block)) for name, size in sizes.items()}
+        rows = [(name, float(weight)) for name, weight in options.weights.items()]
+        given = spark.createDataFrame(rows, "given_source string, weight double")
+        weighed = totals.join(given, F.col("source").eqNullSafe(F.col("given_source")), "left")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / options.block)).cast("long")
+    per_source = scratch.write(weighed.select("source", blocks.alias("blocks"), "weight"), "sources")
+    lacking = per_source.filter("weight is null").first()
+    if lacking:
+        raise KeyError(lacking["source"])
+    # One task for all sources: a slot depends on those before it.
+    schedule = scratch.write(per_source.coalesce(1).mapInArrow(_laying(options.period), SLOTS), "schedule")
     # As many hash ranges as blocks: a range holds about a block's documents.
-    schema = "source string, blocks long"
-    per_source = spark.createDataFrame([(name, count) for name, count in blocks.items()], schema)
+    known = per_source.select(F.col("source").alias("source_of"), "blocks")
     same_source = F.col("source").eqNullSafe(F.col("source_of"))
-    # At most MOST_SOURCES rows.
-    known = F.broadcast(per_source.withColumnRenamed("source", "source_of"))
-    ranged = narrow.join(known, same_source).withColumn(
+    if known.count() <= BROADCAST_SOURCES:
+        joined = narrow.join(F.broadcast(known), same_source)
+    else:
+        salted = known.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = narrow.withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int")).join(
+            salted, same_source & (F.col("salt") == F.col("salt_of"))
+        )
+    ranged = joined.withColumn(
         "range", F.floor((F.shiftrightunsigned("order", 32) * F.col("blocks")) / F.lit(float(1 << 32))).cast("long")
     )
     in_range = Window.partitionBy("source", "range").orderBy("order", "doc_id", "tie")
@@ -191,26 +231,8 @@ def mixed(docs: DataFrame, options: MixOptions | None = None, source: str = "sou
     ).withColumn("offset", F.col("start") + F.col("before"))
     block = F.least(F.floor(F.col("offset") / options.block), F.col("blocks") - 1).cast("long")
     placed = placed.select("doc_id", "source", block.alias("block"), "offset", "order", "tie")
-    rows = [
-        (name, phase.first[name], phase.start, phase.period, slots)
-        for phase in phases(blocks, weights, options.period)
-        for name, slots in phase.slots.items()
-    ]
-    plan = spark.createDataFrame(rows, "plan_source string, first long, start_slot long, period long, slots array<int>")
-    # A block belongs to the last phase that starts at or before it.
-    plan = plan.groupBy("plan_source").agg(
-        F.sort_array(F.collect_list(F.struct("first", "start_slot", "period", "slots"))).alias("plan")
-    )
-    # Bounded by sources and period; read by every row of a source, so it is broadcast.
-    found = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source")))
-    phase = F.element_at(F.filter("plan", lambda each: each["first"] <= F.col("block")), -1)
-    found = found.withColumn("phase", phase).withColumn("inner", F.col("block") - F.col("phase")["first"])
-    share = F.size(F.col("phase")["slots"])
-    slot = (
-        F.col("phase")["start_slot"]
-        + F.floor(F.col("inner") / share) * F.col("phase")["period"]
-        + F.get(F.col("phase")["slots"], F.pmod(F.col("inner"), share).cast("int"))
+    found = placed.join(
+        schedule, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block"))
     )
-    found = found.withColumn("slot", slot.cast("long"))
     in_block = Window.partitionBy("source", "block").orderBy("offset", "order", "doc_id", "tie")
     return found.select("doc_id", "source", "block", "slot", F.row_number().over(in_block).cast("long").alias("place"))

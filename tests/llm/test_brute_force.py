@@ -107,6 +107,45 @@ def test_mix_keeps_shares(spark):
         assert all(abs(taken[name] - (slot + 1) * weights[name]) < 1 for name in weights)
 
 
+@pytest.mark.parametrize("sources", [20, 1500])
+def test_mix_keeps_exact_shares(sources):
+    # One source with a third; the weights are whole units of no period.
+    sizes = {f"s{n}": 50 + n % 7 for n in range(1, sources)} | {"s0": 25 * sources}
+    weights = {name: size**0.5 for name, size in sizes.items()}
+    blocks = {name: 4 if sources > 20 else 400 for name in sizes}
+    rows = [row for piece in source_mixing.laid_out(blocks, weights, 100) for row in piece]
+    assert [row[1] for row in rows] == list(range(sum(blocks.values())))
+    assert Counter(row[2] for row in rows) == blocks
+    total, left, numbers = sum(weights.values()), dict(blocks), Counter()
+    taken, last = Counter(), 0
+    for start, slot, name, number in rows:
+        if start != last:
+            total, taken, last = sum(weights[key] for key in left), Counter(), start
+        assert number == numbers[name]
+        numbers[name] += 1
+        taken[name] += 1
+        if slot % 97 == 0:
+            assert all(abs(taken[key] - (slot + 1 - start) * weights[key] / total) < 1 for key in left)
+        left[name] -= 1
+        if not left[name]:
+            del left[name]
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    rows = [(n, "x" * 40, f"s{n % 1200}" if n % 1200 else None) for n in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = source_mixing.MixOptions(block=30)
+    one = sorted(source_mixing.mixed(docs, options).collect(), key=str)
+    monkeypatch.setattr(source_mixing, "BROADCAST_SOURCES", 10)
+    assert one == sorted(source_mixing.mixed(docs, options).collect(), key=str)
+    assert len(one) == len(rows) and len({(row.source, row.block) for row in one}) == len({row.slot for row in one})
+    weights = {None: 0.0, "s1": 3} | {f"s{n}": 1 for n in range(2, 1200)}
+    by_slot = sorted(source_mixing.mixed(docs, source_mixing.MixOptions(weights, block=30)).collect(), key=lambda row: row.slot)
+    assert {row.source for row in by_slot[-2:]} == {None}
+    with pytest.raises(KeyError):
+        source_mixing.mixed(docs, source_mixing.MixOptions({"s1": 1.0}))
+
+
 def test_personal_data_expressions():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(5)
