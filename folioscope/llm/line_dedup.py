@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +19,14 @@ class LineOptions:
     """A line goes where more than ``percent`` percent of the host's pages carry it and at least ``least_pages`` do.
 
     A host has at most (lines a page) * 100 / ``percent`` such lines, whatever its size. Their table is broadcast up
-    to ``broadcast_lines`` rows (16 bytes each) and met by a salted shuffle beyond.
+    to ``broadcast_lines`` rows (16 bytes each) and met by a salted shuffle beyond. Copies of one text are one page of
+    their host, or, with ``copies``, a page each.
     """
 
     percent: int = 5
     least_pages: int = 5
     broadcast_lines: int = 1_000_000
+    copies: bool = False
 
 
 def line_keys(text: Column) -> Column:
@@ -41,10 +43,18 @@ def boilerplate(pages: DataFrame, options: LineOptions) -> DataFrame:
     ``pages`` has ``host`` and ``text``. A page counts once for a line it repeats. Counts are combined before the
     shuffle, so neither a host with a third of all pages nor a line on all of them makes a heavy task.
     """
-    lines = pages.select("host", F.explode(F.array_distinct(line_keys(F.col("text")))).alias("line"))
+    keys = F.array_distinct(line_keys(F.col("text"))).alias("keys")
+    if options.copies:
+        texts, each = pages.select("host", keys), pages.select("host")
+    else:
+        # Copies are combined before the shuffle.
+        hashed = pages.withColumn("hash", F.xxhash64("text"))
+        texts = hashed.select("host", "hash", keys).groupBy("host", "hash").agg(F.first("keys").alias("keys"))
+        each = hashed.select("host", "hash").distinct()
+    lines = texts.select("host", F.explode("keys").alias("line"))
     counted = lines.filter("line is not null").groupBy("host", "line").agg(F.count("*").alias("pages"))
     counted = counted.filter(F.col("pages") >= options.least_pages)
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    hosts = each.groupBy("host").agg(F.count("*").alias("host_pages"))
     hosts = hosts.withColumnRenamed("host", "host_of")
     return (
         counted.join(hosts, F.col("host").eqNullSafe(F.col("host_of")))
@@ -57,8 +67,8 @@ def without_boilerplate(docs: DataFrame, options: LineOptions | None = None, hos
     """The rows of ``docs`` with boilerplate lines cut from ``text``; all other columns as they were.
 
     Cases: a null host is a host of its own; a null text stays null and counts as a page without lines; an empty or
-    blank line is kept; a text of which every line goes becomes empty; repeated rows count once each; an empty table
-    gives no rows. A page loses every copy of a dropped line. Lines are compared after trimming and by a 64-bit key.
+    blank line is kept; a text of which every line goes becomes empty; repeated texts of a host count once, so a group
+    of copies is not boilerplate for being one; an empty table gives no rows. A page loses every copy of a dropped line. Lines are compared after trimming and by a 64-bit key.
     """
     options = options or LineOptions()
     spark = docs.sparkSession
@@ -93,7 +103,9 @@ def without_boilerplate(docs: DataFrame, options: LineOptions | None = None, hos
 
 
 def line_report(docs: DataFrame, options: LineOptions | None = None, host: str = "source") -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_lines``, ``n_dropped`` and the cleaned ``text``."""
+    """Per row of ``docs``: ``doc_id``, ``n_lines``, ``n_kept`` and the cleaned ``text``. As in ``oracle``, every row
+    counts as a page."""
+    options = replace(options or LineOptions(), copies=True)
 
     def lines(text: str) -> Column:
         return F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import compare
+import corpus_pipeline
 import numpy as np
 import pytest
 from folioscope.llm import decontamination, jaccard_join, line_dedup, pii_crf, secret_scan, source_mixing, suffix_dedup
@@ -219,6 +220,19 @@ def test_boilerplate_by_host(spark):
     assert {row.text for row in got[0]} == {"own 0\nmenu\nend"} | {f"own {n}" for n in range(1, 40)}
 
 
+def test_copies_are_one_page(spark, tmp_path):
+    prose = "\n".join(f"line {n} of the copied text" for n in range(30))
+    rows = [(n, f"own {n}\nmenu\n" + "\n".join(f"{n} says {m}" for m in range(30)), "h") for n in range(60)]
+    rows += [(100 + n, prose, "h") for n in range(30)] + [(200 + n, prose, "small") for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {row.doc_id: row.text for row in line_dedup.without_boilerplate(docs).collect()}
+    assert all(got[key] == prose for key in got if key >= 100)
+    assert not any("menu" in text for text in got.values()) and all("own" in got[key] for key in range(60))
+    # The pipeline keeps one of the copies, with its text.
+    staged = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, str(tmp_path)), str(tmp_path))
+    assert {row.doc_id: row.text for row in staged.collect() if row.doc_id >= 100} == {100: prose}
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]+") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
