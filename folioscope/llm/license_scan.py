@@ -58,10 +58,13 @@ NOTICES = {
 
 @dataclass(frozen=True)
 class LicenseOptions:
-    """A block is a line with the ``lines`` - 1 lines after it."""
+    """A block is a line with the ``lines`` - 1 lines after it, and with as many more as a notice may be wrapped over:
+    those that begin before the lines after the first have ``room`` times the notice's words. Lines without a word do
+    not count."""
 
     percent: int = 80
     lines: int = 3
+    room: int = 2
     notices: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: NOTICES)
     phrases: Mapping[str, str] = field(default_factory=lambda: PHRASES)
 
@@ -121,16 +124,19 @@ def matched_notices(rows: DataFrame, options: LicenseOptions, scratch: Scratch)
     notices = notice_table(options)
     vocabulary = sorted({word for _, _, words in notices for word in words})
     least = min(-(-len(words) * options.percent // 100) for _, _, words in notices)
+    rooms = [options.room * len(_plain_words(text)) for texts in options.notices.values() for text in texts]
     lines = F.transform(
-        F.split("text", "\n"),
-        lambda line: F.array_distinct(
-            F.filter(F.split(F.lower(line), NOT_WORD), lambda word: word.isin(vocabulary))
+        F.transform(F.split("text", "\n"), lambda line: words_of(F.lower(line))),
+        lambda words: F.struct(
+            F.array_distinct(F.filter(words, lambda word: word.isin(vocabulary))).alias("words"),
+            F.size(words).alias("count"),
         ),
     )
+    lines = F.filter(lines, lambda line: line["count"] > 0)
     reduced = scratch.write(rows.select("doc_id", "key", lines.alias("lines")), "reduced")
     # Over all documents: how many have each word of the notices.
     counted = (
-        reduced.select(F.explode(F.array_distinct(F.flatten("lines"))).alias("word")).groupBy("word").count().collect()
+        reduced.select(F.explode(F.array_distinct(F.flatten("lines.words"))).alias("word")).groupBy("word").count().collect()
     )
     count = {row["word"]: row["count"] for row in counted}
     rank = {word: n for n, word in enumerate(sorted(vocabulary, key=lambda word: (count.get(word, 0), word)))}
@@ -140,26 +146,64 @@ def matched_notices(rows: DataFrame, options: LicenseOptions, scratch: Scratch)
         ordered = sorted(rank[word] for word in words)
         needed = -(-len(ordered) * options.percent // 100)
         for place, element in enumerate(ordered[: len(ordered) - needed + 1]):
-            entries.append((element, place, number, label, ordered, needed))
+            entries.append((element, place, number, label, ordered, needed, rooms[number]))
     prefixes = spark.createDataFrame(
-        entries, "element int, place int, notice int, label string, elements array<int>, needed int"
+        entries, "element int, place int, notice int, label string, elements array<int>, needed int, room int"
     )
 
+    most = max(rooms)
+
+    def placed(words: Column, before: Column) -> Column:
+        return F.transform(words, lambda word: F.struct(word.alias("word"), before.alias("before")))
+
     def window(all_lines: Column) -> Column:
-        none = F.array().cast("array<string>")
+        """Blocks of all lines: their words, each with how many words stand between the first line and its own; 0 in
+        the lines that every block has."""
+
+        def words_in(first: Column, count: int) -> Column:
+            return F.aggregate(F.slice(all_lines, first, count), F.lit(0), lambda sum_, line: sum_ + line["count"])
 
         def block(line: Column, n: Column) -> Column:
-            following = (F.coalesce(F.get(all_lines, n + more), none) for more in range(1, options.lines))
-            return F.array_distinct(F.flatten(F.array(line, *following)))
+            # Of slice(), places begin at 1.
+            own = F.flatten(F.slice(all_lines, n + 1, options.lines)["words"])
+            base, behind = placed(F.array_distinct(own), F.lit(0)), n + 1 + options.lines
+
+            def grown(count: int) -> Column:
+                return F.aggregate(
+                    F.slice(all_lines, behind, count),
+                    F.struct(words_in(n + 2, options.lines - 1).alias("sum"), base.alias("words")),
+                    lambda held, more: F.when(held["sum"] >= most, held).otherwise(
+                        F.struct(
+                            (held["sum"] + more["count"]).alias("sum"),
+                            F.concat(held["words"], placed(more["words"], held["sum"])).alias("words"),
+                        )
+                    ),
+                    lambda held: held["words"],
+                )
+
+            # Only where lines are short are many of them looked at. A line has a word at least.
+            return (
+                F.when((words_in(n + 2, options.lines - 1) >= most) | (behind > F.size(all_lines)), base)
+                .when(words_in(n + 2, 10) >= most, grown(10))
+                .otherwise(grown(most))
+            )
 
         return F.transform(all_lines, block)
 
     blocks = F.element_at(F.transform(F.array(F.col("lines")), window), 1)
-    blocks = F.array_distinct(F.filter(blocks, lambda block: F.size(block) >= least))
+    blocks = F.array_distinct(F.filter(blocks, lambda block: F.size(F.array_distinct(block["word"])) >= least))
+    ranked = F.sort_array(
+        F.transform("block", lambda each: F.struct(ranks[each["word"]].alias("rank"), each["before"].alias("before")))
+    )
+    # Of a word that stands in a block more than once, its first place.
     held = (
         reduced.select("doc_id", "key", F.explode(blocks).alias("block"))
-        .withColumn("block", F.sort_array(F.transform("block", lambda word: ranks[word])))
-        .select("doc_id", "key", "block", F.posexplode("block").alias("at", "element"))
+        .withColumn("block", ranked)
+        .withColumn(
+            "block",
+            F.filter("block", lambda each, n: (n == 0) | (F.get("block", n - 1)["rank"] != each["rank"])),
+        )
+        .select("doc_id", "key", "block", F.posexplode("block.rank").alias("at", "element"))
     )
     # The notices are constants, so their table is broadcast.
     met = held.join(F.broadcast(prefixes), "element").filter(
@@ -167,7 +211,8 @@ def matched_notices(rows: DataFrame, options: LicenseOptions, scratch: Scratch)
         (F.size("block") >= F.col("needed"))
         & (F.least(F.size("block") - F.col("at"), F.size("elements") - F.col("place")) + F.col("place") >= F.col("needed"))
     )
-    common = F.size(F.array_intersect("block", "elements"))
+    near = F.filter("block", lambda each: each["before"] < F.col("room"))
+    common = F.size(F.array_intersect(near["rank"], "elements"))
     return (
         met.withColumn("common", common)
         .filter(F.col("common") >= F.col("needed"))

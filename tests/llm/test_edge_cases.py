@@ -123,3 +123,19 @@ def test_rare_layouts_are_articles(spark):
     for row in template_extraction.extract(pages).collect():
         n = row.page_id % 1000
         assert row.text.split() == [f"title{n}", *(f"word{n}x{m}" for m in range(50))], row.url
+
+
+def test_wrapped_notices(spark):
+    notice = license_scan.NOTICES["mit"][1].split()
+    wrapped = [
+        "\n".join(" ".join(notice[n : n + 6]) for n in range(0, len(notice), 6)),
+        "\n\n".join(" ".join(notice[n : n + 12]) for n in range(0, len(notice), 12)),
+        "\n".join(notice),
+        "\n".join("# " + word for word in notice),
+    ]
+    prose = "A plain line that is no part of it.\n" * 5
+    rows = [(n, prose + text + "\n" + prose) for n, text in enumerate(wrapped)]
+    # Its halves far apart are no block.
+    rows += [(10, " ".join(notice[:16]) + "\n" + "other things are told here\n" * 40 + " ".join(notice[16:])), (11, prose)]
+    got = {row.doc_id: (row.labels, row.score) for row in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: ("mit", 1.0) for n in range(4)} | {10: ("", 0.0), 11: ("", 0.0)}
