@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import (
     decontamination,
+    divergence_audit,
+    embedding_whitening,
+    exact_dedup,
     jaccard_join,
     license_scan,
     line_dedup,
@@ -62,6 +66,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -73,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
@@ -80,4 +100,6 @@ ORACLE: dict[str, str] = {
     "op6_secret_scan": secret_scan.oracle(),
     "op9_line_dedup": line_dedup.oracle(),
     "op10_decontamination": decontamination.oracle(),
+    "op11_divergence_audit": divergence_audit.oracle(),
+    "op13_exact_dedup": exact_dedup.oracle(),
 }
