@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,9 +103,8 @@ def without_boilerplate(docs: DataFrame, options: LineOptions | None = None, hos
 
 
 def line_report(docs: DataFrame, options: LineOptions | None = None, host: str = "source") -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``n_lines``, ``n_kept`` and the cleaned ``text``. As in ``oracle``, every row
-    counts as a page."""
-    options = replace(options or LineOptions(), copies=True)
+    """Per row of ``docs``: ``doc_id``, ``n_lines``, ``n_kept`` and the cleaned ``text``. Cases as in
+    ``without_boilerplate``: copies of one text are one page of their host."""
 
     def lines(text: str) -> Column:
         return F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
@@ -117,19 +116,20 @@ def line_report(docs: DataFrame, options: LineOptions | None = None, host: str =
 
 
 def oracle(options: LineOptions = LineOptions()) -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL. Pages of a host are its distinct texts, null one of them."""
     return f"""
-WITH lines AS (SELECT doc_id, source, spot, line, trim(line, e' \\t\\n\\x0b\\x0c\\r') AS cut FROM (
-    SELECT doc_id, source, unnest(range(1, len(parts) + 1)) AS spot, unnest(parts) AS line
-    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents))),
-hosts AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
-dropped AS (SELECT source, cut FROM (SELECT source, cut, count(DISTINCT doc_id) AS pages FROM lines
+WITH numbered AS MATERIALIZED (SELECT row_number() OVER () AS rowid, doc_id, source, text FROM documents),
+lines AS (SELECT id, source, spot, line, trim(line, e' \\t\\n\\x0b\\x0c\\r') AS cut, text FROM (
+    SELECT id, source, text, unnest(range(1, len(parts) + 1)) AS spot, unnest(parts) AS line
+    FROM (SELECT rowid AS id, source, text, string_split(text, chr(10)) AS parts FROM numbered))),
+hosts AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INTEGER) AS host_pages FROM documents GROUP BY source),
+dropped AS (SELECT source, cut FROM (SELECT source, cut, count(DISTINCT text) AS pages FROM lines
     WHERE cut <> '' GROUP BY source, cut) JOIN hosts USING (source)
   WHERE pages >= {options.least_pages} AND 100 * pages > {options.percent} * host_pages),
-kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY spot) AS text FROM lines
+kept AS (SELECT id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY spot) AS text FROM lines
   WHERE NOT EXISTS (SELECT 1 FROM dropped WHERE dropped.source = lines.source AND dropped.cut = lines.cut)
-  GROUP BY doc_id)
-SELECT doc_id, len(string_split(documents.text, chr(10))) AS n_lines,
+  GROUP BY id)
+SELECT doc_id, len(string_split(numbered.text, chr(10))) AS n_lines,
   CASE WHEN coalesce(kept.text, '') = '' THEN 0 ELSE n_kept END AS n_kept, coalesce(kept.text, '') AS text
-FROM documents LEFT JOIN kept USING (doc_id)
+FROM numbered LEFT JOIN kept ON kept.id = numbered.rowid
 """

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import compare
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 from folioscope.llm import decontamination, jaccard_join, line_dedup, pii_crf, secret_scan, source_mixing, suffix_dedup
@@ -237,3 +238,24 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]+") is None
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secret_scan.trigrams_of(secret_scan.trigram_query("(abcd|xyz)=?[0-9]+")) == {"abc", "bcd", "xyz"}
+
+
+def test_rows_that_repeat_an_id(spark, tmp_path):
+    one, other = (" ".join(f"{name}{n}" for n in range(60)) for name in ("pear", "fig"))
+    rows = [(1, one), (2, one), (2, other), (5, "a b"), (5, "a b"), (None, one), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(row) for row in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (2, other), (5, "a b"), (None, one), (7, None), (7, None)], key=str)
+
+
+def test_line_report_keeps_groups_of_copies(spark):
+    prose = "\n".join(f"line {n} of the copied text" for n in range(30))
+    rows = [(n, f"own {n}\nmenu\n" + "\n".join(f"{n} says {m}" for m in range(9)), "h") for n in range(60)]
+    rows += [(100 + n, prose, "h") for n in range(30)] + [(100, "menu\nnew", "h"), (200, None, "h"), (201, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.line_report(docs).collect()
+    assert {(row.n_lines, row.n_kept, row.text) for row in got if row.doc_id in range(101, 130)} == {(30, 30, prose)}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.sql(line_dedup.oracle()).select("doc_id", "n_kept", "text").fetchall()
+    assert sorted((row.doc_id, row.n_kept, row.text or "") for row in got) == sorted(want)
