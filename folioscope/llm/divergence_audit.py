@@ -20,8 +20,10 @@ from folioscope.llm.scratch import Scratch, batches_of
 from folioscope.llm.words import LOWER, _segments, byte_class, text_bytes
 
 LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-# Partial counts a task holds before it passes them on.
-HELD_ROWS = 400_000
+# Bytes of text that are counted at a time.
+SLICE_BYTES = 8 << 20
+# Bytes of one text whose words are coded at a time.
+MOST_BYTES = 32 << 20
 # Places of the vocabulary in one block, and columns in one tile: what a task decodes at a time.
 BLOCK_BITS = 14
 TILE = 32
@@ -40,83 +42,86 @@ class AuditOptions:
     top: int = 50
 
 
-def _term_counts(batch: pa.RecordBatch) -> pa.Table:
+def _words(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple[np.ndarray, pa.Array]:
+    """The document (place in the batch) and the lower-cased letters of each word of a segment."""
+    piece = data[first:last]
+    inside = LETTERS[piece]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = offsets[np.searchsorted(offsets, first) : np.searchsorted(offsets, last)] - first
+    begins[cuts[inside[cuts]]] = True
+    start = np.flatnonzero(begins)
+    document = np.searchsorted(offsets, start + first, side="right") - 1
+    # The words one after the other are the body of a string column.
+    body = LOWER[piece[inside]]
+    edges = np.append((np.cumsum(inside, dtype=np.int64) - 1)[start], len(body))
+    return document, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(body))
+
+
+def _in_documents(parts: list[tuple[np.ndarray, pa.Array]]) -> pa.Table:
+    """``document``, ``term`` and ``n`` of words, each term of a document once."""
+    coded = pa.chunked_array([words for _, words in parts], pa.large_string()).combine_chunks().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    document = np.concatenate([documents for documents, _ in parts])
+    cell, n = np.unique(document * width + coded.indices.to_numpy(), return_counts=True)
+    return pa.table({"document": cell // width, "term": pa.DictionaryArray.from_arrays(cell % width, coded.dictionary), "n": n})
+
+
+def _term_counts(batch: pa.RecordBatch) -> pa.Table | None:
     """``lang``, ``source``, ``term``, ``n`` (places) and ``docs`` (rows with the term) of a batch of texts."""
     data, offsets = text_bytes(batch.column("text"))
-    parts = []
+    tables, parts, held = [], [], 0
     for first, last in _segments(data, LETTERS):
-        piece = data[first:last]
-        inside = LETTERS[piece]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        cuts = offsets[np.searchsorted(offsets, first) : np.searchsorted(offsets, last)] - first
-        begins[cuts[inside[cuts]]] = True
-        start = np.flatnonzero(begins)
-        if not len(start):
-            continue
-        document = np.searchsorted(offsets, start + first, side="right") - 1
-        # The words one after the other, lower-cased, are the body of a string column.
-        body = LOWER[piece[inside]]
-        places = np.cumsum(inside, dtype=np.int64) - 1
-        edges = np.append(places[start], len(body))
-        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(body))
-        words = words.dictionary_encode()
-        cell = document.astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
-        cell, n = np.unique(cell, return_counts=True)
-        terms = words.dictionary.take(pa.array(cell % len(words.dictionary)))
-        parts.append(pa.table({"document": cell // len(words.dictionary), "term": terms, "n": n}))
-    if not parts:
+        parts.append(_words(data, offsets, first, last))
+        held += last - first
+        if held > MOST_BYTES:
+            tables.append(_in_documents(parts))
+            parts, held = [], 0
+    if parts:
+        tables.append(_in_documents(parts))
+    if not tables:
         return None
-    counted = pa.concat_tables(parts)
-    if len(parts) > 1:
-        counted = counted.group_by(["document", "term"]).aggregate([("n", "sum")]).rename_columns(["document", "term", "n"])
-    # A code for each (lang, source) of the batch groups faster than two strings.
-    group = pa.table({"lang": batch.column("lang"), "source": batch.column("source")})
-    group = group.append_column("row", pa.array(np.arange(len(group))))
-    firsts = group.group_by(["lang", "source"]).aggregate([("row", "min")])
-    code = group.join(firsts, ["lang", "source"]).sort_by("row").column("row_min").combine_chunks()
-    counted = counted.append_column("group", code.take(counted.column("document").combine_chunks()))
-    counted = counted.group_by(["group", "term"]).aggregate([("n", "sum"), ("n", "count")])
-    rows = counted.column("group").combine_chunks()
+    counted = tables[0]
+    if len(tables) > 1:
+        # A text too long for one table: its words meet by their letters.
+        plain = pa.concat_tables([table.set_column(1, "term", table.column("term").cast(pa.large_string())) for table in tables])
+        summed = plain.group_by(["document", "term"]).aggregate([("n", "sum")]).rename_columns(["document", "term", "n"])
+        counted = summed.set_column(1, "term", summed.column("term").dictionary_encode())
+    counted = counted.combine_chunks()
+    rows = pa.table({"lang": batch.column("lang"), "source": batch.column("source"), "row": np.arange(batch.num_rows)})
+    firsts = rows.group_by(["lang", "source"]).aggregate([("row", "min")])
+    group = rows.join(firsts, ["lang", "source"]).sort_by("row").column("row_min").to_numpy()
+    term = counted.column("term").combine_chunks()
+    term = term.chunk(0) if isinstance(term, pa.ChunkedArray) else term
+    width = max(1, len(term.dictionary))
+    cell = group[counted.column("document").to_numpy()] * width + term.indices.to_numpy()
+    order = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    found = cell[order][first]
+    n = counted.column("n").to_numpy()[order]
+    at = pa.array(found // width)
     return pa.table(
         {
-            "lang": group.column("lang").take(rows),
-            "source": group.column("source").take(rows),
-            "term": counted.column("term"),
-            "n": counted.column("n_sum"),
-            "docs": counted.column("n_count").cast(pa.int64()),
+            "lang": rows.column("lang").take(at),
+            "source": rows.column("source").take(at),
+            "term": term.dictionary.take(pa.array(found % width)),
+            "n": np.add.reduceat(n, first) if len(first) else n,
+            "docs": np.diff(np.append(first, len(order))),
         }
     )
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts, combined in the task while they are few enough to be held."""
-    held, rows = [], 0
+    """Counts of each slice of a task's texts. Spark combines them before the shuffle."""
     for whole in batches:
-        for batch in batches_of(whole, "text"):
+        for batch in batches_of(whole, "text", SLICE_BYTES):
             counted = _term_counts(batch)
-            if counted is None:
-                continue
-            held.append(counted)
-            rows += counted.num_rows
-            if rows > HELD_ROWS:
-                held = [_combined(held)]
-                rows = held[0].num_rows
-                if rows > HELD_ROWS // 2:
-                    yield from held[0].combine_chunks().to_batches()
-                    held, rows = [], 0
-    if held:
-        yield from _combined(held).combine_chunks().to_batches()
-
-
-def _combined(tables: list[pa.Table]) -> pa.Table:
-    keys = ["lang", "source", "term"]
-    summed = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")])
-    return summed.rename_columns([*keys, "n", "docs"]).cast(_PARTIAL)
+            if counted is not None:
+                yield from counted.cast(_COUNTED).combine_chunks().to_batches()
 
 
-_PARTIAL = pa.schema(
-    [("lang", pa.string()), ("source", pa.string()), ("term", pa.large_string()), ("n", pa.int64()), ("docs", pa.int64())]
+_COUNTED = pa.schema(
+    [("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]
 )
 
 

@@ -5,8 +5,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
-from folioscope.llm import divergence_audit
+from folioscope.llm import divergence_audit, words
 from folioscope.llm.divergence_audit import AuditOptions
 
 OPTIONS = AuditOptions(least_documents=3, top=4)
@@ -79,10 +80,16 @@ def test_edge_cases(spark):
     assert divergence_audit.audit(docs.limit(0), OPTIONS).count() == 0
 
 
-def test_partial_counts_are_passed_on(spark, monkeypatch):
-    monkeypatch.setattr(divergence_audit, "HELD_ROWS", 20)
-    rows = sample(150, 4)
-    assert run(rows, spark)[1] == plain(rows, OPTIONS)
+def test_slices_and_segments(spark, monkeypatch):
+    # A document cut into segments counts once for a word; slices of one row each.
+    rows = sample(60, 4) + [(" ".join(["ab", "x"] * 400), "l0", "s1")] * 3
+    batch = pa.RecordBatch.from_pylist([{"text": text, "lang": lang, "source": source} for text, lang, source in rows])
+    whole = divergence_audit._term_counts(batch).sort_by([(name, "ascending") for name in ("lang", "source", "term")])
+    monkeypatch.setattr(divergence_audit, "MOST_BYTES", 500)
+    monkeypatch.setattr(words._segments, "__defaults__", (64,))
+    cut = divergence_audit._term_counts(batch).sort_by([(name, "ascending") for name in ("lang", "source", "term")])
+    assert cut.to_pylist() == whole.to_pylist()
+    assert max(row["docs"] for row in cut.to_pylist() if row["term"] == "x" and row["source"] == "s1") < 40
 
 
 def test_overlap_sum():
