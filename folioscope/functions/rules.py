@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import collapse
 
 Rule = tuple[str, str]
-BRANCHES = re.compile(r"(?<!\\)\|")
-BAR_IN_CLASS = re.compile(r"\[[^\]]*\|")
-PLAIN_START = re.compile(r"(?:\\b)?([^\W_]+)")
+# Parts of a pattern: an escape, a class, a bracket or bar, or a run of characters that stand for themselves.
+PARTS = re.compile(r"\\.|\[\^?\]?[^\]]*\]|\((?:\?:)?|[)|]|[^\\\[()|]")
+PLAIN_START = re.compile(r"[^\W_]+|№")
 
 # Document types and the patterns that name them, in order of precedence.
 DOCUMENT_TYPES: tuple[Rule, ...] = (
@@ -106,25 +106,65 @@ def ignoring_case(pattern: str) -> str:
     return f"(?iU){pattern}"
 
 
-def fits(pattern: str, text: Column) -> Column:
-    """Whether a pattern occurs in a normalized text.
-
-    When every branch of the pattern starts with plain letters, it is tried only on texts that contain one of these
-    starts: a search for fixed letters costs a fraction of a pattern search, and most texts fit no rule.
-    """
-    searched = text.rlike(ignoring_case(pattern))
-    if "(" in pattern or BAR_IN_CLASS.search(pattern):
-        return searched
-    starts = []
-    for branch in BRANCHES.split(pattern):
+def _branches(pattern: str) -> list[str]:
+    """The pattern cut at the bars outside of brackets and classes."""
+    found, depth = [""], 0
+    for part in PARTS.findall(pattern):
+        depth += part.startswith("(") - (part == ")")
+        if part == "|" and not depth:
+            found.append("")
+        else:
+            found[-1] += part
+    return found
+
+
+def _inner(branch: str) -> tuple[str, str] | None:
+    """What is inside the bracket that a branch starts with, and what follows it."""
+    depth, read = 0, ""
+    for part in PARTS.findall(branch):
+        depth += part.startswith("(") - (part == ")")
+        read += part
+        if not depth:
+            return re.sub(r"^\((\?:)?", "", read)[:-1], branch[len(read) :]
+    return None
+
+
+def starts_of(pattern: str) -> list[str] | None:
+    """Lower-case letters of which a text that fits holds at least one, as each branch of the pattern starts with one of
+    them; None where a branch starts otherwise."""
+    found = []
+    for branch in _branches(pattern):
+        branch = branch.removeprefix(r"\b")
+        if branch.startswith("(") and not branch.startswith("(?!"):
+            inner, rest = _inner(branch) or ("", "")
+            starts = None if rest[:1] in ("*", "?", "{") else starts_of(inner)
+            if starts is None:
+                return None
+            found += starts
+            continue
         start = PLAIN_START.match(branch)
-        letters = start.group(1) if start else ""
-        if start and branch[start.end() :][:1] in ("*", "?", "{"):
+        letters = start.group() if start else ""
+        if branch[len(letters) :][:1] in ("*", "?", "{"):
             letters = letters[:-1]
-        if not letters or letters != letters.lower():
-            return searched
-        starts.append(letters)
-    return reduce(Column.__or__, (F.contains(text, F.lit(letters)) for letters in dict.fromkeys(starts))) & searched
+        if not letters:
+            return None
+        found.append(letters.lower())
+    return list(dict.fromkeys(found))
+
+
+def gate(pattern: str, text: Column, matching: Column) -> Column:
+    """A cheap test that every text passes which fits the pattern: fixed letters in the normalized text ``matching``, or
+    the pattern without its word borders, which are the dear part of a search."""
+    starts = starts_of(pattern)
+    if starts:
+        return reduce(Column.__or__, (F.contains(matching, F.lit(letters)) for letters in starts))
+    loose = re.sub(r"\\b", "", pattern)
+    return text.rlike(ignoring_case(loose)) if loose != pattern else F.lit(True)
+
+
+def fits(pattern: str, text: Column) -> Column:
+    """Whether a pattern occurs in a normalized text, which is searched only where it passes the gate."""
+    return gate(pattern, text, text) & text.rlike(ignoring_case(pattern))
 
 
 def first_match(rules: Sequence[Rule], text: Column, note: str = "") -> Column:
@@ -140,12 +180,14 @@ def first_match(rules: Sequence[Rule], text: Column, note: str = "") -> Column:
     )
 
 
-def first_group(patterns: Sequence[str], text: Column) -> Column:
-    """Struct of the first group of the first pattern that fits, and that pattern."""
+def first_group(patterns: Sequence[str], text: Column, matching: Column | None = None) -> Column:
+    """Struct of the first group of the first pattern that fits, and that pattern. ``matching`` is the normalized text,
+    by which patterns that cannot fit are left out."""
+    near = F.lower(text) if matching is None else matching
     return F.coalesce(
         *(
             F.when(
-                text.rlike(ignoring_case(pattern)),
+                gate(pattern, text, near) & text.rlike(ignoring_case(pattern)),
                 F.struct(
                     collapse(F.regexp_extract(text, ignoring_case(pattern), 1)).alias("value"),
                     F.lit(pattern).alias("pattern"),
@@ -165,7 +207,8 @@ def _date(text: Column, pattern: str, year: int, month: int, day: int) -> Column
         return F.regexp_extract(text, f"(?U){pattern}", group).try_cast("int")
 
     iso = F.format_string("%04d-%02d-%02d", full_year(part(year)), part(month), part(day))
-    return F.when(text.rlike(f"(?U){pattern}"), iso.try_cast("date"))
+    loose = re.sub(r"\\b", "", pattern)
+    return F.when(text.rlike(f"(?U){loose}") & text.rlike(f"(?U){pattern}"), iso.try_cast("date"))
 
 
 def document_date(text: Column) -> Column:

@@ -45,7 +45,7 @@ def extract_metadata(documents: DataFrame, pack: RulePack = RulePack()) -> DataF
             first_match(pack.document_types, F.col("text"), "text:"),
         ).alias("document_type"),
         first_match(pack.content_categories, F.col("text")).alias("content_category"),
-        first_group(pack.document_numbers, F.col("raw")).alias("document_number"),
+        first_group(pack.document_numbers, F.col("raw"), F.col("text")).alias("document_number"),
         document_date(F.col("raw")).alias("document_date"),
         first_match(pack.organizations, F.col("text")).alias("organization"),
     )
