@@ -92,15 +92,17 @@ PIECES = ArrayType(
 )
 
 
-def _pieces(split, target: int, overlap: int):
-    """Column function from a page text to its pieces. NULL texts stay NULL and cost nothing."""
+def _pieces(text: Column, at_points: Column, options: ChunkOptions) -> Column:
+    """Pieces of a page text, cut at its points or by length. NULL texts stay NULL and cost nothing."""
+    target, overlap = options.target, options.overlap
 
     @F.arrow_udf(PIECES)
-    def split_pages(texts: pa.Array) -> pa.Array:
+    def split_pages(texts: pa.Array, points: pa.Array) -> pa.Array:
         offsets, starts, ends, parts = [0], [], [], []
         empty = np.zeros(len(texts), dtype=bool)
-        for row, text in enumerate(texts.to_pylist()):
+        for row, (text, by_points) in enumerate(zip(texts.to_pylist(), points.to_pylist())):
             empty[row] = text is None
+            split = point_spans if by_points else windows
             for start, end in split(text, target, overlap) if text else ():
                 part = text[start:end].strip()
                 if part:
@@ -115,15 +117,15 @@ def _pieces(split, target: int, overlap: int):
             mask=pa.array(empty),
         )
 
-    return split_pages
+    return split_pages(text, at_points)
 
 
 def long_text_pieces(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
-    return _pieces(windows, options.target, options.overlap)(text)
+    return _pieces(text, F.lit(False), options)
 
 
 def point_pieces(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
-    return _pieces(point_spans, options.target, options.overlap)(text)
+    return _pieces(text, F.lit(True), options)
 
 
 def explode_pieces(rows: DataFrame, pieces: Column, keys: list[str]) -> DataFrame:
@@ -156,51 +158,22 @@ def count_tables(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"(?iU){TABLE_PATTERN}"))
 
 
-def _candidates(pages: DataFrame, options: ChunkOptions) -> DataFrame:
-    """Every page with the pieces it may be cut into, found where the page is read.
+def page_source(text: Column, fits: Column) -> Column:
+    """How a page is chunked, by its document's type and category: structure, table_page, page or long_page.
 
-    Which of them count is known once the page has met its document; by then the text itself is no longer carried.
+    Points are only counted in documents split at them, tables only in reference documents.
     """
-    text = F.coalesce("text", F.lit(""))
-    measured = pages.select(
-        F.col("id").alias("page_id"),
-        "document_id",
-        "page_number",
-        text.alias("text"),
-        strip(text).alias("clean"),
-        (F.col("text_length") <= options.page_limit).alias("fits"),
-        (count_points(text) >= MIN_POINTS).alias("has_points"),
-        (count_tables(text) >= MIN_TABLES).alias("has_tables"),
-    )
-    whole = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("clean").alias("text"))
-    return measured.select(
-        "page_id",
-        "document_id",
-        "page_number",
-        "fits",
-        "has_points",
-        "has_tables",
-        F.length("clean").alias("clean_length"),
-        F.when(F.col("fits"), F.array(whole)).alias("whole"),
-        point_pieces(F.when(F.col("has_points"), F.col("text")), options).alias("by_points"),
-        long_text_pieces(F.when(~F.col("fits"), F.col("text")), options).alias("by_length"),
-    )
-
-
-def page_source() -> Column:
-    """How a page is chunked: structure, table_page, page or long_page."""
-    points = F.col("document_type").isin(*POINT_TYPES) & F.col("has_points")
-    tables = (F.col("content_category") == "reference") & F.col("has_tables")
-    return (
-        F.when(points, "structure")
-        .when(tables & F.col("fits"), "table_page")
-        .when(F.col("fits"), "page")
-        .otherwise("long_page")
-    )
+    points = F.when(F.col("document_type").isin(*POINT_TYPES), count_points(text) >= MIN_POINTS)
+    tables = F.when(fits & (F.col("content_category") == "reference"), count_tables(text) >= MIN_TABLES)
+    return F.when(points, "structure").when(tables, "table_page").when(fits, "page").otherwise("long_page")
 
 
 def _split_pages(documents: DataFrame, pages: DataFrame, options: ChunkOptions) -> DataFrame:
-    """Every page of an eligible document with its pieces and, of its document, how much text there is."""
+    """Every page of an eligible document with its pieces and, of its document, how much text there is.
+
+    Pages meet the narrow columns of their documents first, so a page is cut once, in the one way it is chunked. What is
+    shuffled is the text of pages whose document is eligible; the windows after it reuse that shuffle.
+    """
     eligible = documents.filter(
         ~F.coalesce("ocr_required", F.lit(False)) & F.coalesce("has_text", F.lit(False))
     ).select(
@@ -208,25 +181,34 @@ def _split_pages(documents: DataFrame, pages: DataFrame, options: ChunkOptions)
         F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
         "content_category",
     )
-    source = F.col("source_type")
-    pieces = (
-        F.when(F.col("clean_length") == 0, F.array().cast(PIECES))
-        .when(source == "structure", F.col("by_points"))
-        .when(source == "long_page", F.col("by_length"))
-        .otherwise(F.col("whole"))
+    text = F.coalesce("text", F.lit(""))
+    read = pages.select(
+        F.col("id").alias("page_id"),
+        "document_id",
+        "page_number",
+        text.alias("text"),
+        (F.col("text_length") <= options.page_limit).alias("fits"),
     )
-    split = (
-        attach_in_blocks(_candidates(pages, options), eligible, "document_id", "page_number")
-        .withColumn("source_type", page_source())
-        .select(
-            "document_id",
-            "page_id",
-            "page_number",
-            "block",
-            "source_type",
-            "clean_length",
-            pieces.alias("pieces"),
-        )
+    routed = (
+        attach_in_blocks(read, eligible, "document_id", "page_number")
+        .withColumn("clean", strip(F.col("text")))
+        .withColumn("source_type", page_source(F.col("text"), F.coalesce("fits", F.lit(False))))
+    )
+    source = F.col("source_type")
+    cut = F.when((F.length("clean") > 0) & source.isin("structure", "long_page"), F.col("text"))
+    whole = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("clean").alias("text"))
+    split = routed.select(
+        "document_id",
+        "page_id",
+        "page_number",
+        "block",
+        "source_type",
+        F.length("clean").alias("clean_length"),
+        F.coalesce(
+            _pieces(cut, source == "structure", options),
+            F.when(F.length("clean") > 0, F.array(whole)),
+            F.array().cast(PIECES),
+        ).alias("pieces"),
     )
     is_long = F.size(F.filter("pieces", lambda piece: F.length(piece["text"]) >= options.min_length))
     return running(
