@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import human_size
 from folioscope.operators.spread import HEAVY_ROWS, attach
+from folioscope.session import materialize
+from folioscope.sources.keyed import KeyedTable
 
 # Columns a new scan does not overwrite in a known document.
 KEPT_COLUMNS = ("id", "content_category", "pages_count", "has_text", "ocr_required", "scan_status")
@@ -115,6 +117,23 @@ def upsert(
     return kept.select(*(merged(name) for name in names))
 
 
+def upsert_stored(table: KeyedTable, scanned: DataFrame, scan_root: str, **options) -> int:
+    """``upsert`` of a stored catalog (keyed by path): only the folders of paths that are new, gone or whose row changes
+    are rewritten. Returns their number."""
+    spark = scanned.sparkSession
+    existing = table.read(spark)
+    following = materialize(upsert(existing, scanned, scan_root, **options).select(*existing.columns), "catalog")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("path", F.struct(*existing.columns).alias(name))
+
+    compared = keyed(existing, "before").join(keyed(following, "after"), "path", "full_outer")
+    changed = materialize(compared.filter(~F.col("before").eqNullSafe(F.col("after"))).select("path"), "changed")
+    folders = changed.select(table.part_of().alias("folder")).distinct()
+    touched = following.withColumn("folder", table.part_of()).join(F.broadcast(folders), "folder", "left_semi")
+    return table.rewrite(changed, lambda old: touched.drop("folder"))
+
+
 def vanished(existing: DataFrame, scanned: DataFrame, scan_root: str) -> DataFrame:
     return existing.filter(F.col("scan_root") == scan_root).join(scanned, "path", "left_anti")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import strip
 from folioscope.operators.spread import running
 from folioscope.sources.files import DOCUMENT_KINDS
+from folioscope.sources.keyed import KeyedTable
 
 TEXT_START = 5000
 
@@ -78,6 +83,12 @@ def replace_pages(existing: DataFrame, extracted: DataFrame, processed: DataFram
     return existing.join(done, "document_id", "left_anti").unionByName(extracted, allowMissingColumns=True)
 
 
+def replace_stored_pages(table: KeyedTable, extracted: DataFrame, processed: DataFrame) -> int:
+    """``replace_pages`` in a stored table of pages, keyed by document_id: only the folders of processed documents are
+    read and rewritten. Returns their number."""
+    return table.rewrite(processed, lambda old: replace_pages(old, extracted, processed))
+
+
 def extraction_counters(documents: DataFrame, rollup: DataFrame) -> DataFrame:
     joined = documents.select(F.col("id").alias("document_id"), "extension").join(rollup, "document_id")
     failed = F.startswith("scan_status", F.lit("extraction_error"))
@@ -94,14 +105,17 @@ def text_start(pages: DataFrame, limit: int = TEXT_START) -> DataFrame:
     """The first ``limit`` characters of a document, its pages joined by a space in page order.
 
     Only the pages that reach into the limit are joined, or have the space before them in it, each cut to it; so no
-    row grows far beyond the limit.
+    row grows far beyond the limit. Pages that lie behind it after those read beside them are left out before the
+    shuffle, so about ``limit`` characters of a document are moved, however many pages it has.
     """
-    pieces = pages.select(
+    read = pages.select(
         "document_id",
-        "page_number",
+        F.col("page_number").cast("long").alias("page_number"),
         F.substring("text", 1, limit).alias("piece"),
         F.length("text").alias("page_chars"),
     )
+    kept = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in read.schema)
+    pieces = read.mapInArrow(_reaching(limit), kept)
     placed = running(pieces, "document_id", "page_number", {"chars": F.col("page_chars") + 1})
     joined = (
         placed.filter(F.col("chars_before") <= limit)
@@ -111,6 +125,27 @@ def text_start(pages: DataFrame, limit: int = TEXT_START) -> DataFrame:
     return joined.select("document_id", F.substring("text", 1, limit).alias("text_start"))
 
 
+def _reaching(limit: int):
+    """Drop the pages that do not reach into the first ``limit`` characters, judged by the pages of a batch alone: what
+    stands before a page there stands before it in the document."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            document = batch["document_id"].dictionary_encode().indices.fill_null(-1).to_numpy()
+            page = batch["page_number"].fill_null(0).to_numpy()
+            chars = batch["page_chars"].fill_null(0).to_numpy().astype(np.int64) + 1
+            order = np.lexsort((page, document))
+            total = np.cumsum(chars[order])
+            first = np.flatnonzero(np.diff(document[order], prepend=-2))
+            sizes = np.diff(np.append(first, len(order)))
+            start = total[first] - chars[order][first]
+            before = total - chars[order] - np.repeat(start, sizes)
+            left = order[before <= limit]
+            yield batch.take(pa.array(np.sort(left)))
+
+    return prune
+
+
 def with_text_start(documents: DataFrame, pages: DataFrame, limit: int = TEXT_START) -> DataFrame:
     starts = text_start(pages, limit).withColumnRenamed("document_id", "id")
     return documents.join(starts, "id", "left").withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.blocks import BEST_SCHEMA, KEYS, BestRows, in_blocks, leaders, slices
 from folioscope.operators.spread import top_k
+from folioscope.session import materialize, shared_folder
+from folioscope.sources.keyed import PARTS, KeyedTable, store
 from folioscope.sources.tables import replace
 
 # Bytes of query vectors that one pass hands to every task.
@@ -19,6 +23,8 @@ PASS_BYTES = 64 << 20
 CELLS = 2_000_000
 SIMILARITY_DIGITS = 12
 BATCH = 16
+# Chunks embedded between two commits of a stored backfill.
+COMMIT_ROWS = 100_000
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -136,23 +142,23 @@ def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def store_embeddings(embeddings: DataFrame, path: str, parts: int = PARTS) -> KeyedTable:
+    """Embeddings in folders by model and by hash of the chunk: a search opens the files of its model, an upsert those of
+    its chunks."""
+    return store(embeddings, path, "chunk_id", parts, ["model"])
+
+
+def upsert_stored(table: KeyedTable, new: DataFrame) -> int:
+    """``upsert_embeddings`` in a stored table. Other models and other folders of the model stay as they are."""
+    return table.rewrite(new, lambda old: upsert_embeddings(old, new))
+
+
 def write_embeddings(embeddings: DataFrame, path: str) -> None:
     """One folder per model, so a search opens only the files of its model."""
     replace(embeddings.sparkSession, path, embeddings.write.partitionBy("model").parquet)
 
 
-def backfill(
-    chunks: DataFrame,
-    embeddings: DataFrame,
-    model: str,
-    embed: Callable[[list[str]], Sequence[Sequence[float]]],
-    limit: int | None = None,
-    batch_size: int = BATCH,
-) -> DataFrame:
-    """Vectors for the chunks that have none, from the caller's ``embed``, called with ``batch_size`` texts."""
-    if batch_size < 1:
-        raise ValueError("batch_size must be at least 1")
-
+def _embedder(embed: Callable[[list[str]], Sequence[Sequence[float]]], batch_size: int):
     def embed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for batch in batches for part in slices(batch, batch_size)):
             vectors = [list(vector) for vector in embed(part["chunk_text"].to_pylist())]
@@ -164,8 +170,14 @@ def backfill(
                 [part["chunk_id"], pa.array(vectors, pa.list_(pa.float32()))], names=["chunk_id", "embedding"]
             )
 
-    missing = missing_embeddings(chunks, embeddings, model, limit).select("chunk_id", "chunk_text")
-    made = missing.mapInArrow(embed_rows, "chunk_id string, embedding array<float>")
+    return embed_rows
+
+
+def _embedded(missing: DataFrame, model: str, embed, batch_size: int) -> DataFrame:
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    texts = missing.select("chunk_id", "chunk_text")
+    made = texts.mapInArrow(_embedder(embed, batch_size), "chunk_id string, embedding array<float>")
     return made.select(
         "chunk_id",
         F.lit(model).alias("model"),
@@ -173,3 +185,46 @@ def backfill(
         F.size("embedding").alias("dimension"),
         F.current_timestamp().alias("created_at"),
     )
+
+
+def backfill(
+    chunks: DataFrame,
+    embeddings: DataFrame,
+    model: str,
+    embed: Callable[[list[str]], Sequence[Sequence[float]]],
+    limit: int | None = None,
+    batch_size: int = BATCH,
+) -> DataFrame:
+    """Vectors for the chunks that have none, from the caller's ``embed``, called with ``batch_size`` texts."""
+    return _embedded(missing_embeddings(chunks, embeddings, model, limit), model, embed, batch_size)
+
+
+def backfill_stored(
+    chunks: DataFrame,
+    table: KeyedTable,
+    model: str,
+    embed: Callable[[list[str]], Sequence[Sequence[float]]],
+    batch_size: int = BATCH,
+    commit_rows: int = COMMIT_ROWS,
+) -> int:
+    """``backfill`` into a stored table, committed about every ``commit_rows`` chunks. Returns the number of commits.
+
+    What was committed before an error stays: the next call finds those chunks embedded and goes on with the rest. The
+    chunks to do are written once, in a folder for each commit.
+    """
+    spark = chunks.sparkSession
+    missing = missing_embeddings(chunks, table.read(spark), model).select("chunk_id", "chunk_text")
+    found = materialize(missing, "missing")
+    commits = math.ceil(found.count() / commit_rows)
+    if not commits:
+        return 0
+    turn = F.pmod(F.xxhash64("chunk_id", F.lit(model)), F.lit(commits)).cast("int")
+    path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    found.withColumn("turn", turn).write.partitionBy("turn").parquet(path)
+    turns = spark.read.schema("chunk_id string, chunk_text string, turn int").parquet(path)
+    for number in range(commits):
+        part = _embedded(turns.filter(F.col("turn") == number), model, embed, batch_size)
+        # A table may hold fewer columns, or more.
+        present = [F.col(name) if name in part.columns else F.lit(None).alias(name) for name in table.schema.names]
+        table.append(part.select(*present))
+    return commits

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from folioscope.operators import catalog, pages
 
 COLUMNS = "path string, document_type string, sha256 string, scan_root string, scan_status string, content_category string, has_text boolean"
@@ -109,3 +111,14 @@ def test_rows_without_root_are_kept(spark):
     old = spark.createDataFrame([(1, "/c/a.txt", "a", None), (2, "/c/b.txt", "b", "/c")], schema)
     new = spark.createDataFrame([("/c/d.txt", "d", "/c")], "path string, sha256 string, scan_root string")
     assert {row.path for row in catalog.upsert(old, new, "/c").collect()} == {"/c/a.txt", "/c/d.txt"}
+
+
+def test_only_the_start_of_a_document_is_shuffled(spark):
+    rows = [(document, page, "x" * 40) for document in range(5) for page in range(1, 2001)]
+    df = spark.createDataFrame(rows, "document_id long, page_number int, text string").coalesce(1)
+    read = df.selectExpr("document_id", "cast(page_number as long) page_number", "text piece", "length(text) page_chars")
+    kept = read.mapInArrow(pages._reaching(500), read.schema).groupBy("document_id").count().collect()
+    # 13 pages of 41 characters with their space reach into 500.
+    assert {row["count"] for row in kept} == {13}
+    starts = pages.text_start(df.orderBy(F.desc("page_number")), 500).collect()
+    assert {row.text_start for row in starts} == {" ".join(["x" * 40] * 13)[:500]}
