@@ -29,9 +29,15 @@ def in_blocks(
     ``KEPT_ROWS`` rows. Usually everything fits into one pass.
 
     ``weight`` is what one query adds to the data every task gets. Passes are run one after the other and their
-    results written, so the driver holds the queries of one pass.
+    results written, so the driver holds the queries of one pass. Two queries with one id are an error.
     """
-    row = queries.agg(F.sum(weight.cast("long")).alias("weight"), F.count("*").alias("queries")).first()
+    row = queries.agg(
+        F.sum(weight.cast("long")).alias("weight"),
+        F.count("*").alias("queries"),
+        F.count_distinct(F.struct("query_id")).alias("ids"),
+    ).first()
+    if row["ids"] < row["queries"]:
+        raise ValueError("two queries have the same query_id")
     passes = max(1, math.ceil((row["weight"] or 0) / limit), math.ceil(row["queries"] * k / KEPT_ROWS))
     if passes == 1:
         return search(queries)

@@ -22,18 +22,18 @@ def relevant_names(query_set: DataFrame) -> DataFrame:
 
 
 def first_hits(query_set: DataFrame, results: DataFrame, documents: DataFrame, top_k: int) -> DataFrame:
-    """Smallest rank with a relevant document, by file name or by the name in the path."""
+    """Smallest rank with a relevant document per query and method, by file name or by the name in the path."""
     names = documents.select(
         F.col("id").alias("document_id"),
         F.explode(
             F.array_distinct(F.array(document_name(F.col("name")), document_name(F.col("path"))))
         ).alias("document_name"),
     )
-    seen = results.filter(F.col("rank") <= top_k).select("query_id", "rank", "document_id")
+    seen = results.filter(F.col("rank") <= top_k).select("method", "query_id", "rank", "document_id")
     hits = seen.join(names, "document_id").join(
         relevant_names(query_set), ["query_id", "document_name"], "left_semi"
     )
-    return hits.groupBy("query_id").agg(F.min("rank").alias("first_hit_rank"))
+    return hits.groupBy("query_id", "method").agg(F.min("rank").alias("first_hit_rank"))
 
 
 def hit_at(rank: Column, cutoff: int) -> Column:
@@ -50,11 +50,17 @@ def evaluate(query_set: DataFrame, rankings: Rankings, documents: DataFrame, top
     """One row per query: first relevant rank per method and the method that found it first, else tie."""
     if top_k < max(CUTOFFS):
         raise ValueError(f"top_k must be at least {max(CUTOFFS)}")
-    ranked = dict(zip(METHODS, (rankings.lexical, rankings.semantic, rankings.fused)))
-    joined = query_set.select("query_id", "query")
-    for method, results in ranked.items():
-        hits = first_hits(query_set, results, documents, top_k)
-        joined = joined.join(hits.withColumnRenamed("first_hit_rank", f"{method}_rank"), "query_id", "left")
+    ranked = zip(METHODS, (rankings.lexical, rankings.semantic, rankings.fused))
+    # One pass over documents and known names for all methods.
+    results = reduce(
+        DataFrame.unionByName,
+        (rows.select(F.lit(method).alias("method"), "query_id", "rank", "document_id") for method, rows in ranked),
+    )
+    hits = first_hits(query_set, results, documents, top_k)
+    per_method = hits.groupBy("query_id").agg(
+        *(F.min(F.when(F.col("method") == method, F.col("first_hit_rank"))).alias(f"{method}_rank") for method in METHODS)
+    )
+    joined = query_set.select("query_id", "query").join(per_method, "query_id", "left")
     ranks = [F.col(f"{method}_rank") for method in METHODS]
     best = F.least(*ranks)
     shared = sum((F.coalesce((rank == best).cast("int"), F.lit(0)) for rank in ranks), F.lit(0))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import index_tokens, query_tokens, strip
-from folioscope.operators.blocks import BEST_SCHEMA, KEYS, BestRows, in_blocks, leaders, slices
-from folioscope.operators.spread import attach, heavy_keys, top_k
+from folioscope.operators import stored
+from folioscope.operators.blocks import KEYS, in_blocks, slices
+from folioscope.operators.spread import attach, heavy_keys
+from folioscope.operators.stored import CHUNK, PartedTable, StoredIndex
+from folioscope.session import materialize
 
 # The BM25 parameters and the smallest weight of a term.
 K1 = 1.2
@@ -22,12 +26,13 @@ IDF_FLOOR = 1e-6
 
 # Query words plus queries that one pass hands to every task.
 PASS_LIMIT = 200_000
-# Cells of the chunk-by-query score matrix a task fills at a time.
-CELLS = 2_000_000
 SCORE_DIGITS = 10
 # Chunks a task inverts at a time.
 POSTING_ROWS = 2_000
 
+# What a posting carries of its chunk: all that scores and filters need.
+CARRIED = ("document_id", "chunk_index", "doc_len", "document_type", "content_category", "chunk_strategy")
+
 INDEX_FIELDS = ("chunk_text", "filename", "path", "document_type", "content_category", "chunk_strategy")
 PROVENANCE = (
     "filename",
@@ -84,38 +89,48 @@ def build_index(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole, POSTING_ROWS)):
-        lengths = batch["tokens"].value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), lengths)
-        position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        terms = batch["tokens"].flatten().dictionary_encode()
-        cell = row * max(1, len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(cell, kind="stable")
-        first = np.flatnonzero(np.diff(cell[order], prepend=-1))
-        bounds = np.r_[first, len(cell)]
-        keys = batch.select(KEYS).take(pa.array(row[order[first]]))
-        places = pa.ListArray.from_arrays(
-            pa.array(bounds, pa.int32()), pa.array(position[order], pa.int32())
-        )
-        yield pa.RecordBatch.from_arrays(
-            [
-                terms.dictionary.take(terms.indices.take(pa.array(order[first]))),
-                *keys.columns,
-                pa.array(np.diff(bounds), pa.int64()),
-                places,
-            ],
-            names=["term", *KEYS, "tf", "positions"],
-        )
-
-
-def postings(index: DataFrame) -> DataFrame:
-    """Inverted form of the index: one row per chunk and term with its frequency and positions.
+def _inverter(carried: Sequence[str]):
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, POSTING_ROWS)):
+            lengths = batch["tokens"].value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            terms = batch["tokens"].flatten().dictionary_encode()
+            cell = row * max(1, len(terms.dictionary)) + terms.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            bounds = np.r_[first, len(cell)]
+            keys = batch.select(carried).take(pa.array(row[order[first]]))
+            places = pa.ListArray.from_arrays(
+                pa.array(bounds, pa.int32()), pa.array(position[order], pa.int32())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    terms.dictionary.take(terms.indices.take(pa.array(order[first]))),
+                    *keys.columns,
+                    pa.array(np.diff(bounds), pa.int64()),
+                    places,
+                ],
+                names=["term", *carried, "tf", "positions"],
+            )
+
+    return invert
+
+
+def postings(index: DataFrame, carried: Sequence[str] = KEYS) -> DataFrame:
+    """Inverted form of the index: one row per chunk and term with its frequency and positions, and ``carried``
+    columns of the chunk.
 
     All tokens of a chunk are in one row, so nothing has to be shuffled to group them.
     """
-    schema = "term string, chunk_id string, document_id long, chunk_index long, tf long, positions array<int>"
-    return index.select(*KEYS, "tokens").mapInArrow(_invert, schema)
+    rows = index.select(*carried, "tokens")
+    kept = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema if field.name != "tokens")
+    return rows.mapInArrow(_inverter(tuple(carried)), f"term string, {kept}, tf long, positions array<int>")
+
+
+def store(index: DataFrame, path: str | None = None) -> StoredIndex:
+    """Write ``index`` (a written table) in the form searches read: see ``stored``. ``stored.open_index`` reads it again."""
+    return stored.store_index(index, postings(index, CARRIED), path)
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -168,118 +183,21 @@ def chosen(
     return rows
 
 
-@dataclass
+@dataclass(frozen=True)
 class QueryBlock:
-    """The queries of one pass as arrays: words, units made of words, and which queries use a unit."""
+    """The queries of one pass: how many units each has, and which queries use a unit, and how often."""
 
-    ids: list
-    words: list[str] = field(default_factory=list)
-    units: list[tuple[int, ...]] = field(default_factory=list)
-    users: list[list[int]] = field(default_factory=list)
-    sizes: np.ndarray = None
+    sizes: dict
+    users: dict[tuple[str, ...], Counter]
 
     @classmethod
     def of(cls, rows) -> QueryBlock:
-        ids = sorted({row["query_id"] for row in rows})
-        place = {query_id: number for number, query_id in enumerate(ids)}
-        block = cls(ids, sizes=np.zeros(len(ids), dtype=np.int64))
-        word_ids: dict[str, int] = {}
-        unit_ids: dict[tuple[int, ...], int] = {}
-        for row in sorted(rows, key=lambda row: (place[row["query_id"]], row["position"])):
-            query = place[row["query_id"]]
-            block.sizes[query] += 1
-            words = tuple(word_ids.setdefault(word, len(word_ids)) for word in row["words"] or ())
-            if words:
-                unit = unit_ids.setdefault(words, len(unit_ids))
-                if unit == len(block.users):
-                    block.users.append([])
-                block.users[unit].append(query)
-        block.words, block.units = list(word_ids), list(unit_ids)
-        return block
-
-    def frequencies(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chunk row, unit and term frequency wherever a unit occurs in the batch."""
-        tokens = batch["tokens"]
-        lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(batch.num_rows), lengths)
-        found = pc.index_in(tokens.flatten(), value_set=pa.array(self.words, pa.string()))
-        word = found.fill_null(-1).to_numpy(zero_copy_only=False)
-        single = np.full(len(self.words), -1)
-        hit_rows, hit_units = [], []
-        for unit, words in enumerate(self.units):
-            if len(words) == 1:
-                single[words[0]] = unit
-                continue
-            at = np.flatnonzero(word == words[0])
-            for step, expected in enumerate(words[1:], start=1):
-                at = at[at + step < len(word)]
-                at = at[(word[at + step] == expected) & (row[at + step] == row[at])]
-            hit_rows.append(row[at])
-            hit_units.append(np.full(len(at), unit))
-        known = np.flatnonzero(word >= 0)
-        units_here = single[word[known]]
-        hit_rows.append(row[known[units_here >= 0]])
-        hit_units.append(units_here[units_here >= 0])
-        cell = np.concatenate(hit_rows) * max(1, len(self.units)) + np.concatenate(hit_units)
-        cell, tf = np.unique(cell, return_counts=True)
-        return cell // max(1, len(self.units)), cell % max(1, len(self.units)), tf
-
-
-def _unit_counter(shared):
-    """Partial statistics of a task: chunks per unit, then chunks and tokens in all (units -1 and -2)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        per_unit = np.zeros(len(block.units), dtype=np.int64)
-        chunks = tokens = 0
-        for batch in batches:
-            unit = block.frequencies(batch)[1]
-            per_unit += np.bincount(unit.astype(np.int64), minlength=len(per_unit))
-            chunks += batch.num_rows
-            tokens += pc.sum(batch["doc_len"]).as_py() or 0
-        units = np.r_[np.arange(len(per_unit)), -1, -2]
-        counts = np.r_[per_unit, chunks, tokens]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(units, pa.int64()), pa.array(counts, pa.int64())], names=["unit", "n"]
-        )
-
-    return count
-
-
-def _scorer(shared, k: int):
-    """Score every chunk of a task against all queries of the pass and keep the best k rows per query."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, idf, avg_len = shared.value
-        n_queries = len(block.ids)
-        best = BestRows(n_queries, k)
-        use_counts = np.array([len(users) for users in block.users], dtype=np.int64)
-        use_starts = np.r_[0, np.cumsum(use_counts)]
-        uses = np.concatenate([np.array(users, dtype=np.int64) for users in block.users])
-        step = max(1, CELLS // n_queries)
-        for batch in (part for whole in batches for part in slices(whole, step)):
-            row, unit, tf = block.frequencies(batch)
-            length = batch["doc_len"].to_numpy(zero_copy_only=False)[row]
-            weight = idf[unit] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
-            times = use_counts[unit]
-            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            query = uses[np.repeat(use_starts[unit], times) + within]
-            cell = np.repeat(row, times) * n_queries + query
-            size = batch.num_rows * n_queries
-            matched = np.bincount(cell, minlength=size)
-            total = np.bincount(cell, weights=np.repeat(weight, times), minlength=size)
-            shape = (batch.num_rows, n_queries)
-            matched, points = matched.reshape(shape), total.reshape(shape)
-            points = points + batch["boost"].to_numpy(zero_copy_only=False)[:, None]
-            complete = matched == block.sizes
-            # Lifts chunks with every unit above all others of the slice.
-            lift = 2.0 * float(np.abs(points).max(initial=0.0)) + 1.0
-            row, query = np.nonzero(leaders(np.where(matched > 0, points + lift * complete, -np.inf), k))
-            score = points[row, query]
-            best.add(batch, query, row, complete[row, query], np.round(score, SCORE_DIGITS), score)
-        yield from best.batches()
-
-    return score
+        sizes, users = Counter(), {}
+        for row in rows:
+            sizes[row["query_id"]] += 1
+            if row["words"]:
+                users.setdefault(tuple(row["words"]), Counter())[row["query_id"]] += 1
+        return cls(sizes, users)
 
 
 @dataclass(frozen=True)
@@ -290,40 +208,101 @@ class IndexStats:
     corpus: DataFrame
 
 
-def _counted(index: DataFrame, block: QueryBlock, shared) -> dict[int, int]:
-    counted = index.select("tokens", "doc_len").mapInArrow(_unit_counter(shared), "unit long, n long")
-    return {row["unit"]: row["n"] for row in counted.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+def phrase_postings(index: StoredIndex, phrases: DataFrame) -> DataFrame:
+    """Postings of phrases, from the positions of their words: a row for each chunk in which the words of a phrase stand
+    one after the other, with their frequency there as ``tf``.
+
+    ``phrases`` has unit, place, length and term, a row for each word. The positions of a word, less its place in the
+    phrase, are where the phrase would start; it does where the positions of all words agree. Postings of a chunk are in
+    one bucket, so nothing is shuffled.
+    """
+    words = phrases.withColumn("bucket", index.bucket_of("term"))
+    starts = F.transform("positions", lambda position: position - F.col("place"))
+    rest = [name for name in CARRIED if name not in CHUNK]
+    met = index.postings_of(words).groupBy(*CHUNK, "unit").agg(
+        F.count("*").alias("found"),
+        F.first("length").alias("length"),
+        F.collect_list(starts).alias("starts"),
+        *(F.first(name).alias(name) for name in rest),
+    )
+    common = F.aggregate(
+        F.slice("starts", F.lit(2), F.col("length")),
+        F.get("starts", F.lit(0)),
+        lambda agreed, more: F.array_intersect(agreed, more),
+    )
+    # Chunks that lack a word are left out before positions are compared.
+    whole = met.filter(F.col("found") == F.col("length")).withColumn("tf", F.size(common).cast("long"))
+    return whole.filter("tf > 0").select("unit", *CARRIED, "tf")
 
 
-def _looked_up(stats: IndexStats, block: QueryBlock) -> dict[int, int]:
-    spark = stats.terms.sparkSession
-    words = [(unit, block.words[parts[0]]) for unit, parts in enumerate(block.units)]
-    asked = spark.createDataFrame(words, "unit long, term string")
-    found = stats.terms.join(F.broadcast(asked), "term").select("unit", "df").collect()
-    totals = stats.corpus.first()
-    return {row["unit"]: row["df"] for row in found} | {-1: totals["n_chunks"], -2: totals["total_len"]}
+def _weights(frequencies: dict, n_chunks: int) -> dict:
+    """Inverse document frequency of every unit, never below the floor."""
+    found = {unit: math.log((n_chunks - df + 0.5) / (df + 0.5)) for unit, df in frequencies.items()}
+    return {unit: weight if weight > 0 else IDF_FLOOR for unit, weight in found.items()}
 
 
 def _search_pass(
-    index: DataFrame, eligible: DataFrame, queries: DataFrame, k: int, stats: IndexStats | None
+    index: StoredIndex, queries: DataFrame, k: int, boost: Column, wanted: dict, stats: IndexStats | None
 ) -> DataFrame:
-    spark = index.sparkSession
-    rows = query_units(queries).select("query_id", "position", "words").collect()
-    block = QueryBlock.of(rows)
-    names = spark.createDataFrame(list(enumerate(block.ids)), f"query int, query_id {_type(queries, 'query_id')}")
-    if not block.units:
-        empty = spark.createDataFrame([], BEST_SCHEMA)
-        return empty.join(names, "query")
-    shared = spark.sparkContext.broadcast(block)
-    single_words = all(len(words) == 1 for words in block.units)
-    counts = _looked_up(stats, block) if stats and single_words else _counted(index, block, shared)
-    n_chunks, tokens = counts.get(-1, 0), counts.get(-2, 0)
-    df = np.array([counts.get(unit, 0) for unit in range(len(block.units))], dtype=float)
-    idf = np.maximum(np.log((n_chunks - df + 0.5) / (df + 0.5)), 0.0)
-    idf[idf <= 0] = IDF_FLOOR
-    scoring = spark.sparkContext.broadcast((block, idf, tokens / max(1, n_chunks)))
-    scored = eligible.select(*KEYS, "tokens", "doc_len", "boost").mapInArrow(_scorer(scoring, k), BEST_SCHEMA)
-    return scored.join(F.broadcast(names), "query")
+    """Scores of the chunks that hold a unit of a query.
+
+    Words read the postings of their buckets; a posting meets the queries that use it from a broadcast table of the
+    pass. All postings of a chunk are in one task, so sums need no shuffle.
+    """
+    spark = queries.sparkSession
+    block = QueryBlock.of(query_units(queries).select("query_id", "words").collect())
+    kind = _type(queries, "query_id")
+    ids = {query_id: number for number, query_id in enumerate(block.sizes)}
+    names = spark.createDataFrame(
+        [(number, query_id, block.sizes[query_id]) for query_id, number in ids.items()],
+        f"query int, query_id {kind}, size long",
+    )
+    units = list(block.users)
+    words = spark.createDataFrame(
+        [(number, unit[0]) for number, unit in enumerate(units) if len(unit) == 1], "unit int, term string"
+    ).withColumn("bucket", index.bucket_of("term"))
+    phrases = [
+        (number, place, len(unit), word)
+        for number, unit in enumerate(units)
+        if len(unit) > 1
+        for place, word in enumerate(unit)
+    ]
+    counted = stats.terms.join(F.broadcast(words), "term") if stats else index.terms_of(words)
+    df = dict.fromkeys(range(len(units)), 0)
+    df |= {row.unit: row.df for row in counted.select("unit", "df").collect()}
+    together = None
+    if phrases:
+        given = spark.createDataFrame(phrases, "unit int, place int, length int, term string")
+        together = materialize(phrase_postings(index, given), "phrases")
+        df |= {row.unit: row["count"] for row in together.groupBy("unit").count().collect()}
+    totals = (stats.corpus if stats else index.corpus).first()
+    mean = (totals.total_len / totals.n_chunks if totals.n_chunks else 0) or 1.0
+    weights = _weights(df, totals.n_chunks)
+    uses = spark.createDataFrame(
+        [
+            (number, weights[number], [(ids[query_id], times) for query_id, times in block.users[unit].items()])
+            for number, unit in enumerate(units)
+        ],
+        "unit int, idf double, users array<struct<query: int, times: int>>",
+    )
+    carried = (*CARRIED, "tf", "idf", "users")
+    hits = index.postings_of(words.join(uses, "unit")).select(*carried)
+    if together is not None:
+        hits = hits.unionByName(together.join(F.broadcast(uses), "unit").select(*carried))
+    norm = K1 * (1 - B + B * F.col("doc_len") / mean)
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    used = chosen(hits, **wanted).select(*CHUNK, boost.alias("boost"), weight.alias("weight"), F.explode("users").alias("use"))
+    summed = used.groupBy(*CHUNK, F.col("use.query").alias("query")).agg(
+        (F.max("boost") + F.sum(F.col("weight") * F.col("use.times"))).alias("score"),
+        F.sum("use.times").alias("matched"),
+    )
+    return summed.join(F.broadcast(names), "query").select(
+        "query_id",
+        *CHUNK,
+        (F.col("matched") == F.col("size")).cast("byte").alias("complete"),
+        F.round("score", SCORE_DIGITS).alias("ranking"),
+        "score",
+    )
 
 
 def _type(df: DataFrame, name: str) -> str:
@@ -331,7 +310,7 @@ def _type(df: DataFrame, name: str) -> str:
 
 
 def search(
-    index: DataFrame,
+    index: DataFrame | StoredIndex,
     queries: DataFrame,
     k: int = 10,
     prefer_reference: bool = False,
@@ -342,33 +321,41 @@ def search(
 ) -> DataFrame:
     """Ranked chunks per query: those with every unit, or with any unit where no chunk has them all.
 
-    Filters act before that choice. Term statistics come from the whole index: from ``stats`` if given, else they
-    are counted in a first pass, as they are when a query holds a phrase. The index is then read twice, so pass one
-    that was written. ``queries`` has query_id and query.
+    Filters act before that choice. Term statistics come from the whole index: from ``stats`` if given, else from those
+    stored with it; those of a phrase are counted. ``queries`` has query_id and query; an id that is there twice is an
+    error. An ``index`` that is not stored is written first: store one that is searched more than once.
     """
+    if not isinstance(index, StoredIndex):
+        index = store(index)
     boost = (
         reference_boost(F.col("document_type"), F.col("content_category")) if prefer_reference else F.lit(0.0)
     )
-    eligible = chosen(index, document_type, content_category, chunk_strategy).withColumn("boost", boost)
+    wanted = {
+        "document_type": document_type,
+        "content_category": content_category,
+        "chunk_strategy": chunk_strategy,
+    }
     words = F.size(F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     scored = in_blocks(
         queries.select("query_id", "query"),
         words + 1,
         PASS_LIMIT,
         k,
-        lambda block: _search_pass(index, eligible, block, k, stats),
+        lambda block: _search_pass(index, block, k, boost, wanted, stats),
     )
-    order = [F.desc("complete"), F.desc("ranking"), F.asc("document_id"), F.asc("chunk_index")]
-    ranked = top_k(scored, ["query_id"], order, k, "rank", ["chunk_id"])
+    # Spark cuts each task's rows to the first k of a query before it shuffles them.
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("complete"), F.desc("ranking"), *CHUNK)
+    ranked = scored.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     best = F.max("complete").over(Window.partitionBy("query_id"))
     kept = ranked.withColumn("best_class", best).filter(F.col("complete") == F.col("best_class"))
-    return kept.select("query_id", "rank", "score", *KEYS, (F.col("complete") == 1).alias("all_terms"))
+    kept = kept.select("query_id", "rank", "score", *CHUNK, (F.col("complete") == 1).alias("all_terms"))
+    named = stored.fetch(kept, index.chunks, ["chunk_id"])
+    return named.select("query_id", "rank", "score", *KEYS, "all_terms")
 
 
-def with_provenance(results: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Results with text and document columns, fetched only for the rows that made the ranking."""
-    wanted = results.select("chunk_id").distinct()
-    found = chunks.drop("document_id", "chunk_index").join(wanted, "chunk_id")
+def with_provenance(results: DataFrame, chunks: DataFrame | PartedTable, documents: DataFrame) -> DataFrame:
+    """Results with text and document columns, fetched only for the rows that made the ranking: of a stored chunk table
+    only the folders of their documents are read."""
     docs = documents.select(
         F.col("id").alias("document_id"),
         F.col("name").alias("filename"),
@@ -378,5 +365,12 @@ def with_provenance(results: DataFrame, chunks: DataFrame, documents: DataFrame)
         "document_type",
         "content_category",
     )
-    joined = results.join(found, "chunk_id").join(docs, "document_id")
+    if isinstance(chunks, PartedTable):
+        missing = [name for name in PROVENANCE if name in chunks.table.columns and name not in results.columns]
+        found = stored.fetch(results, chunks, missing)
+    else:
+        wanted = results.select("chunk_id").distinct()
+        text = chunks.drop("document_id", "chunk_index").join(wanted, "chunk_id")
+        found = results.join(text, "chunk_id")
+    joined = found.join(docs, "document_id")
     return joined.select(*results.columns, *(name for name in PROVENANCE if name not in results.columns))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import index_tokens, strip
-from folioscope.operators import lexical
+from folioscope.operators import lexical, stored
 from folioscope.operators.chunking import build_chunks
+from folioscope.operators.stored import PartedTable, StoredIndex
 from folioscope.operators.vectors import locate
-from folioscope.session import materialize
+from folioscope.session import materialize, shared_folder
+from folioscope.sources.files import opened, qualified
 
+T = TypeVar("T")
 ROOT = "/corpus"
 MODEL = "m0"
 LINES_PER_PAGE = 20
@@ -121,22 +128,123 @@ def point_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per document that names two tables."""
+    docs = texts(spark, sf_dir)
+    text = F.concat(F.lit("Table 1. "), "text", F.lit(" End of table."))
+    return _pages(docs.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), text.alias("text")))
+
+
+# Starts of texts on which the default rules fire, each with another mix of type, category, number and organization.
+RULED_STARTS = (
+    "Наказ Міністерство оборони України 123 від",
+    "Закон № 45-XII Верховної Ради України",
+    "Військова доктрина, умовні знаки",
+    "Інструкція: топографічна карта 5№77",
+    "Норми часу NGA.SIG.0012_2.0.0 national geospatial",
+    "Навчальний посібник ПВП 3-(10)5 Генеральний штаб",
+    "Порядок чергування 123-1234567890-12 ЗСУ",
+    "Список Starlink esri",
+    "nothing of the kind",
+)
+YEARS = ("49", "50", "2024", "123")
+
+
+def ruled_starts(text_starts: DataFrame) -> DataFrame:
+    """Documents with ``text_start`` behind a start on which rules fire and two dates, some of which do not exist."""
+    number = F.col("id")
+
+    def rest(divisor: int):
+        return F.pmod(number, F.lit(divisor)).cast("string")
+
+    year = _by_remainder(number, YEARS)
+    first = F.concat(rest(33), F.lit("."), rest(14), F.lit("."), year)
+    second = F.concat(F.lit("20"), F.lpad(rest(100), 2, "0"), F.lit("-"), rest(13), F.lit("_"), rest(29))
+    start = F.concat_ws(" ", _by_remainder(number, RULED_STARTS), first, second, "text_start")
+    return text_starts.withColumn("text_start", start)
+
+
+# Starts of file names by document: hidden and private files are documents, temporary ones are not.
+NAME_STARTS = ("", "_", ".", "~$", "")
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for every document, below a folder for each source. Tasks write the files."""
+    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    docs = texts(spark, sf_dir)
+    name = F.concat(
+        _by_remainder(F.col("doc_id"), NAME_STARTS),
+        F.col("doc_id").cast("string"),
+        F.lit("."),
+        _by_remainder(F.col("doc_id"), EXTENSIONS),
+    )
+    rows = docs.select("source", name.alias("name"), F.col("text").cast("binary").alias("content"))
+    place = qualified(spark, root)
+
+    def write(batches):
+        system, base = opened(place)
+        for batch in batches:
+            for source, name, content in zip(*(batch[column].to_pylist() for column in ("source", "name", "content"))):
+                system.create_dir(f"{base}/{source}", recursive=True)
+                with system.open_output_stream(f"{base}/{source}/{name}") as stream:
+                    stream.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["files"])
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
 @dataclass(frozen=True)
 class Corpus:
+    """``chunks`` is the chunk table in folders by document, ``rows`` the index by chunk, ``index`` its stored postings."""
+
     documents: DataFrame
-    chunks: DataFrame
-    index: DataFrame
+    texts: PartedTable
+    rows: DataFrame
+    index: StoredIndex
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.texts.table.drop("part")
+
+
+# Written tables of this process by session, table and the files they were made from.
+_STORED: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], T]) -> T:
+    """The table ``name`` of a corpus, written at its first use in a session, as a corpus is built once and searched often.
+
+    Files that are exchanged under the same names are not noticed: use another folder or session for them.
+    """
+    files = table(spark, sf_dir, "documents").inputFiles()
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(files))
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_chunks(documents(spark, sf_dir), whole_pages(spark, sf_dir))
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> PartedTable:
+    return once(spark, sf_dir, "chunks", lambda: stored.store_chunks(chunks(spark, sf_dir)))
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        rows = lexical.build_index(chunk_table(spark, sf_dir).table, documents(spark, sf_dir))
+        return materialize(rows, "index")
+
+    return once(spark, sf_dir, "rows", build)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Chunks and index as written tables, as a corpus is that is built once and searched often."""
-    docs = documents(spark, sf_dir)
-    written = materialize(chunks(spark, sf_dir), "chunks")
-    return Corpus(docs, written, materialize(lexical.build_index(written, docs), "index"))
+    """Chunks and index as stored tables."""
+    texts_of, rows = chunk_table(spark, sf_dir), index_rows(spark, sf_dir)
+    index = once(spark, sf_dir, "index", lambda: lexical.store(rows))
+    return Corpus(documents(spark, sf_dir), texts_of, rows, index)
 
 
 def embeddings(spark: SparkSession, sf_dir: str, chunk_table: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from folioscope.functions import rules
 from folioscope.functions.text import LATIN_FROM, LATIN_TO
 from folioscope.operators import answers, context
 from folioscope.operators.profile import MARKERS
+from folioscope.plans import fixtures
 from folioscope.plans.packs import PROFILE_MARKERS, SAMPLE_MARKERS, SAMPLE_PACK
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -65,6 +68,12 @@ pg AS (
   SELECT doc_id * 4294967296 + 1 AS id, doc_id AS document_id, 1 AS page_number, text, length(text) AS text_length
   FROM documents)"""
 
+TABLE_PAGES = """
+pg AS (
+  SELECT doc_id * 4294967296 + 1 AS id, doc_id AS document_id, 1 AS page_number,
+    'Table 1. ' || text || ' End of table.' AS text, length(text) + 23 AS text_length
+  FROM documents)"""
+
 LINE_PAGES = """
 doc_lines AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 doc_parts AS (SELECT doc_id, lines, unnest(range((len(lines) - 1) // 20 + 1)) AS nr FROM doc_lines),
@@ -409,28 +418,58 @@ FLAG_LIST = "coalesce(nullif(concat_ws(', ', " + ", ".join(
 ) + "), ''), 'none')"
 
 
-def _first_rule(pairs, text: str, prefix: str = "") -> tuple[str, str]:
-    value = " ".join(f"WHEN regexp_matches({text}, {quoted('(?i)' + p)}) THEN {quoted(v)}" for v, p in pairs)
-    note = " ".join(f"WHEN regexp_matches({text}, {quoted('(?i)' + p)}) THEN {quoted(prefix + p)}" for _, p in pairs)
+def _first_rule(pairs, text: str, prefix: str = "", searched=None) -> tuple[str, str]:
+    both = list(zip(pairs, searched or pairs))
+    value = " ".join(f"WHEN regexp_matches({text}, {quoted('(?i)' + p)}) THEN {quoted(v)}" for (v, _), (_, p) in both)
+    note = " ".join(f"WHEN regexp_matches({text}, {quoted('(?i)' + p)}) THEN {quoted(prefix + n)}" for (_, n), (_, p) in both)
     return f"(CASE {value} END)", f"(CASE {note} END)"
 
 
-def metadata(pack: rules.RulePack) -> tuple[str, ...]:
-    """Rules as CASE chains. RE2 knows word borders of ASCII letters only, which is all these texts start words with."""
+def with_borders(pattern: str) -> str:
+    """A pattern whose word borders hold for letters of every script, for RE2, which knows those of ASCII letters only: a
+    border is the sign before or behind it, or an end of the text."""
+    letter, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+
+    def border(mark: re.Match) -> str:
+        following = pattern[mark.end() :].removeprefix("(")
+        if following.startswith("№"):
+            return letter
+        opens = following[:1].isalnum() or following.startswith((r"\d", "[0-9"))
+        return f"(?:^|{other})" if opens else f"(?:$|{other})"
+
+    return re.sub(r"\\b", border, pattern)
+
+
+def bordered(pack: rules.RulePack) -> rules.RulePack:
+    def each(pairs):
+        return tuple((value, with_borders(pattern)) for value, pattern in pairs)
+
+    return rules.RulePack(
+        each(pack.document_types),
+        each(pack.content_categories),
+        tuple(map(with_borders, pack.document_numbers)),
+        each(pack.organizations),
+    )
+
+
+def metadata(pack: rules.RulePack, start: str = "t.text_start", searched: rules.RulePack | None = None) -> tuple[str, ...]:
+    """Rules as CASE chains. RE2 knows word borders of ASCII letters only, which is all the given texts start words with;
+    ``searched`` is the pack in another form for texts with other words."""
+    searched = searched or pack
     values, notes = [], []
     for source, column in (("name", "name_text"), ("path", "path_text"), ("text", "text")):
-        value, note = _first_rule(pack.document_types, column, f"document_type:{source}:")
+        value, note = _first_rule(pack.document_types, column, f"document_type:{source}:", searched.document_types)
         values.append(value)
         notes.append(note)
-    category, category_note = _first_rule(pack.content_categories, "text", "content_category:")
-    organization, organization_note = _first_rule(pack.organizations, "text", "organization:")
+    category, category_note = _first_rule(pack.content_categories, "text", "content_category:", searched.content_categories)
+    organization, organization_note = _first_rule(pack.organizations, "text", "organization:", searched.organizations)
     number = " ".join(
         f"WHEN regexp_matches(raw, {quoted('(?i)' + p)}) THEN {collapse(f'regexp_extract(raw, {quoted("(?i)" + p)}, 1)')}"
-        for p in pack.document_numbers
+        for p in searched.document_numbers
     )
     number_note = " ".join(
-        f"WHEN regexp_matches(raw, {quoted('(?i)' + p)}) THEN {quoted('document_number:' + p)}"
-        for p in pack.document_numbers
+        f"WHEN regexp_matches(raw, {quoted('(?i)' + p)}) THEN {quoted('document_number:' + n)}"
+        for n, p in zip(pack.document_numbers, searched.document_numbers)
     )
 
     def date(pattern: str, year: int, month: int, day: int) -> str:
@@ -451,7 +490,7 @@ text_starts AS (
 haystacks AS (
   SELECT d.id, {normalize("d.name")} AS name_text, {normalize("d.relative_path || ' ' || d.folder_category")} AS path_text,
     concat_ws(' ', nullif(d.name, ''), nullif(d.relative_path, ''), nullif(d.folder_category, ''),
-      nullif(t.text_start, '')) AS raw
+      nullif({start}, '')) AS raw
   FROM docs d LEFT JOIN text_starts t ON t.document_id = d.id),
 ready AS (SELECT *, {normalize("raw")} AS text FROM haystacks),
 dated AS (
@@ -547,6 +586,10 @@ def _bytes_decoded() -> str:
     return f"translate(text, {quoted(letters)}, {quoted(shown)})"
 
 
+def _values(texts) -> str:
+    return "[" + ", ".join(map(quoted, texts)) + "]"
+
+
 ORACLE: dict[str, str] = {}
 
 
@@ -615,6 +658,38 @@ WHERE n.path IS NOT NULL OR o.root <> '/corpus'""",
     DOCS,
     VERSIONS,
 )
+_add(
+    "scan_folder",
+    f"""
+SELECT source || '/' || name AS relative_path, name, extension, size_bytes, sha256, source AS folder_category
+FROM (SELECT ({_values(fixtures.NAME_STARTS)})[doc_id % 5 + 1] || doc_id || '.' || ext AS name, ext AS extension, source,
+    strlen(text) AS size_bytes, sha256(text) AS sha256 FROM (SELECT *, {EXTENSION} AS ext FROM documents))
+WHERE name NOT LIKE '~$%'""",
+)
+_add(
+    "document_record",
+    """
+SELECT id, path, name AS relative_path, name, extension FROM docs WHERE id = (SELECT max(doc_id) FROM labels)""",
+    DOCS,
+)
+_add(
+    "stored_documents",
+    """
+SELECT id, path, CASE WHEN id % 2 = 0 THEN document_type ELSE 'unknown' END AS document_type, folder_category,
+  true AS is_supported FROM docs""",
+    DOCS,
+)
+_add("stored_pages", "SELECT id, document_id, page_number, text_length FROM pg", LINE_PAGES)
+_add(
+    "overwritten_chunks",
+    "SELECT chunk_id, document_id, chunk_index, chunk_length FROM chunks WHERE chunk_length >= 200",
+    *CHUNKS,
+)
+_add(
+    "json_lines",
+    "SELECT query_id, model, answer, source_count, total_time_seconds FROM ans",
+    ANSWERS,
+)
 _add(
     "vanished_documents",
     "SELECT id, path FROM old_docs WHERE root = '/corpus' AND path NOT IN (SELECT path FROM new_docs)",
@@ -785,6 +860,16 @@ SELECT recommendation, position, id, relative_path, greatest(n - 3, 0) AS more F
 # Metadata
 _add("metadata_rules", "SELECT * FROM metadata", *metadata(rules.RulePack()))
 _add("metadata_sample_rules", "SELECT * FROM metadata", *metadata(SAMPLE_PACK))
+_RULED = (
+    f"({_values(fixtures.RULED_STARTS)})[d.id % {len(fixtures.RULED_STARTS)} + 1] || ' ' || d.id % 33 || '.' || d.id % 14 || "
+    f"'.' || ({_values(fixtures.YEARS)})[d.id % {len(fixtures.YEARS)} + 1] || ' 20' || lpad((d.id % 100)::VARCHAR, 2, '0') || "
+    "'-' || d.id % 13 || '_' || d.id % 29 || ' ' || coalesce(t.text_start, '')"
+)
+_add(
+    "metadata_default_rules",
+    "SELECT * FROM metadata",
+    *metadata(rules.RulePack(), _RULED, bordered(rules.RulePack())),
+)
 _add(
     "metadata_update",
     """
@@ -835,6 +920,7 @@ point_counts AS (SELECT document_id, 0 AS points FROM pg GROUP BY document_id)""
     PIECES,
 )
 _add("chunks_pages", f"SELECT {_CHUNK_COLUMNS} FROM chunks", *_LINE_CHUNKS)
+_add("chunks_tables", f"SELECT {_CHUNK_COLUMNS} FROM chunks", *_chunk_ctes(TABLE_PAGES, points=False))
 _add("chunk_length_stats", length_stats("chunks", "chunk_length"), *CHUNKS)
 _add(
     "chunks_by_strategy",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ from folioscope.operators import (
 from folioscope.plans import fixtures as fx
 from folioscope.plans.packs import PROFILE_MARKERS, SAMPLE_MARKERS, SAMPLE_PACK
 from folioscope.schemas import conform_documents
-from folioscope.session import materialize, ship_package
+from folioscope.session import materialize, shared_folder, ship_package
+from folioscope.sources import files, keyed, tables
 from folioscope.sources.files import catalog_columns, decode_text
 from folioscope.sources.tables import query_set
 
@@ -41,6 +43,10 @@ def register(function: Query) -> Query:
     return function
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # Catalog
 
 
@@ -110,8 +116,8 @@ def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
     langs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
     root = F.when(F.col("lang") == "en", "/archive").otherwise(F.col("scan_root"))
     old = fx.documents(spark, d).join(stored, "id", "left_semi").join(langs, "id").withColumn("scan_root", root)
-    files = fx.files(spark, d).join(seen, "document_id", "left_semi")
-    new = catalog_columns(files, fx.ROOT)
+    found = fx.files(spark, d).join(seen, "document_id", "left_semi")
+    new = catalog_columns(found, fx.ROOT)
     return old.drop("lang"), new
 
 
@@ -119,8 +125,9 @@ def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
 def catalog_upsert(spark, d):
     old, new = _versions(spark, d)
     number = F.regexp_extract("name", r"^(\d+)", 1).cast("long")
-    merged = catalog.upsert(old, new, fx.ROOT, new_id=number)
-    return merged.select(
+    stored = keyed.store(old, _folder(spark, "catalog"), "path")
+    catalog.upsert_stored(stored, new, fx.ROOT, new_id=number)
+    return stored.read(spark).select(
         "id", "path", "document_type", "content_category", "scan_status", "scan_root", "has_text"
     )
 
@@ -173,6 +180,56 @@ def supported_documents(spark, d):
     return pages.supported_documents(docs).select("id", "path")
 
 
+@register
+def scan_folder(spark, d):
+    """The documents written as files and found again."""
+    root = fx.written_files(spark, d)
+    return files.scan(spark, root).select("relative_path", "name", "extension", "size_bytes", "sha256", "folder_category")
+
+
+@register
+def document_record(spark, d):
+    last = fx.table(spark, d, "labels").agg(F.max("doc_id")).first()[0]
+    nameless = fx.documents(spark, d).withColumns({"relative_path": F.lit(""), "extension": F.lit(None).cast("string")})
+    return catalog.find_document(nameless, last)
+
+
+@register
+def stored_documents(spark, d):
+    """Documents as an older version wrote them: no types, another name for the folder."""
+    path = _folder(spark, "documents")
+    kind = F.when(F.col("id") % 2 == 0, F.col("document_type"))
+    legacy = fx.documents(spark, d).select("id", "path", kind.alias("document_type"), F.col("folder_category").alias("category"))
+    tables.overwrite(legacy, path)
+    read = tables.read_documents(spark, path)
+    return read.select("id", "path", "document_type", "folder_category", "is_supported")
+
+
+@register
+def stored_pages(spark, d):
+    path = _folder(spark, "pages")
+    tables.overwrite(fx.line_pages(spark, d), path)
+    return tables.read_pages(spark, path).select("id", "document_id", "page_number", "text_length")
+
+
+@register
+def overwritten_chunks(spark, d):
+    """The chunk table written anew from one that is there."""
+    path = _folder(spark, "chunks")
+    tables.overwrite(fx.chunk_table(spark, d).table.select(*CHUNK_COLUMNS), path)
+    kept = spark.read.parquet(path).filter("chunk_length >= 200")
+    tables.overwrite(kept, path)
+    return spark.read.parquet(path).select("chunk_id", "document_id", "chunk_index", "chunk_length")
+
+
+@register
+def json_lines(spark, d):
+    path = _folder(spark, "answers")
+    tables.write_json_lines(fx.answers(spark, d), path)
+    schema = "query_id string, model string, answer string, source_count long, total_time_seconds double"
+    return spark.read.schema(schema).json(path)
+
+
 # Pages
 
 
@@ -205,8 +262,9 @@ def page_status_update(spark, d):
 def replace_pages(spark, d):
     processed = fx.table(spark, d, "labels").select(F.col("doc_id").alias("document_id"))
     new = fx.whole_pages(spark, d).join(processed, "document_id", "left_semi")
-    replaced = pages.replace_pages(fx.line_pages(spark, d), new, processed)
-    return replaced.select("document_id", "page_number", "text_length")
+    stored = keyed.store(fx.line_pages(spark, d), _folder(spark, "pages"), "document_id")
+    pages.replace_stored_pages(stored, new, processed)
+    return stored.read(spark).select("document_id", "page_number", "text_length")
 
 
 @register
@@ -338,6 +396,13 @@ def text_functions(spark, d):
     )
 
 
+@register
+def metadata_default_rules(spark, d):
+    """The default rules and dates over texts on which they fire."""
+    docs = pages.with_text_start(fx.documents(spark, d), fx.line_pages(spark, d))
+    return metadata.extract_metadata(fx.ruled_starts(docs))
+
+
 # Chunks
 
 
@@ -378,6 +443,11 @@ def chunks_pages(spark, d):
     return chunking.build_chunks(fx.documents(spark, d), fx.line_pages(spark, d)).select(*CHUNK_COLUMNS)
 
 
+@register
+def chunks_tables(spark, d):
+    return chunking.build_chunks(fx.documents(spark, d), fx.table_pages(spark, d)).select(*CHUNK_COLUMNS)
+
+
 @register
 def chunk_length_stats(spark, d):
     return profile.length_stats(fx.chunks(spark, d), "chunk_length", digits=4)
@@ -418,7 +488,7 @@ def _ranked(results: DataFrame) -> DataFrame:
 
 @register
 def index_rows(spark, d):
-    return fx.corpus(spark, d).index.select(
+    return fx.index_rows(spark, d).select(
         "chunk_id",
         "document_type",
         "content_category",
@@ -430,19 +500,19 @@ def index_rows(spark, d):
 
 @register
 def postings(spark, d):
-    found = lexical.postings(fx.corpus(spark, d).index)
+    found = lexical.postings(fx.index_rows(spark, d))
     places = F.array_join(F.transform("positions", lambda place: place.cast("string")), " ")
     return found.select("term", "chunk_id", "tf", places.alias("positions"))
 
 
 @register
 def term_stats(spark, d):
-    return lexical.term_stats(fx.corpus(spark, d).index)
+    return lexical.term_stats(fx.index_rows(spark, d))
 
 
 @register
 def corpus_stats(spark, d):
-    stats = lexical.corpus_stats(fx.corpus(spark, d).index)
+    stats = lexical.corpus_stats(fx.index_rows(spark, d))
     return stats.withColumn("avg_len", F.round("avg_len", 6))
 
 
@@ -484,7 +554,7 @@ def bm25_phrases(spark, d):
 def bm25_provenance(spark, d):
     corpus = fx.corpus(spark, d)
     results = lexical.search(corpus.index, fx.queries(spark, d))
-    shown = lexical.with_provenance(results, corpus.chunks, corpus.documents)
+    shown = lexical.with_provenance(results, corpus.texts, corpus.documents)
     return shown.select(
         "query_id",
         "rank",
@@ -496,23 +566,20 @@ def bm25_provenance(spark, d):
 # Vectors
 
 
-def _semantic(spark, d, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    chunks = materialize(fx.chunks(spark, d), "chunks")
-    found = vectors.search(
-        fx.located_embeddings(spark, d, chunks), fx.queries(spark, d).filter("vector IS NOT NULL"), fx.MODEL, k
-    )
-    return chunks, found.withColumn("similarity", F.round("similarity", 5))
+def _semantic(spark, d, k: int = 10) -> DataFrame:
+    located = fx.located_embeddings(spark, d, fx.chunk_table(spark, d).table)
+    found = vectors.search(located, fx.queries(spark, d).filter("vector IS NOT NULL"), fx.MODEL, k)
+    return found.withColumn("similarity", F.round("similarity", 5))
 
 
 @register
 def semantic_topk(spark, d):
-    return _semantic(spark, d)[1]
+    return _semantic(spark, d)
 
 
 @register
 def semantic_provenance(spark, d):
-    chunks, found = _semantic(spark, d)
-    shown = lexical.with_provenance(found, chunks, fx.documents(spark, d))
+    shown = lexical.with_provenance(_semantic(spark, d), fx.chunk_table(spark, d), fx.documents(spark, d))
     return shown.select(
         "query_id",
         "rank",
@@ -536,7 +603,7 @@ def cosine_expression(spark, d):
 
 
 def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
-    chunks = materialize(fx.chunks(spark, d), "chunks")
+    chunks = fx.chunk_table(spark, d).table.drop("part")
     return chunks, fx.embeddings(spark, d, chunks)
 
 
@@ -577,9 +644,10 @@ def embedding_backfill(spark, d):
 
 @register
 def embedding_upsert(spark, d):
-    stored, made = _backfilled(spark, d)
-    merged = vectors.upsert_embeddings(stored, materialize(made, "embeddings"))
-    return merged.select("chunk_id", "model", F.size("embedding").alias("dimension"))
+    existing, made = _backfilled(spark, d)
+    stored = vectors.store_embeddings(existing, _folder(spark, "embeddings"))
+    vectors.upsert_stored(stored, materialize(made, "made").select("chunk_id", "model", "embedding"))
+    return stored.read(spark).select("chunk_id", "model", F.size("embedding").alias("dimension"))
 
 
 # Fusion, evaluation, context
@@ -657,8 +725,7 @@ def eval_winner(spark, d):
 
 def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
     corpus, rankings = _hybrid(spark, d, prefer_reference=True)
-    fused = materialize(rankings.fused, "ranking")
-    results = lexical.with_provenance(fused, corpus.chunks, corpus.documents)
+    results = lexical.with_provenance(rankings.fused, corpus.texts, corpus.documents)
     return fx.queries(spark, d).select("query_id", "query"), context.select_sources(results)
 
 

@@ -30,7 +30,7 @@ PIECE = 4 << 20
 LISTED = "relative string, folder boolean, length long, modificationTime timestamp, error string"
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
+def qualified(spark: SparkSession, root: str) -> str:
     """``root`` with its file system, as the cluster resolves it; a plain path where that is the local one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -38,7 +38,7 @@ def _qualified(spark: SparkSession, root: str) -> str:
     return "/" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
 
 
-def _opened(place: str) -> tuple[fs.FileSystem, str]:
+def opened(place: str) -> tuple[fs.FileSystem, str]:
     scheme, found, rest = place.partition("://")
     if not found:
         return fs.LocalFileSystem(), place.rstrip("/")
@@ -52,7 +52,8 @@ def _wanted(name: str, extensions: Sequence[str]) -> bool:
 
 
 def _listing(place: str, extensions: Sequence[str]):
-    """What is directly in each folder: its folders, its files of the given kinds, or the error of listing it."""
+    """What is directly in each folder: its folders, its files of the given kinds, or the error of listing it. Pipes,
+    sockets and links to nothing are no files: opening one may never return."""
 
     def entries(system: fs.FileSystem, base: str, folder: str) -> list[tuple]:
         try:
@@ -66,12 +67,12 @@ def _listing(place: str, extensions: Sequence[str]):
                 if isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path):
                     continue
                 rows.append((relative, True, None, None, None))
-            elif _wanted(info.base_name, extensions):
+            elif info.type == fs.FileType.File and _wanted(info.base_name, extensions):
                 rows.append((relative, False, info.size, info.mtime, None))
         return rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _opened(place)
+        system, base = opened(place)
         kinds = (pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC"), pa.string())
         names = [column.split()[0] for column in LISTED.split(", ")]
         for batch in batches:
@@ -90,7 +91,7 @@ def walk(spark: SparkSession, root: str, extensions: Sequence[str] = tuple(DOCUM
     Folders are listed by the tasks, level by level; a level is a written table, so the driver only counts folders.
     Links to folders are not followed, as they may lead in a circle.
     """
-    place = _qualified(spark, root)
+    place = qualified(spark, root)
     level = spark.createDataFrame([("",)], "relative string")
     listed: list[DataFrame] = []
     while True:
@@ -121,7 +122,7 @@ def _read(place: str, value: str, kind: pa.DataType, read: Callable):
     """Each listed file with what ``read`` makes of its stream, or with the error of reading it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _opened(place)
+        system, base = opened(place)
         for batch in batches:
             for row in (batch.slice(at, 1) for at in range(batch.num_rows)):
                 made, error = None, row["error"][0].as_py()
@@ -149,7 +150,7 @@ def _sha256(stream) -> str:
 def _with(spark: SparkSession, root: str, listed: DataFrame, value: str, kind: pa.DataType, read: Callable) -> DataFrame:
     name = "binary" if kind == pa.binary() else "string"
     schema = f"path string, length long, modificationTime timestamp, {value} {name}, error string"
-    return _dealt(listed).mapInArrow(_read(_qualified(spark, root), value, kind, read), schema)
+    return _dealt(listed).mapInArrow(_read(qualified(spark, root), value, kind, read), schema)
 
 
 def hashed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
