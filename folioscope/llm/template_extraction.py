@@ -2,9 +2,9 @@
 
 A token is a tag with its place in the tree, or a whole text node with its place. Tokens with one occurrence vector
 over a host's pages (how often each page has them) form an equivalence class; classes that enough pages have and whose
-tokens nest in one another are the host's template. What stands between its tokens are slots. On a page with a main
-element its content is extracted, on others all slots but menus; notices and whatever else the template or the markup
-marks as no part of the article are not.
+tokens nest in one another are the host's template. What stands between its tokens are slots. All slots of a page but
+menus are extracted, or its main elements where they hold more than any other slot; notices and whatever else the template
+or the markup marks as no part of the article are not. Copies of a page are one page of the host.
 
 An occurrence vector is as long as a host has pages, so it is never built: each token gets a digest of it, a sum over
 pages that is combined before the shuffle.
@@ -12,8 +12,10 @@ pages that is combined before the shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +33,10 @@ INLINE = frozenset(
 )
 SILENT = frozenset(
     "head title script style noscript template nav header footer aside form button select option textarea input "
-    "iframe object svg canvas audio video dialog menu figcaption".split()
+    "iframe object svg canvas audio video dialog menu".split()
 )
-# Words in a class or an id that mark an element as no part of the article.
+# Words in a class or an id that mark an element as no part of the article. Within a main element a name of several words
+# (section-header, share-price) is taken as a name of its own and marks nothing, unless its last word says what it holds.
 HINT = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|gdpr|popup|modal|overlay"
     r"|menu\w*|nav\w*|breadcrumb\w*|header|masthead|footer|sidebar|aside|widget\w*|related|recommend\w*|share\w*"
@@ -41,6 +44,12 @@ HINT = re.compile(
     r"|pagination|toolbar|skip)(?:[^a-z]|$)"
 )
 MAIN = frozenset(("article", "main"))
+INNER_HINT = re.compile(
+    r"(?:^|.*[-_])(?:ads?|advert\w*|banner|sponsored|promo|cookies?|consent|popup|modal|menu|nav|navigation|breadcrumbs?"
+    r"|footer|sidebar|widget|related|comments?|replies|disqus|newsletter|signup|pagination|toolbar)$"
+    r"|^(?:share|social|comment|reply|related|newsletter|header|search|login|subscribe|notice)$"
+    r"|^(?:comments?|share|social|related|newsletter)[-_](?:list|box|buttons?|links?|posts?|bar|section|thread|body|item)$"
+)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\">]*\"|'[^'>]*')*+)>|<[!?/A-Za-z][^>]*(?:>|\Z)",
@@ -73,19 +82,46 @@ def element(name: str, attributes: str) -> str:
     return f"{name}[{' '.join(marks)}]" if marks else name
 
 
-def silent(part: str) -> bool:
-    name, _, marks = part.partition("[")
+def silent(name: str, marks: str, inner: bool) -> bool:
+    """Whether an element is no part of an article, by its name, class, id and role. ``inner``: it is in a main element."""
     if name in SILENT:
-        return True
-    return bool(marks) and name not in ("html", "body", *MAIN) and HINT.search(marks.replace(":", " ")) is not None
+        return name != "header" or not inner
+    if not marks or name in ("html", "body", "main"):
+        return False
+    words = marks.replace(":", " ").split()
+    if inner or name == "article":
+        return any(INNER_HINT.match(word) for word in words)
+    return HINT.search(" ".join(words)) is not None
+
+
+class Place:
+    """An element of a page with all elements around it. ``key`` is a digest of the path, made from the parent's, so the
+    places of a page take memory by their number, however deep they are."""
+
+    __slots__ = ("parent", "name", "key", "silent", "main")
 
+    def __init__(self, parent: Place | None, part: str) -> None:
+        name, _, marks = part.partition("[")
+        self.parent, self.name = parent, name
+        above = parent.key if parent else ""
+        self.key = hashlib.blake2b(f"{above}/{part}".encode(), digest_size=8).hexdigest()
+        inner = parent is not None and parent.main
+        self.silent = (parent is not None and parent.silent) or silent(name, marks[:-1], inner)
+        self.main = inner or name in MAIN
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, list[str]]]:
-    """The blocks of a page in order: path of elements, text, whether it is all links, and the tags before it.
 
-    Tags give as tokens their name and path. A paragraph ends where the next block element begins.
+Block = tuple[Place | None, str, bool, list[str]]
+
+
+def blocks(page: str) -> Iterator[Block]:
+    """The blocks of a page in order: place, text, whether it is all links, and the tags before it.
+
+    Tags give as tokens the keys of the place around them and of their own. A paragraph ends where the next block element
+    begins.
     """
-    path: list[str] = []
+    path: list[Place] = []
+    children: dict[tuple[str, str], Place] = {}
+    opened: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
     tags: list[str] = []
     links = 0
@@ -96,11 +132,16 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, list[str]]]:
         linked = bool(held) and all(inside for part, inside in held if part.strip())
         held.clear()
         if text or tags:
-            result = (tuple(path), text, linked, tags)
+            result = (path[-1] if path else None, text, linked, tags)
             tags = []
             return result
         return None
 
+    def close(place: int) -> None:
+        for part in path[place:]:
+            opened[part.name] -= 1
+        del path[place:]
+
     at = 0
     for match in _MARKUP.finditer(page):
         if match.start() > at:
@@ -124,21 +165,27 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, list[str]]]:
         if not closing:
             # A block element ends an open paragraph, an item the item before it.
             for ended in ("p", "li") if name == "li" else ("p",):
-                for place in range(len(path) - 1, -1, -1):
-                    if path[place].partition("[")[0] == ended:
-                        del path[place:]
+                for place in range(len(path) - 1, -1, -1) if opened[ended] else ():
+                    if path[place].name == ended:
+                        close(place)
                         break
-                    if path[place].partition("[")[0] in ("ul", "ol", "td", "div", "article"):
+                    if path[place].name in ("ul", "ol", "td", "div", "article"):
                         break
             part = element(name, match.group(4) or "")
-            tags.append("/".join(path) + "<" + part)
-            path.append(part)
-        else:
-            names = [part.partition("[")[0] for part in path]
-            if name in names:
-                place = len(names) - 1 - names[::-1].index(name)
-                tags.append("/".join(path[:place]) + ">" + path[place])
-                del path[place:]
+            parent = path[-1] if path else None
+            above = parent.key if parent else ""
+            node = children.get((above, part))
+            if node is None:
+                node = children[above, part] = Place(parent, part)
+            tags.append(f"{above}<{node.key}")
+            path.append(node)
+            opened[name] += 1
+        elif opened[name]:
+            place = len(path) - 1
+            while path[place].name != name:
+                place -= 1
+            tags.append(f"{path[place - 1].key if place else ''}>{path[place].key}")
+            close(place)
     if at < len(page):
         held.append((page[at:], links > 0))
     block = flush()
@@ -146,27 +193,33 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool, list[str]]]:
         yield block
 
 
+def shown(page: str) -> Iterator[tuple[Place | None, str, bool]]:
+    """The blocks with text that may be part of an article."""
+    for place, text, linked, _ in blocks(page):
+        if text and not (place and place.silent):
+            yield place, text, linked
+
+
+# Groups of copied pages whose digests are broadcast (about 50 bytes each); beyond, pages meet them by a shuffle.
+BROADCAST_COPIES = 500_000
 # Sums of billions of digests stay below 2 ** 63.
 _PRIME = (1 << 31) - 1
-COUNTED = (
-    "host string, what string, token string, pages long, times long, vector_one long, vector_two long, words long, "
-    "linked long"
-)
+COUNTED = "host string, token string, pages long, times long, vector_one long, vector_two long"
 
 
-def text_token(path: tuple[str, ...], text: str) -> str:
-    return "/".join(path) + "=" + text
+def text_token(place: Place | None, text: str) -> str:
+    """A block of text at its place, as a digest. Tokens of tags have 34 signs at most, those of texts 40."""
+    return hashlib.blake2b(f"{place.key if place else ''}={text}".encode("utf-8", "replace"), digest_size=20).hexdigest()
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, host and token: pages that have it, how often they do, and a digest of its occurrence vector; and
-    words by path."""
-    held: dict[tuple[str | None, str, str], list[int]] = {}
+    """Per task, host and token: pages that have it, how often they do, and a digest of its occurrence vector."""
+    held: dict[tuple[str | None, str], list[int]] = {}
 
     def result() -> pa.RecordBatch:
         rows = [(*key, *values) for key, values in held.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 9
-        kinds = [pa.string()] * 3 + [pa.int64()] * 6
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.string()] * 2 + [pa.int64()] * 4
         names = [part.split()[0] for part in COUNTED.split(", ")]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -176,30 +229,18 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts = batch.column("host").to_pylist()
             marks = batch.column("mark").to_numpy()
             for host, mark, page in zip(hosts, marks.tolist(), batch.column("html").to_pylist()):
-                counts: dict[tuple[str, str], int] = {}
-                words: dict[str, list[int]] = {}
-                for path, text, linked, tags in blocks(page or ""):
-                    for tag in tags:
-                        counts["tag", tag] = counts.get(("tag", tag), 0) + 1
-                    if text and not any(map(silent, path)):
-                        token = ("text", text_token(path, text))
-                        counts[token] = counts.get(token, 0) + 1
-                        sums = words.setdefault("/".join(path), [0, 0])
-                        number = text.count(" ") + 1
-                        sums[0] += number
-                        sums[1] += number * linked
-                for (what, token), times in counts.items():
-                    values = held.setdefault((host, what, token), [0, 0, 0, 0, 0, 0])
-                    # Digests add up modulo a prime, so they cannot overflow and repeated pages do not cancel.
+                counts: Counter[str] = Counter()
+                for place, text, _, tags in blocks(page or ""):
+                    counts.update(tags)
+                    if text and not (place and place.silent):
+                        counts[text_token(place, text)] += 1
+                for token, times in counts.items():
+                    values = held.setdefault((host, token), [0, 0, 0, 0])
+                    # Digests add up modulo a prime, so they cannot overflow.
                     values[0] += 1
                     values[1] += times
                     values[2] = (values[2] + (mark % _PRIME) * times) % _PRIME
                     values[3] = (values[3] + (mark * 0x9E3779B97F4A7C15 >> 7) % _PRIME * times) % _PRIME
-                for token, (number, linked) in words.items():
-                    values = held.setdefault((host, "path", token), [0, 0, 0, 0, 0, 0])
-                    values[0] += 1
-                    values[4] += number
-                    values[5] += linked
             if len(held) > 50_000:
                 yield result()
     yield result()
@@ -208,70 +249,90 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_counts(pages: DataFrame) -> DataFrame:
     """Counts and occurrence-vector digests of each token of each host, over all pages."""
     counted = pages.mapInArrow(_counting, COUNTED)
-    return counted.groupBy("host", "what", "token").agg(
-        *(F.sum(name).alias(name) for name in ("pages", "times", "words", "linked")),
+    return counted.groupBy("host", "token").agg(
+        *(F.sum(name).alias(name) for name in ("pages", "times")),
         *((F.sum(name) % _PRIME).alias(name) for name in ("vector_one", "vector_two")),
     )
 
 
-def slot_of(path: str, skeleton: frozenset[str]) -> str:
-    """The deepest element around a text that is in the template with all elements around it."""
-    parts = path.split("/")
-    depth = 0
-    while depth < len(parts) and "/".join(parts[: depth + 1]) in skeleton:
-        depth += 1
-    return "/".join(parts[:depth])
+def once_each(rows: DataFrame) -> DataFrame:
+    """Pages without their copies: one page of each host and html. Only pages that have copies are shuffled, one of each a
+    task."""
+    hashed = rows.withColumn("digest", F.xxhash64("html"))
+    copied = hashed.groupBy("host", "digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    copied = copied.withColumnsRenamed({"host": "host_of", "digest": "digest_of"})
+    copied = Scratch(rows.sparkSession, "copies").write(copied, "copied")
+    if copied.count() <= BROADCAST_COPIES:
+        copied = F.broadcast(copied)
+    same = F.col("host").eqNullSafe(F.col("host_of")) & (F.col("digest") == F.col("digest_of"))
+    first = hashed.join(copied, same, "left_semi").groupBy("host", "digest").agg(
+        F.min("mark").alias("mark"), F.first("html").alias("html")
+    )
+    alone = hashed.join(copied, same, "left_anti")
+    return alone.select("host", "mark", "html").unionByName(first.select("host", "mark", "html"))
+
+
+def slot_of(place: Place | None, skeleton: frozenset[str], known: dict[str, str]) -> str:
+    """Key of the deepest element around a text that is in the template; elements of it are with all around them.
+    ``known`` has the slots of a page found so far, so no element is passed twice."""
+    passed = []
+    while place is not None and place.key not in skeleton and place.key not in known:
+        passed.append(place.key)
+        place = place.parent
+    found = known.get(place.key, place.key) if place else ""
+    known.update(dict.fromkeys(passed, found))
+    return found
 
 
-def template_of(rows: list[dict], host_pages: int, options: TemplateOptions) -> tuple[list[str], list[str], list[str]]:
-    """Paths of the elements that are in the host's template, those of them that are menus as slots, and the text
-    tokens that are template.
+def template_of(rows: list[dict], host_pages: int, options: TemplateOptions) -> tuple[list[str], list[str]]:
+    """Keys of the elements that are in the host's template, and the text tokens that are template.
 
-    ``rows`` are the host's tokens. Classes of tags with one occurrence vector are valid if enough pages have them
-    and more than one token is in them; an element is in the template if its tag is in a valid class of single
-    occurrences and all elements around it are, too. A slot is the deepest such element around a text; it is a menu if
-    most of its words are in links.
+    ``rows`` are the host's tokens that enough pages have. Classes of tags with one occurrence vector are valid if enough
+    pages have them and more than one token is in them; an element is in the template if its tag is in a valid class of
+    single occurrences and all elements around it are, too. The slots are the deepest such elements around texts.
     """
     classes: dict[tuple, list[str]] = {}
     for row in rows:
-        if row["what"] == "tag" and 100 * row["pages"] >= options.percent * host_pages:
-            vector = (row["pages"], row["times"], row["vector_one"], row["vector_two"])
-            classes.setdefault(vector, []).append(row["token"])
-    valid: set[str] = set()
+        if "<" in row["token"] or ">" in row["token"]:
+            if 100 * row["pages"] >= options.percent * host_pages:
+                vector = (row["pages"], row["times"], row["vector_one"], row["vector_two"])
+                classes.setdefault(vector, []).append(row["token"])
+    around: dict[str, str] = {}
     for (pages, times, _, _), tokens in classes.items():
         if len(tokens) > 1 and pages == times:
-            valid.update(token.replace("<", "/", 1).lstrip("/") for token in tokens if "<" in token)
-    skeleton = frozenset(path for path in valid if slot_of(path, valid) == path)
-    slots: dict[str, list[int]] = {}
-    for row in rows:
-        if row["what"] == "path":
-            sums = slots.setdefault(slot_of(row["token"], skeleton), [0, 0])
-            sums[0] += row["words"]
-            sums[1] += row["linked"]
-    menus = [place for place, (words, linked) in slots.items() if 2 * linked > words]
+            for token in tokens:
+                above, opens, key = token.partition("<")
+                if opens:
+                    around[key] = above
+    inside = {above: [key for key in around if around[key] == above] for above in set(around.values())}
+    skeleton, open_keys = [], [""]
+    while open_keys:
+        found = inside.get(open_keys.pop(), [])
+        skeleton += found
+        open_keys += found
     fixed = [
         row["token"]
         for row in rows
-        if row["what"] == "text"
+        if "<" not in row["token"]
+        and ">" not in row["token"]
         and host_pages >= options.text_pages
         and 100 * row["pages"] >= options.text_percent * host_pages
     ]
-    return sorted(skeleton), sorted(menus), sorted(fixed)
+    return sorted(skeleton), sorted(fixed)
 
 
-TEMPLATE = "host string, skeleton array<string>, menus array<string>, fixed array<string>"
+TEMPLATE = "host string, skeleton array<string>, fixed array<string>"
 
 
 def _deducing(options: TemplateOptions):
     def task(table: pa.Table) -> pa.Table:
         host_pages = table.column("host_pages")[0].as_py()
-        skeleton, menus, fixed = template_of(table.to_pylist(), host_pages, options)
+        skeleton, fixed = template_of(table.to_pylist(), host_pages, options)
         kind = pa.list_(pa.string())
         return pa.table(
             {
                 "host": table.column("host").slice(0, 1),
                 "skeleton": pa.array([skeleton], kind),
-                "menus": pa.array([menus], kind),
                 "fixed": pa.array([fixed], kind),
             }
         )
@@ -280,72 +341,113 @@ def _deducing(options: TemplateOptions):
 
 
 def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
-    """``host``, ``skeleton``, ``menus`` and ``fixed``: a row per host. Text nodes that too few pages have are left out before
-    tokens of a host meet, so what meets follows the site's structure, not its number of pages."""
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages")).withColumnRenamed("host", "host_of")
-    counted = token_counts(pages).join(hosts, F.col("host").eqNullSafe(F.col("host_of")))
-    needed = 100 * F.col("pages") >= options.text_percent * F.col("host_pages")
-    enough = (F.col("what") != "text") | (needed & (F.col("host_pages") >= options.text_pages))
-    return (
-        counted.filter(enough)
-        .select("host", "host_pages", "what", "token", "pages", "times", "vector_one", "vector_two", "words", "linked")
-        .groupBy("host")
-        .applyInArrow(_deducing(options), TEMPLATE)
+    """``host``, ``skeleton`` and ``fixed``: a row per host, from its pages without copies. Tokens that too few pages have
+    are left out before tokens of a host meet: what meets is at most the tokens of a few of its pages, however many."""
+    hosts = pages.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("host_pages"))
+    hosts = hosts.withColumnRenamed("host", "host_of")
+    counted = token_counts(once_each(pages)).join(hosts, F.col("host").eqNullSafe(F.col("host_of")))
+    is_tag = F.col("token").rlike("[<>]")
+    percent = F.when(is_tag, options.percent).otherwise(options.text_percent)
+    enough = (100 * F.col("pages") >= percent * F.col("host_pages")) & (
+        is_tag | (F.col("host_pages") >= options.text_pages)
     )
+    return counted.filter(enough).drop("host_of").groupBy("host").applyInArrow(_deducing(options), TEMPLATE)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, and words in links, of each slot of each page's host."""
+    for batch, rows in _templated(batches, ("skeleton",)):
+        sums: dict[tuple[str | None, str], list[int]] = {}
+        for host, page, skeleton in rows:
+            known: dict[str, str] = {}
+            for place, text, linked in shown(page):
+                values = sums.setdefault((host, slot_of(place, skeleton, known)), [0, 0])
+                number = text.count(" ") + 1
+                values[0] += number
+                values[1] += number * linked
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([host for host, _ in sums], pa.string()),
+                pa.array([slot for _, slot in sums], pa.string()),
+                pa.array([values[0] for values in sums.values()], pa.int64()),
+                pa.array([values[1] for values in sums.values()], pa.int64()),
+            ],
+            ["host", "slot", "words", "linked"],
+        )
+
+
+def with_menus(joined: DataFrame, found: DataFrame) -> DataFrame:
+    """Templates with ``menus``: slots most of whose words, over all pages of the host, are in links."""
+    counted = joined.select("html", "host", "skeleton").mapInArrow(_words, "host string, slot string, words long, linked long")
+    summed = counted.groupBy("host", "slot").agg(F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+    menus = summed.filter(2 * F.col("linked") > F.col("words")).groupBy("host").agg(F.collect_list("slot").alias("menus"))
+    menus = menus.withColumnRenamed("host", "menu_host")
+    kept = found.join(menus, F.col("host_of").eqNullSafe(F.col("menu_host")), "left").drop("menu_host")
+    return kept.withColumn("menus", F.coalesce("menus", F.array().cast("array<string>")))
 
 
 def article(page: str, skeleton: frozenset[str], menus: frozenset[str], fixed: frozenset[str]) -> str:
     """The text of a page's article, blocks joined by one space.
 
-    On a page with text in a main element that is what the main elements hold. On any other it is the text of all
-    slots, whatever their share of the host's words, but those that are menus: most of their words are in links, over
-    the host and on this page.
+    That is the text of all slots, whatever their share of the host's words, but those that are menus: most of their words
+    are in links, over the host and on this page. Where main elements hold more words than any other such slot, it is what
+    they hold; text in them is no template for being on many pages.
     """
+    known: dict[str, str] = {}
     held = [
-        (path, text, linked)
-        for path, text, linked, _ in blocks(page)
-        if text and not any(map(silent, path)) and text_token(path, text) not in fixed
+        (slot_of(place, skeleton, known), place is not None and place.main, text, linked)
+        for place, text, linked in shown(page)
+        if (place and place.main) or text_token(place, text) not in fixed
     ]
-    main = [text for path, text, _ in held if any(part.partition("[")[0] in MAIN for part in path)]
-    if main:
-        return " ".join(main)
-    if not menus:
-        return " ".join(text for _, text, _ in held)
-    places = [slot_of("/".join(path), skeleton) for path, _, _ in held]
-    sums = {place: [0, 0] for place in places}
-    for place, (_, text, linked) in zip(places, held):
+    sums: dict[tuple[str, bool], list[int]] = {}
+    for slot, main, text, linked in held:
+        values = sums.setdefault((slot, main), [0, 0])
         number = text.count(" ") + 1
-        sums[place][0] += number
-        sums[place][1] += number * linked
-    menu = {place for place, (words, linked) in sums.items() if place in menus and 2 * linked > words}
-    return " ".join(text for place, (_, text, _) in zip(places, held) if place not in menu)
+        values[0] += number
+        values[1] += number * linked
+    menu = {
+        (slot, main)
+        for (slot, main), (words, linked) in sums.items()
+        if not main and slot in menus and 2 * linked > words
+    }
+    inner = sum(words for (_, main), (words, _) in sums.items() if main)
+    outer = max((words for key, (words, _) in sums.items() if not key[1] and key not in menu), default=0)
+    if inner >= max(outer, 1):
+        return " ".join(text for _, main, text, _ in held if main)
+    return " ".join(text for slot, main, text, _ in held if (slot, main) not in menu)
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
-def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _templated(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
+    """Slices of batches with their rows: host, page and, as sets, the named parts of the host's template."""
     known: dict[str | None, tuple[frozenset[str], ...]] = {}
     for whole in batches:
         for batch in batches_of(whole, "html"):
-            texts = []
+            rows = []
             hosts = batch.column("host").to_pylist()
             for place, (host, page) in enumerate(zip(hosts, batch.column("html").to_pylist())):
                 if host not in known:
                     if len(known) > 2_000:
                         known.clear()
-                    template = (batch.column(name)[place].as_py() or () for name in ("skeleton", "menus", "fixed"))
-                    known[host] = tuple(map(frozenset, template))
-                texts.append(article(page or "", *known[host]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("page_id"),
-                    batch.column("url"),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(text) for text in texts], pa.int64()),
-                ],
-                ["page_id", "url", "text", "n_chars"],
-            )
+                    known[host] = tuple(frozenset(batch.column(name)[place].as_py() or ()) for name in names)
+                rows.append((host, page or "", *known[host]))
+            yield batch, rows
+
+
+def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, rows in _templated(batches, ("skeleton", "menus", "fixed")):
+        texts = [article(page, skeleton, menus, fixed) for _, page, skeleton, menus, fixed in rows]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("page_id"),
+                batch.column("url"),
+                pa.array(texts, pa.string()),
+                pa.array([len(text) for text in texts], pa.int64()),
+            ],
+            ["page_id", "url", "text", "n_chars"],
+        )
 
 
 SALTS = 64
@@ -355,8 +457,8 @@ def extract(pages: DataFrame, options: TemplateOptions | None = None) -> DataFra
     """Per row of ``pages``: ``page_id``, ``url``, ``text`` of its article and ``n_chars``, its code points.
 
     Cases: a null or empty page has empty text; a null url, or one without host, belongs to a host of its own, all of
-    whose pages share one template; a host of one page has a template from that page; rows that repeat are pages each;
-    a page cut short gives what it has; an empty table gives no rows; other columns are ignored.
+    whose pages share one template; a host of one page has a template from that page; copies of a page count as one page of the
+    host and give a row each; a page cut short gives what it has; an empty table gives no rows; other columns are ignored.
     """
     options = options or TemplateOptions()
     scratch = Scratch(pages.sparkSession, "templates")
@@ -370,12 +472,17 @@ def extract(pages: DataFrame, options: TemplateOptions | None = None) -> DataFra
     )
     found = scratch.write(templates(rows.select("host", "mark", "html"), options), "templates")
     found = found.withColumnRenamed("host", "host_of")
-    same = F.col("host").eqNullSafe(F.col("host_of"))
-    if found.count() <= options.broadcast_hosts:
-        joined = rows.join(F.broadcast(found), same, "left")
-    else:
-        salted = found.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(
-            salted, same & (F.col("salt") == F.col("salt_of")), "left"
-        )
+    few = found.count() <= options.broadcast_hosts
+    found = scratch.write(with_menus(_met(rows, found, few), found), "menus")
+    joined = _met(rows, found, few)
     return joined.select("page_id", "url", "html", "host", "skeleton", "menus", "fixed").mapInArrow(_extracting, EXTRACTED)
+
+
+def _met(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """Pages with the template of their host."""
+    same = F.col("host").eqNullSafe(F.col("host_of"))
+    if few:
+        return rows.join(F.broadcast(found), same, "left")
+    salted = found.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    page = rows.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int"))
+    return page.join(salted, same & (F.col("salt") == F.col("salt_of")), "left")
