@@ -128,7 +128,7 @@ def citation_counts(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 def answer_parts(answers: DataFrame) -> DataFrame:
     """An answer as a row per text or citation part, in order; ``citation_id`` is set on citations."""
-    parts = F.split("answer", r"(?=\[\d+\])|(?<=\[\d{1,18}\])")
+    parts = F.regexp_extract_all("answer", F.lit(r"(?s)\[\d+\]|.+?(?=\[\d+\]|\z)"), F.lit(0))
     split = answers.select("query_id", F.posexplode(parts).alias("position", "part"))
     number = F.regexp_extract("part", r"^\[(\d+)\]$", 1)
     return split.filter(F.col("part") != "").withColumn("citation_id", number.try_cast("long"))

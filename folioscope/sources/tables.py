@@ -22,19 +22,26 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_query_set(spark: SparkSession, path: str) -> DataFrame:
-    """Query set from JSON lines; rows may carry ``position`` to be named by."""
-    return query_set(spark.read.schema(QUERY_SET).json(path))
+    """Query set from JSON lines; rows may carry ``position`` to be named by. Files count in the order of their names."""
+    rows = spark.read.schema(QUERY_SET).json(path)
+    places = (F.col(f"_metadata.{name}").alias(f"source_{name}") for name in ("file_path", "file_block_start"))
+    return query_set(rows.select("*", *places))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with ``number``, their place in reading order from 1. Only one count per partition is ordered."""
+    """Rows with ``number``, their place from 1: by file and split where the rows tell them, else by partition. Spark
+    reads large files first, so partitions of files are in no useful order. Only one count per split is ordered."""
+    by = [name for name in ("source_file_path", "source_file_block_start") if name in rows.columns]
     placed = rows.withColumn("place", F.monotonically_increasing_id())
-    placed = placed.withColumn("part", F.expr("shiftright(place, 33)"))
-    counts = placed.groupBy("part").agg(F.count("*").alias("rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    number = F.col("start") + F.expr("place & 8589934591") + 1
-    return placed.join(F.broadcast(starts), "part").withColumn("number", number).drop("place", "part", "start")
+    if not by:
+        by = ["part"]
+        placed = placed.withColumn("part", F.expr("shiftright(place, 33)"))
+    counts = placed.groupBy(*by).agg(F.count("*").alias("rows"))
+    before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy("place"))
+    numbered = placed.withColumn("inside", inside).join(F.broadcast(starts), by)
+    return numbered.withColumn("number", F.col("start") + F.col("inside")).drop("place", "inside", "start", *by)
 
 
 def query_set(rows: DataFrame) -> DataFrame:

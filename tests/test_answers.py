@@ -177,3 +177,11 @@ def test_page_quality_counts_blank_pages_twice(spark):
     texts = ["", "  ", "x" * 99, "x" * 100, "x" * 5000, "x" * 5001]
     pages = spark.createDataFrame([(text, len(text)) for text in texts], "text string, text_length int")
     assert tuple(profile.page_quality(pages).first()) == (6, 2, 2, 1)
+
+
+def test_numbers_of_any_length_are_citations(spark):
+    said = spark.createDataFrame([(1, f"see [12] or [{'9' * 30}][7]. [x] end"), (2, ""), (3, None), (4, "[1]\n[2]")], "query_id long, answer string")
+    parts = context.answer_parts(said).orderBy("query_id", "position").collect()
+    assert [row.part for row in parts if row.query_id == 1] == ["see ", "[12]", " or ", f"[{'9' * 30}]", "[7]", ". [x] end"]
+    assert [row.citation_id for row in parts if row.query_id == 1] == [None, 12, None, None, 7, None]
+    assert [row.part for row in parts if row.query_id != 1] == ["[1]", "\n", "[2]"]

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,24 @@ def test_queries_are_named_by_their_place(spark, tmp_path):
     path.write_text(line.replace("{", '{"query_id": "x", ', 1) % "pear" + "\n" + line.replace("{", '{"query_id": "x", ', 1) % "fig")
     with pytest.raises(Exception, match="repeats the id"):
         tables.read_query_set(spark, str(path)).select("query_id").collect()
+
+
+def test_queries_of_several_files_are_named_in_the_order_of_their_names(spark, tmp_path):
+    line = '{"query": "%s", "known_relevant_documents": ["a"]}\n'
+    folder = tmp_path / "set"
+    folder.mkdir()
+    (folder / "a.json").write_text(line % "first")
+    (folder / "b.json").write_text("".join(line % f"b{n} {'long ' * 50}" for n in range(40)))
+    (folder / "c.json").write_text(line % "last")
+    rows = {row.query_id: row.query.split()[0] for row in tables.read_query_set(spark, str(folder)).collect()}
+    assert rows == {"q001": "first", "q042": "last"} | {f"q{n + 2:03d}": f"b{n}" for n in range(40)}
+
+
+def test_only_regular_files_are_scanned(spark, tmp_path):
+    (tmp_path / "ok.txt").write_text("ok")
+    os.mkfifo(tmp_path / "pipe.txt")
+    (tmp_path / "lost.txt").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "link.txt").symlink_to(tmp_path / "ok.txt")
+    names = {row.name for row in files.scan(spark, str(tmp_path)).collect()}
+    assert names == {"ok.txt", "link.txt"}
+    assert files.unreadable(spark, str(tmp_path), files.scan(spark, str(tmp_path))).count() == 0
