@@ -129,9 +129,10 @@ def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
         start = match.start() + word.index(core)
         while cover < len(spans) and spans[cover][2] <= start:
             cover += 1
-        label = next(
-            (kind + 1 for first, kind, end in spans[cover : cover + 4] if first < start + len(core) and start < end), None
-        )
+        label, near = None, cover
+        while label is None and near < len(spans) and spans[near][0] < start + len(core):
+            label = spans[near][1] + 1 if start < spans[near][2] else None
+            near += 1
         before = matches[place - 1].group() if place else ""
         behind = matches[place + 1].group() if place + 1 < len(matches) else ""
         features = (
@@ -282,8 +283,22 @@ def train(docs: DataFrame) -> Field:
     return Field(weights, prior, np.clip(transition, -4.0, 4.0), float(np.clip(np.log(same / (1.0 - same)), 0.5, 6.0)))
 
 
+def refuted(kind: int, mention: str) -> bool:
+    """Whether a mention is a whole number of its kind that fails the kind's test. A part of one, such as its last digits,
+    has no test."""
+    digits = "".join(letter for letter in mention if "0" <= letter <= "9")
+    if KINDS[kind] == "card":
+        return len(digits) > 19 or (len(digits) >= 12 and not luhn(digits))
+    if KINDS[kind] == "phone":
+        return len(digits) > 15
+    if KINDS[kind] == "ip":
+        return any(int(part) > 255 for part in re.findall("[0-9]{1,18}", mention))
+    return False
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, least: float) -> tuple[list[tuple[int, int, int]], bool]:
-    """Runs of neighbouring tokens outside the base spans that the field gives one kind, and whether it converged."""
+    """Runs of neighbouring tokens outside the base spans that the field gives one kind and that do not fail the kind's
+    own test, and whether it converged."""
     tokens = tokens_of(text, base)
     if not any(token.label is None for token in tokens):
         return [], True
@@ -300,7 +315,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, least
         else:
             found.append([token.start, label - 1, token.end])
         last = place
-    return [tuple(span) for span in found], converged
+    return [tuple(span) for span in found if not refuted(span[1], text[span[0] : span[2]])], converged
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
