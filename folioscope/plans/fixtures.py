@@ -208,17 +208,16 @@ class Corpus:
         return self.texts.table.drop("part")
 
 
-# Written tables of this process by session, table and the files they were made from.
+# Written tables of this process by session, folder and name.
 _STORED: dict[tuple, object] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], T]) -> T:
     """The table ``name`` of a corpus, written at its first use in a session, as a corpus is built once and searched often.
 
-    Files that are exchanged under the same names are not noticed: use another folder or session for them.
+    Changed files are not noticed: use another folder or session for them.
     """
-    files = table(spark, sf_dir, "documents").inputFiles()
-    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(files))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         _STORED[key] = build()
     return _STORED[key]
