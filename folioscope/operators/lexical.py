@@ -216,10 +216,10 @@ def phrase_postings(index: StoredIndex, phrases: DataFrame) -> DataFrame:
     phrase, are where the phrase would start; it does where the positions of all words agree. Postings of a chunk are in
     one bucket, so nothing is shuffled.
     """
-    words = phrases.withColumn("bucket", index.bucket_of("term"))
+    words, buckets = index.located(phrases)
     starts = F.transform("positions", lambda position: position - F.col("place"))
     rest = [name for name in CARRIED if name not in CHUNK]
-    met = index.postings_of(words).groupBy(*CHUNK, "unit").agg(
+    met = index.postings_of(words, buckets).groupBy(*CHUNK, "unit").agg(
         F.count("*").alias("found"),
         F.first("length").alias("length"),
         F.collect_list(starts).alias("starts"),
@@ -258,16 +258,18 @@ def _search_pass(
         f"query int, query_id {kind}, size long",
     )
     units = list(block.users)
-    words = spark.createDataFrame(
-        [(number, unit[0]) for number, unit in enumerate(units) if len(unit) == 1], "unit int, term string"
-    ).withColumn("bucket", index.bucket_of("term"))
+    words, buckets = index.located(
+        spark.createDataFrame(
+            [(number, unit[0]) for number, unit in enumerate(units) if len(unit) == 1], "unit int, term string"
+        )
+    )
     phrases = [
         (number, place, len(unit), word)
         for number, unit in enumerate(units)
         if len(unit) > 1
         for place, word in enumerate(unit)
     ]
-    counted = stats.terms.join(F.broadcast(words), "term") if stats else index.terms_of(words)
+    counted = stats.terms.join(F.broadcast(words), "term") if stats else index.terms_of(words, buckets)
     df = dict.fromkeys(range(len(units)), 0)
     df |= {row.unit: row.df for row in counted.select("unit", "df").collect()}
     together = None
@@ -275,7 +277,7 @@ def _search_pass(
         given = spark.createDataFrame(phrases, "unit int, place int, length int, term string")
         together = materialize(phrase_postings(index, given), "phrases")
         df |= {row.unit: row["count"] for row in together.groupBy("unit").count().collect()}
-    totals = (stats.corpus if stats else index.corpus).first()
+    totals = stats.corpus.first() if stats else index
     mean = (totals.total_len / totals.n_chunks if totals.n_chunks else 0) or 1.0
     weights = _weights(df, totals.n_chunks)
     uses = spark.createDataFrame(
@@ -286,7 +288,7 @@ def _search_pass(
         "unit int, idf double, users array<struct<query: int, times: int>>",
     )
     carried = (*CARRIED, "tf", "idf", "users")
-    hits = index.postings_of(words.join(uses, "unit")).select(*carried)
+    hits = index.postings_of(words.join(uses, "unit"), buckets).select(*carried)
     if together is not None:
         hits = hits.unionByName(together.join(F.broadcast(uses), "unit").select(*carried))
     norm = K1 * (1 - B + B * F.col("doc_len") / mean)

@@ -66,28 +66,31 @@ def store_parted(rows: DataFrame, key: str, path: str, parts: int = PARTS) -> Pa
 class StoredIndex:
     """An index that was written: ``postings`` (term, document_id, chunk_index, tf, positions, doc_len, document_type,
     content_category, chunk_strategy, bucket), ``terms`` (term, df, bucket), ``chunks`` (chunk_id by document) and
-    ``corpus`` (n_chunks, total_len, avg_len)."""
+    ``corpus`` (n_chunks, total_len, avg_len), of which the first two are at hand as numbers."""
 
     postings: DataFrame
     terms: DataFrame
     chunks: PartedTable
     corpus: DataFrame
     buckets: int
+    n_chunks: int
+    total_len: int
 
     def bucket_of(self, term: str) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def postings_of(self, words: DataFrame) -> DataFrame:
-        """Postings of the terms in ``words`` (term, bucket and more; small), read from their buckets only."""
-        return self._of(self.postings, words)
+    def located(self, words: DataFrame) -> tuple[DataFrame, list[int]]:
+        """Query words (a local table with a column term) with their buckets, and the numbers of these buckets."""
+        placed = words.withColumn("bucket", self.bucket_of("term"))
+        rows = placed.collect()
+        return words.sparkSession.createDataFrame(rows, placed.schema), sorted({row.bucket for row in rows})
 
-    def terms_of(self, words: DataFrame) -> DataFrame:
-        return self._of(self.terms, words)
+    def postings_of(self, words: DataFrame, buckets: Sequence[int]) -> DataFrame:
+        """Postings of the terms in ``words`` (located), read from their buckets only."""
+        return self.postings.filter(F.col("bucket").isin(list(buckets))).join(F.broadcast(words), ["bucket", "term"])
 
-    def _of(self, table: DataFrame, words: DataFrame) -> DataFrame:
-        found = words.select("bucket").distinct().collect()
-        read = table.filter(F.col("bucket").isin([row.bucket for row in found]))
-        return read.join(F.broadcast(words), ["bucket", "term"])
+    def terms_of(self, words: DataFrame, buckets: Sequence[int]) -> DataFrame:
+        return self.terms.filter(F.col("bucket").isin(list(buckets))).join(F.broadcast(words), ["bucket", "term"])
 
 
 def _bucketed(spark: SparkSession, path: str, schema: str, chunk_buckets: int) -> DataFrame:
@@ -116,7 +119,8 @@ def store_index(index: DataFrame, postings: DataFrame, path: str | None = None)
         ),
         f"{path}/corpus",
     )
-    n_chunks = corpus.first().n_chunks
+    totals = corpus.first()
+    n_chunks = totals.n_chunks
     chunk_buckets = _bounded(math.ceil(n_chunks / CHUNKS_PER_TASK), LEAST_CHUNK_BUCKETS, MOST_CHUNK_BUCKETS)
     buckets = _bounded(math.ceil(n_chunks / CHUNKS_PER_TERM_BUCKET), LEAST_TERM_BUCKETS, MOST_TERM_BUCKETS)
     placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
@@ -134,7 +138,14 @@ def store_index(index: DataFrame, postings: DataFrame, path: str | None = None)
     parts = _bounded(math.ceil(n_chunks / CHUNKS_PER_TERM_BUCKET), LEAST_TERM_BUCKETS, MOST_PARTS)
     store_parted(index.select("chunk_id", *CHUNK), "document_id", f"{path}/chunks", parts)
     schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in placed.schema)
-    facts = {"buckets": buckets, "chunk_buckets": chunk_buckets, "parts": parts, "schema": schema}
+    facts = {
+        "buckets": buckets,
+        "chunk_buckets": chunk_buckets,
+        "parts": parts,
+        "schema": schema,
+        "n_chunks": n_chunks,
+        "total_len": totals.total_len,
+    }
     spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.text(f"{path}/facts")
     return open_index(spark, path)
 
@@ -150,6 +161,8 @@ def open_index(spark: SparkSession, path: str) -> StoredIndex:
         PartedTable(spark.read.schema(key).parquet(f"{path}/chunks"), "document_id", facts["parts"]),
         spark.read.schema("n_chunks long, total_len long, avg_len double").parquet(f"{path}/corpus"),
         facts["buckets"],
+        facts["n_chunks"],
+        facts["total_len"],
     )
 
 

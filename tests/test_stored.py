@@ -41,9 +41,9 @@ def test_phrases_over_positions(spark, built):
 def test_a_word_reads_its_bucket(spark, built):
     index = built[4]
     assert index.buckets > 1
-    word = spark.createDataFrame([(0, "grid")], "unit int, term string").withColumn("bucket", index.bucket_of("term"))
-    bucket = word.first().bucket
-    read = index.postings_of(word)
+    word, buckets = index.located(spark.createDataFrame([(0, "grid")], "unit int, term string"))
+    [bucket] = buckets
+    read = index.postings_of(word, buckets)
     files = read.inputFiles()
     assert files and all(f"/bucket={bucket}/" in name for name in files)
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan_of(read))
@@ -105,5 +105,5 @@ def test_a_term_in_every_chunk_lies_in_as_many_files_as_others(spark, built):
     for name in files:
         per_bucket.setdefault(name.split("/bucket=")[1].split("/")[0], set()).add(name)
     most = index.postings.groupBy("term").count().orderBy("count", ascending=False).first()
-    word = spark.createDataFrame([(most.term,)], "term string").withColumn("bucket", index.bucket_of("term"))
-    assert most["count"] > 75 and len(per_bucket[str(word.first().bucket)]) >= 4
+    [bucket] = index.located(spark.createDataFrame([(most.term,)], "term string"))[1]
+    assert most["count"] > 75 and len(per_bucket[str(bucket)]) >= 4
