@@ -26,6 +26,8 @@ from folioscope.llm.scratch import Scratch, batches_of
 from folioscope.llm.words import BYTE_VALUES, STEP, mix, text_bytes
 
 GRAM = 32
+# Bytes of a block that common prefixes are counted by: eight, doubled three times.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -172,8 +174,9 @@ def _cut_pieces(options: SuffixOptions):
     return task
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of all pieces in order, the place of each in it, and the eight bytes from each position on.
+def suffix_array(data: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Suffixes of all pieces in order, the place of each in it, the eight bytes from each position on, and numbers that
+    are equal where ``BLOCK`` bytes from a position on are (for positions with so many in their piece).
 
     A suffix ends with its piece; of two that are equal, the one of the earlier piece comes first. Positions are
     grouped by their first eight bytes; each round orders the groups that still have several members by the rank of
@@ -191,8 +194,10 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> tuple
     rank = np.empty(count, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(count), 0))
     slots = np.flatnonzero(~(head & np.append(head[1:], True)))
-    step, pieces = 8, len(ends)
+    step, pieces, block = 8, len(ends), None
     while len(slots):
+        if step == BLOCK:
+            block = rank.copy()
         members = order[slots]
         behind = members + step
         over = behind >= end[members]
@@ -205,24 +210,39 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> tuple
         rank[members] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
         slots = slots[~(head & np.append(head[1:], True))]
         step *= 2
-    return order, rank, eight
+    # Where the groups came apart sooner, no two positions share a block.
+    return order, rank, eight, rank if block is None else block
 
 
 def common_prefixes(
-    order: np.ndarray, rank: np.ndarray, eight: np.ndarray, end: np.ndarray, starts: np.ndarray, stops: np.ndarray
+    order: np.ndarray,
+    rank: np.ndarray,
+    eight: np.ndarray,
+    block: np.ndarray,
+    end: np.ndarray,
+    starts: np.ndarray,
+    stops: np.ndarray,
+    enough: int,
 ) -> np.ndarray:
-    """Kasai's walk: bytes that each suffix shares with the one before it in order, for starts up to stops (behind).
+    """Kasai's walk: bytes, ``enough`` at most, that each suffix shares with the one before it in order, for starts up to
+    stops (behind).
 
     From one position to the next the shared part loses one byte at most, so the walk never begins anew. Each run of
-    positions is a lane, and all lanes take a step together. Other positions keep 0.
+    positions is a lane, and all lanes take a step together: over equal blocks first, then by eight bytes. Other
+    positions keep 0.
     """
     shared = np.zeros(len(order), np.int64)
     here, height = starts.copy(), np.zeros(len(starts), np.int64)
     stop = stops.copy()
     while len(here):
         before = np.where(rank[here] > 0, order[np.maximum(rank[here] - 1, 0)], -1)
-        most = np.where(before >= 0, np.minimum(end[here] - here, end[before] - before), 0)
+        most = np.where(before >= 0, np.minimum(np.minimum(end[here] - here, end[before] - before), enough), 0)
         height = np.minimum(height, most)
+        far = np.flatnonzero(height + BLOCK <= most)
+        while len(far):
+            far = far[block[here[far] + height[far]] == block[before[far] + height[far]]]
+            height[far] += BLOCK
+            far = far[height[far] + BLOCK <= most[far]]
         open_lanes = np.flatnonzero(height < most)
         while len(open_lanes):
             one = eight[here[open_lanes] + height[open_lanes]]
@@ -265,7 +285,8 @@ _FOUND = pa.schema(
     + [("known", pa.binary()), ("unknown", pa.binary())]
 )
 _WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("null", "<i8")])
-BUCKETS = 256
+# Windows of spread anchors that one task looks up.
+MERGED = 1 << 20
 
 
 def repeats_in(pieces: list[bytes], counts: np.ndarray, runs: np.ndarray, least: int):
@@ -275,12 +296,12 @@ def repeats_in(pieces: list[bytes], counts: np.ndarray, runs: np.ndarray, least:
     sizes = np.array([len(piece) for piece in pieces])
     ends = np.cumsum(sizes)
     number = np.repeat(np.arange(len(pieces)), sizes)
-    order, rank, eight = suffix_array(data, ends, number)
+    order, rank, eight, block = suffix_array(data, ends, number)
     begins = ends - sizes
     lanes = [np.arange(begin, begin + run, 512) for begin, run in zip(begins, runs)]
     starts = np.concatenate(lanes)
     stops = np.minimum(starts + 512, np.repeat(begins + runs, [len(lane) for lane in lanes]))
-    shared = common_prefixes(order, rank, eight, ends[number], starts, stops)
+    shared = common_prefixes(order, rank, eight, block, ends[number], starts, stops, least)
     long_enough = shared[order] >= least
     repeated = np.zeros(len(data), bool)
     repeated[order] = long_enough | np.append(long_enough[1:], False)
@@ -289,7 +310,24 @@ def repeats_in(pieces: list[bytes], counts: np.ndarray, runs: np.ndarray, least:
     return data, begins, ends, number, repeated
 
 
-def _shard(options: SuffixOptions):
+def _spans(table: pa.Table, rows, at, behind) -> pa.Table:
+    """Spans of bytes (``at`` up to ``behind``) in the texts that ``rows`` of a shard come from."""
+    chosen = pa.array(rows, pa.int64())
+    none = pa.nulls(len(chosen), pa.int64())
+    return pa.table(
+        [
+            table.column("doc_id").take(chosen).combine_chunks(),
+            table.column("key").take(chosen).combine_chunks(),
+            pa.array(at, pa.int64()), pa.array(behind, pa.int64()), none, none,
+            pa.nulls(len(chosen), pa.binary()), pa.nulls(len(chosen), pa.binary()),
+        ],
+        schema=_FOUND,
+    )
+
+
+def _shard(options: SuffixOptions, bucket_bits: int):
+    """Spans of repeated windows in a shard. An anchor that has one piece of text, several times, needs no sorting: equal
+    windows own equal anchors, so all its windows repeat, in these copies and nowhere else."""
     least = options.least
 
     def task(table: pa.Table) -> pa.Table:
@@ -301,9 +339,24 @@ def _shard(options: SuffixOptions):
         distinct: dict[bytes, int] = {}
         which = np.array([distinct.setdefault(piece, len(distinct)) for piece in pieces])
         counts = np.bincount(which)
-        runs = np.zeros(len(distinct), np.int64)
-        runs[which] = run
-        data, begins, ends, number, repeated = repeats_in(list(distinct), counts, runs, least)
+        runs, of_anchor = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        runs[which], of_anchor[which] = run, table.column("anchor").to_numpy()
+        shared = np.zeros(len(distinct), bool)
+        shared[which[spread]] = True
+        _, inverse, variants = np.unique(of_anchor, return_inverse=True, return_counts=True)
+        copies = (variants[inverse] == 1) & (counts > 1) & ~shared
+        # The pieces that are sorted, and rows and pieces by their number among them.
+        chosen_pieces = np.flatnonzero(~copies)
+        renumbered = np.full(len(distinct), -1)
+        renumbered[chosen_pieces] = np.arange(len(chosen_pieces))
+        copied = np.flatnonzero(copies[which])
+        which = renumbered[which]
+        names = list(distinct)
+        if not len(chosen_pieces):
+            return _spans(table, copied, first[copied], first[copied] + run[copied] - 1 + least)
+        counts, runs = counts[chosen_pieces], runs[chosen_pieces]
+        distinct = [names[place] for place in chosen_pieces]
+        data, begins, ends, number, repeated = repeats_in(distinct, counts, runs, least)
         places = np.flatnonzero(repeated)
         change = np.zeros(len(data) + 1, np.int64)
         np.add.at(change, places, 1)
@@ -313,23 +366,14 @@ def _shard(options: SuffixOptions):
         opens = np.flatnonzero(inside & (edge | ~np.append(False, inside[:-1])))
         closes = np.flatnonzero(inside & (np.append(edge[1:], True) | ~np.append(inside[1:], False))) + 1
         from_piece = np.searchsorted(number[opens], np.arange(len(distinct) + 1))
-        rows, at, behind = [], [], []
+        rows, at = copied.tolist(), first[copied].tolist()
+        behind = (first[copied] + run[copied] - 1 + least).tolist()
         for row, piece in enumerate(which.tolist()):
-            for place in range(from_piece[piece], from_piece[piece + 1]):
+            for place in range(from_piece[piece], from_piece[piece + 1]) if piece >= 0 else ():
                 rows.append(row)
                 at.append(int(opens[place] - begins[piece] + first[row]))
                 behind.append(int(closes[place] - begins[piece] + first[row]))
-        chosen = pa.array(rows, pa.int64())
-        none = pa.nulls(len(rows), pa.int64())
-        spans = pa.table(
-            [
-                table.column("doc_id").take(chosen).combine_chunks(),
-                table.column("key").take(chosen).combine_chunks(),
-                pa.array(at, pa.int64()), pa.array(behind, pa.int64()), none, none,
-                pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()),
-            ],
-            schema=_FOUND,
-        )
+        spans = _spans(table, rows, at, behind)
         if not spread.any():
             return spans
         # Windows of anchors that other shards have too.
@@ -341,7 +385,7 @@ def _shard(options: SuffixOptions):
             owned[begins[piece] : begins[piece] + runs[piece]] = True
         owned = np.flatnonzero(owned[: len(one)])
         row_of = np.zeros(len(distinct), np.int64)
-        row_of[which] = np.arange(len(which))
+        row_of[which[which >= 0]] = np.flatnonzero(which >= 0)
         window = np.zeros(len(owned), _WINDOW)
         row = row_of[number[owned]]
         docs, keys = table.column("doc_id"), table.column("key").to_numpy()
@@ -351,7 +395,7 @@ def _shard(options: SuffixOptions):
         window["key"], window["start"] = keys[row], owned - begins[number[owned]] + first[row]
         alone = ~repeated[owned]
         _, distinct_at = np.unique(window["one"], return_index=True)
-        window_bucket = (window["one"] >> np.uint64(56)).astype(np.int64)
+        window_bucket = (window["one"] >> np.uint64(64 - bucket_bits)).astype(np.int64)
         rows = []
         kept = np.zeros(len(window), bool)
         kept[distinct_at] = True
@@ -451,7 +495,10 @@ def without_repeats(docs: DataFrame, options: SuffixOptions | None = None, with_
     )
     found = scratch.write(rows.mapInArrow(_anchored(options), ANCHORS), "anchors")
     repeated = scratch.write(found.groupBy("anchor").agg(F.sum("times").alias("total")).filter("total > 1"), "repeated")
-    total = repeated.agg(F.sum("total")).first()[0] or 0
+    often = F.sum(F.when(F.col("total") > options.spread_from, F.col("total")))
+    total, spread = (value or 0 for value in repeated.agg(F.sum("total"), often).first())
+    # A run has half as many windows as the shortest repeat has bytes; they are merged by parts of their keys.
+    bucket_bits = max(4, min(32, (spread * options.least // (2 * MERGED)).bit_length()))
     # A window run of an anchor is about one and a half times the shortest repeat long.
     shards = max(1, -(-total * options.least * 3 // (2 * options.shard_bytes)))
     of_doc = (
@@ -468,7 +515,7 @@ def without_repeats(docs: DataFrame, options: SuffixOptions | None = None, with_
     parts = F.ceil(F.col("total") / options.spread_from).cast("long")
     salt = F.pmod(F.xxhash64("doc_id", "key", "first"), parts)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor", salt), F.lit(shards)))
-    judged = scratch.write(pieces.groupBy("shard").applyInArrow(_shard(options), FOUND), "judged")
+    judged = scratch.write(pieces.groupBy("shard").applyInArrow(_shard(options, bucket_bits), FOUND), "judged")
     across = (
         judged.filter("bucket is not null")
         .groupBy("bucket")

@@ -259,3 +259,84 @@ def test_line_report_keeps_groups_of_copies(spark):
     con.register("documents", docs.toPandas())
     want = con.sql(line_dedup.oracle()).select("doc_id", "n_kept", "text").fetchall()
     assert sorted((row.doc_id, row.n_kept, row.text or "") for row in got) == sorted(want)
+
+
+@pytest.mark.parametrize("enough", [40, 150, 400])
+def test_suffix_order_and_common_prefixes(enough):
+    chooser = np.random.default_rng(enough)
+    words = [bytes(chooser.integers(97, 99, 70, dtype=np.uint8)) for _ in range(6)]
+    pieces = [b"".join(words[place] for place in chooser.integers(0, 6, 12))[: int(chooser.integers(1, 800))] for _ in range(25)]
+    pieces += [b"a" * 700, b"ab" * 300, pieces[0], b"a" * 64]
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum([len(piece) for piece in pieces])
+    number = np.repeat(np.arange(len(pieces)), [len(piece) for piece in pieces])
+    order, rank, eight, block = suffix_dedup.suffix_array(data, ends, number)
+    suffixes = [data[at : ends[number[at]]].tobytes() for at in range(len(data))]
+    assert order.tolist() == sorted(range(len(data)), key=lambda at: (suffixes[at], number[at]))
+    begins = np.append(0, ends[:-1])
+    got = suffix_dedup.common_prefixes(order, rank, eight, block, ends[number], begins, ends, enough)
+    for place, at in enumerate(order.tolist()):
+        before = suffixes[order[place - 1]] if place else b""
+        same = next((n for n, (a, b) in enumerate(zip(before, suffixes[at])) if a != b), min(len(before), len(suffixes[at])))
+        assert got[at] == min(same, enough)
+
+
+def test_shards_with_copied_pieces(spark):
+    # Pieces that only occur as copies, near copies, periods, and short texts, at the production length.
+    chooser = random.Random(5)
+
+    def prose(n):
+        return "".join(chooser.choice("abcdefgh ") for _ in range(n))
+
+    one, two = prose(2500), prose(1500)
+    texts = [one] * 3 + [two, two[:900] + "X" + two[901:], two[100:1400], prose(3000), "ab" * 900, "q" * 450, "q" * 399, None, one[:450]]
+    rows = list(enumerate(texts))
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = Counter(text[at : at + 400] for text in texts if text for at in range(len(text) - 399))
+    for row in got:
+        text = texts[row.doc_id] or ""
+        gone = set()
+        for at in range(len(text) - 399):
+            if seen[text[at : at + 400]] > 1:
+                gone.update(range(at, at + 400))
+        left = "".join(sign for at, sign in enumerate(text) if at not in gone)
+        assert (row.n_bytes, row.n_removed) == (len(text), len(gone)), row.doc_id
+        assert row.kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
+
+
+def test_added_spans_pass_the_test_of_their_kind():
+    size = len(pii_crf.LABELS)
+    for kind, good, bad in ((3, "4111 1111 1111 1111", "4111 1111 1111 1112"), (2, "10.0.0.1", "10.0.0.300")):
+        node = np.zeros((pii_crf.FEATURES, size))
+        node[:, kind] = 5.0
+        field = pii_crf.Field(node, np.zeros(size), np.zeros((size, size)), 1.0)
+        assert pii_crf.added_spans(f"see {bad} there", [], field, 0.7)[0] == []
+        assert pii_crf.added_spans(f"see {good} there", [], field, 0.7)[0] == [(4, kind - 1, 4 + len(good))]
+    # A token under the last of many spans is fixed by it.
+    text = "a@b.cc;" * 9 + "z"
+    tokens = pii_crf.tokens_of(text, pii_crf.base_spans(text))
+    assert [token.label for token in tokens] == [1]
+    spans = [(0, 0, 2), (0, 1, 2), (0, 2, 2), (0, 3, 2), (0, 0, 2), (5, 3, 9)]
+    assert [token.label for token in pii_crf.tokens_of("a1   b234", spans)] == [1, 4]
+
+
+def test_label_chances_match_every_labelling():
+    # A tree: message passing is exact there, so it must agree with a sum over all labellings.
+    size = len(pii_crf.LABELS)
+    rng = np.random.default_rng(9)
+    field = pii_crf.Field(rng.normal(size=(pii_crf.FEATURES, size)), rng.normal(size=size), rng.normal(size=(size, size)), 1.3)
+    text = "call 555-7777 - 12 or write words and words and words to 555-7777 today"
+    tokens = pii_crf.tokens_of(text, [])
+    chain, skip = pii_crf.edges_of(text, tokens, hubs=True)
+    assert len(tokens) == 3 and len(chain) + len(skip) == 2
+    node = np.array([field.prior + sum(field.node[feature] for feature in token.features) for token in tokens])
+    total = np.zeros((3, size))
+    for labels in np.ndindex(size, size, size):
+        weight = sum(node[place, label] for place, label in enumerate(labels))
+        weight += sum(field.chain[labels[a], labels[b]] for a, b in chain)
+        weight += sum(field.skip for a, b in skip if labels[a] == labels[b])
+        for place, label in enumerate(labels):
+            total[place, label] += np.exp(weight)
+    want = total / total.sum(axis=1, keepdims=True)
+    got, converged = field.marginals(text, tokens)
+    assert converged and np.allclose(got, want, atol=1e-3)
