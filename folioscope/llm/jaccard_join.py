@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.scratch import Scratch, batches_of
+from folioscope.llm.scratch import Scratch, arrow_rows, batches_of
 from folioscope.llm.words import mix, shingle_sets
 
 # A set's sketch has this many bits; see ``apart``.
@@ -27,6 +27,8 @@ SKETCH_BITS = 1024
 MARK_BITS = 1 << 26
 # Lists are compared in squares of this many documents, so no task holds a longer list.
 BLOCK = 1024
+# Rows of a batch that is sent to the Python workers: sets and texts are wide.
+BATCH_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -562,8 +564,12 @@ def similar_groups(docs: DataFrame, options: JoinOptions | None = None) -> DataF
     without id has null class and component; an empty table gives no rows. Other columns are ignored.
     """
     options = options or JoinOptions()
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _similar_groups(docs, options, Scratch(docs.sparkSession, "jaccard"))
+
+
+def _similar_groups(docs: DataFrame, options: JoinOptions, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = scratch.write(
         docs.mapInArrow(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,19 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of a batch that goes to or comes from the Python workers, for the jobs that run inside. A batch lies outside
+    the JVM's heap, on both sides of the worker, so wide rows need small batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
     """Slices of a batch with at most so many bytes in a column, or one row where a row has more."""
     sizes = batch.column(column).nbytes
