@@ -25,19 +25,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays, the one with the smallest id.
 
-    Rows are grouped by a number of their own: of rows that repeat an id, each goes by its own text, and of rows equal in
-    id and text one stays. Rows without an id or without words belong to no group and stay.
+    Where ids repeat, rows are grouped by a number of their own: each goes by its own text, and of rows equal in id and
+    text one stays. Rows without an id or without words belong to no group and stay.
     """
+    named = docs.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        groups = jaccard_join.similar_groups(docs.select("doc_id", "text"))
+        others = groups.filter("component_id < doc_id").select("doc_id")
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     scratch = Scratch(spark, "near")
     row = next(name for n in range(99) if (name := "row_number" + "_" * n) not in map(str.lower, docs.columns))
     numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    named = F.when(F.col("doc_id").isNotNull(), F.col(row))
-    groups = jaccard_join.similar_groups(numbered.select(named.alias("doc_id"), "text"))
+    number = F.when(F.col("doc_id").isNotNull(), F.col(row))
+    groups = jaccard_join.similar_groups(numbered.select(number.alias("doc_id"), "text"))
     members = groups.filter("doc_id is not null").select(F.col("doc_id").alias(row), "component_id")
     members = scratch.write(members, "members")
     # Components of one row have nothing to drop; sizes are combined before the shuffle.
-    groups = members.groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    ids = members.join(groups, "component_id").join(numbered.select(row, "doc_id"), row)
+    several = members.groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    ids = members.join(several, "component_id").join(numbered.select(row, "doc_id"), row)
     ids = scratch.write(ids, "ids")
     stays = ids.groupBy("component_id").agg(F.min_by(row, F.struct("doc_id", row)).alias("stays"))
     gone = ids.join(stays, "component_id").filter(F.col(row) != F.col("stays")).select(row)
