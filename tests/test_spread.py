@@ -76,7 +76,6 @@ def test_many_passes_give_the_same_ranking(spark, monkeypatch):
     asked = spark.createDataFrame([(n, f"w{n} w{n + 1} all") for n in range(6)], "query_id long, query string")
     whole = sorted(map(tuple, lexical.search(index, asked, 3).collect()))
     monkeypatch.setattr(lexical, "PASS_LIMIT", 5)
-    monkeypatch.setattr(lexical, "CELLS", 7)
     assert sorted(map(tuple, lexical.search(index, asked, 3).collect())) == whole
 
 
