@@ -128,9 +128,9 @@ def postings(index: DataFrame, carried: Sequence[str] = KEYS) -> DataFrame:
     return rows.mapInArrow(_inverter(tuple(carried)), f"term string, {kept}, tf long, positions array<int>")
 
 
-def store(index: DataFrame, path: str | None = None) -> StoredIndex:
+def store(index: DataFrame, path: str | None = None, chunk_buckets: int | None = None) -> StoredIndex:
     """Write ``index`` (a written table) in the form searches read: see ``stored``. ``stored.open_index`` reads it again."""
-    return stored.store_index(index, postings(index, CARRIED), path)
+    return stored.store_index(index, postings(index, CARRIED), path, chunk_buckets)
 
 
 def term_stats(index: DataFrame) -> DataFrame:

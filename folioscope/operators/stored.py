@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from folioscope.session import materialize, shared_folder
 
 CHUNK = ("document_id", "chunk_index")
-# Chunks whose postings one task reads, and bounds of the two numbers of buckets. Files: terms x chunks buckets.
+# Chunks whose postings one task reads, and bounds of the two numbers of buckets. Files: terms x chunks buckets. A small
+# index has a bucket for every 2,000 chunks, up to eight.
 CHUNKS_PER_TASK = 250_000
-LEAST_CHUNK_BUCKETS, MOST_CHUNK_BUCKETS = 8, 8_192
+SMALL_CHUNKS, SMALL_BUCKETS, MOST_CHUNK_BUCKETS = 2_000, 8, 8_192
 CHUNKS_PER_TERM_BUCKET = 1_000_000
 LEAST_TERM_BUCKETS, MOST_TERM_BUCKETS = 8, 1_024
 # Folders of the chunk table.
@@ -104,8 +105,11 @@ def _bucketed(spark: SparkSession, path: str, schema: str, chunk_buckets: int) -
     return spark.table(name)
 
 
-def store_index(index: DataFrame, postings: DataFrame, path: str | None = None) -> StoredIndex:
+def store_index(
+    index: DataFrame, postings: DataFrame, path: str | None = None, chunk_buckets: int | None = None
+) -> StoredIndex:
     """Write an index (rows of ``lexical.build_index``, a written table) and its ``postings`` with the columns named above.
+    The number of ``chunk_buckets`` follows from that of the chunks unless it is given.
 
     Postings are shuffled once, by chunk; each task writes its chunks' part of every term bucket, sorted by term.
     """
@@ -121,7 +125,8 @@ def store_index(index: DataFrame, postings: DataFrame, path: str | None = None)
     )
     totals = corpus.first()
     n_chunks = totals.n_chunks
-    chunk_buckets = _bounded(math.ceil(n_chunks / CHUNKS_PER_TASK), LEAST_CHUNK_BUCKETS, MOST_CHUNK_BUCKETS)
+    least = _bounded(math.ceil(n_chunks / SMALL_CHUNKS), 1, SMALL_BUCKETS)
+    chunk_buckets = chunk_buckets or _bounded(math.ceil(n_chunks / CHUNKS_PER_TASK), least, MOST_CHUNK_BUCKETS)
     buckets = _bounded(math.ceil(n_chunks / CHUNKS_PER_TERM_BUCKET), LEAST_TERM_BUCKETS, MOST_TERM_BUCKETS)
     placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     name = f"written_{uuid.uuid4().hex}"

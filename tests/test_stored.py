@@ -14,7 +14,7 @@ def built(spark):
     rows = corpus(11, 150)
     docs, chunks = tables(spark, rows)
     index = lexical.build_index(chunks, docs).persist()
-    return rows, docs, chunks, index, lexical.store(index)
+    return rows, docs, chunks, index, lexical.store(index, chunk_buckets=6)
 
 
 def plan_of(df):
