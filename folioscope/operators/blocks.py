@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -81,8 +81,9 @@ class BestRows:
     number of times on average, however many slices there are.
     """
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, keys: Sequence[str] = KEYS):
         self.k = k
+        self.names = list(keys)
         self.kept: pa.Table | None = None
         self.waiting: list[pa.Table] = []
         self.n_waiting = 0
@@ -95,7 +96,7 @@ class BestRows:
         query, row = query[open_rows], row[open_rows]
         if not len(query):
             return
-        keys = rows.select(KEYS).take(pa.array(row))
+        keys = rows.select(self.names).take(pa.array(row))
         columns = [
             pa.array(query.astype(np.int32)),
             pa.array(complete[open_rows].astype(np.int8)),
@@ -103,7 +104,7 @@ class BestRows:
             pa.array(score[open_rows]),
             *keys.columns,
         ]
-        self.waiting.append(pa.table(columns, names=["query", "complete", "ranking", "score", *KEYS]))
+        self.waiting.append(pa.table(columns, names=["query", "complete", "ranking", "score", *self.names]))
         self.n_waiting += len(query)
         if self.n_waiting >= max(LEAST_CANDIDATES, self.kept.num_rows if self.kept is not None else 0):
             self._cut()
@@ -136,3 +137,10 @@ BEST_SCHEMA = (
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+def shares(cost: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows, a row at least, of which those after the first cost less than ``limit`` together."""
+    turn = np.cumsum(cost) // limit
+    edges = np.flatnonzero(np.diff(turn, prepend=-1, append=np.inf))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist())

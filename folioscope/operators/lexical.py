@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import index_tokens, query_tokens, strip
 from folioscope.operators import stored
-from folioscope.operators.blocks import KEYS, in_blocks, slices
+from folioscope.operators.blocks import BEST_SCHEMA, KEYS, BestRows, in_blocks, leaders, shares, slices
 from folioscope.operators.spread import attach, heavy_keys
 from folioscope.operators.stored import CHUNK, PartedTable, StoredIndex
-from folioscope.session import materialize
 
 # The BM25 parameters and the smallest weight of a term.
 K1 = 1.2
@@ -27,6 +26,8 @@ IDF_FLOOR = 1e-6
 # Query words plus queries that one pass hands to every task.
 PASS_LIMIT = 200_000
 SCORE_DIGITS = 10
+# Cells of the score matrix, and uses of units by queries, that a task fills at a time.
+CELLS = 1_000_000
 # Chunks a task inverts at a time.
 POSTING_ROWS = 2_000
 
@@ -130,7 +131,7 @@ def postings(index: DataFrame, carried: Sequence[str] = KEYS) -> DataFrame:
 
 def store(index: DataFrame, path: str | None = None, chunk_buckets: int | None = None) -> StoredIndex:
     """Write ``index`` (a written table) in the form searches read: see ``stored``. ``stored.open_index`` reads it again."""
-    return stored.store_index(index, postings(index, CARRIED), path, chunk_buckets)
+    return stored.store_index(index, lambda rows: postings(rows, CARRIED), path, chunk_buckets)
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -241,23 +242,100 @@ def _weights(frequencies: dict, n_chunks: int) -> dict:
     return {unit: weight if weight > 0 else IDF_FLOOR for unit, weight in found.items()}
 
 
+@dataclass(frozen=True)
+class Scoring:
+    """What a task needs of a pass: the weight of each unit, its queries (``users`` from ``starts``) and how often each
+    uses it, the units of each query, and the mean length of a chunk."""
+
+    idf: np.ndarray
+    starts: np.ndarray
+    users: np.ndarray
+    times: np.ndarray
+    sizes: np.ndarray
+    mean: float
+
+
+def _by_chunk(hits: DataFrame, boost: Column) -> DataFrame:
+    """A row for each chunk with the units it holds and their frequencies."""
+    rows = hits.withColumn("boost", boost).groupBy(*CHUNK)
+    return rows.agg(
+        F.first("doc_len").alias("doc_len"),
+        F.first("boost").alias("boost"),
+        F.collect_list(F.struct("unit", "tf")).alias("units"),
+    )
+
+
+def _joined(words: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Rows of ``_by_chunk`` of words and phrases as one; both lie by chunk, so nothing is shuffled."""
+    more = phrases.select(*CHUNK, *(F.col(name).alias(f"phrase_{name}") for name in ("doc_len", "boost", "units")))
+    return words.join(more, list(CHUNK), "full_outer").select(
+        *CHUNK,
+        *(F.coalesce(name, f"phrase_{name}").alias(name) for name in ("doc_len", "boost")),
+        F.flatten(F.array_compact(F.array("units", "phrase_units"))).alias("units"),
+    )
+
+
+def _spans(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers ``first`` to ``first + counts - 1`` of each entry, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - first, counts)
+
+
+def _scorer(shared, k: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = shared.value
+        n_queries, n_users = len(given.sizes), np.diff(given.starts)
+        best = BestRows(n_queries, k, CHUNK)
+        for batch in batches:
+            entries = batch["units"].flatten()
+            unit = entries.field("unit").to_numpy()
+            tf = entries.field("tf").to_numpy()
+            held = batch["units"].value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), held)
+            ratio = batch["doc_len"].to_numpy()[row] / given.mean
+            weight = given.idf[unit] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * ratio))
+            boost = batch["boost"].to_numpy()
+            cost = n_queries + np.bincount(row, n_users[unit], batch.num_rows)
+            ends = np.cumsum(held)
+            for low, high in shares(cost, CELLS):
+                part = slice(ends[low] - held[low], ends[high - 1])
+                counts = n_users[unit[part]]
+                used = _spans(given.starts[unit[part]], counts)
+                cell = np.repeat(row[part] - low, counts) * n_queries + given.users[used]
+                shape = (high - low, n_queries)
+                size = shape[0] * n_queries
+                matched = np.bincount(cell, given.times[used], size).reshape(shape)
+                points = np.bincount(cell, np.repeat(weight[part], counts) * given.times[used], size).reshape(shape)
+                points += boost[low:high, None]
+                complete = matched == given.sizes
+                # Lifts chunks with every unit above all others of the slice.
+                lift = points.max() + 1
+                open_cells = leaders(np.where(matched > 0, points + lift * complete, -np.inf), k)
+                at, query = np.nonzero(open_cells)
+                found = points[at, query]
+                best.add(batch, query, at + low, complete[at, query], np.round(found, SCORE_DIGITS), found)
+        yield from best.batches()
+
+    return score
+
+
 def _search_pass(
     index: StoredIndex, queries: DataFrame, k: int, boost: Column, wanted: dict, stats: IndexStats | None
 ) -> DataFrame:
-    """Scores of the chunks that hold a unit of a query.
+    """Scores of the chunks that hold a unit of a query, of each task the best ``k`` of every query.
 
-    Words read the postings of their buckets; a posting meets the queries that use it from a broadcast table of the
-    pass. All postings of a chunk are in one task, so sums need no shuffle.
+    Words read the postings of their buckets. All postings of a chunk are in one task, so they are grouped without a
+    shuffle, a row for each chunk; chunks are scored slice by slice against the queries of the pass, which are broadcast.
     """
     spark = queries.sparkSession
     block = QueryBlock.of(query_units(queries).select("query_id", "words").collect())
     kind = _type(queries, "query_id")
     ids = {query_id: number for number, query_id in enumerate(block.sizes)}
     names = spark.createDataFrame(
-        [(number, query_id, block.sizes[query_id]) for query_id, number in ids.items()],
-        f"query int, query_id {kind}, size long",
+        [(number, query_id) for query_id, number in ids.items()], f"query int, query_id {kind}"
     )
     units = list(block.users)
+    if not units:
+        return spark.createDataFrame([], BEST_SCHEMA.replace("chunk_id string, ", "")).join(names, "query")
     words, buckets = index.located(
         spark.createDataFrame(
             [(number, unit[0]) for number, unit in enumerate(units) if len(unit) == 1], "unit int, term string"
@@ -272,39 +350,28 @@ def _search_pass(
     counted = stats.terms.join(F.broadcast(words), "term") if stats else index.terms_of(words, buckets)
     df = dict.fromkeys(range(len(units)), 0)
     df |= {row.unit: row.df for row in counted.select("unit", "df").collect()}
-    together = None
+    hits = _by_chunk(chosen(index.postings_of(words, buckets), **wanted), boost)
     if phrases:
         given = spark.createDataFrame(phrases, "unit int, place int, length int, term string")
-        together = materialize(phrase_postings(index, given), "phrases")
+        together = phrase_postings(index, given)
         df |= {row.unit: row["count"] for row in together.groupBy("unit").count().collect()}
+        hits = _joined(hits, _by_chunk(chosen(together, **wanted), boost))
     totals = stats.corpus.first() if stats else index
     mean = (totals.total_len / totals.n_chunks if totals.n_chunks else 0) or 1.0
     weights = _weights(df, totals.n_chunks)
-    uses = spark.createDataFrame(
-        [
-            (number, weights[number], [(ids[query_id], times) for query_id, times in block.users[unit].items()])
-            for number, unit in enumerate(units)
-        ],
-        "unit int, idf double, users array<struct<query: int, times: int>>",
-    )
-    carried = (*CARRIED, "tf", "idf", "users")
-    hits = index.postings_of(words.join(uses, "unit"), buckets).select(*carried)
-    if together is not None:
-        hits = hits.unionByName(together.join(F.broadcast(uses), "unit").select(*carried))
-    norm = K1 * (1 - B + B * F.col("doc_len") / mean)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    used = chosen(hits, **wanted).select(*CHUNK, boost.alias("boost"), weight.alias("weight"), F.explode("users").alias("use"))
-    summed = used.groupBy(*CHUNK, F.col("use.query").alias("query")).agg(
-        (F.max("boost") + F.sum(F.col("weight") * F.col("use.times"))).alias("score"),
-        F.sum("use.times").alias("matched"),
-    )
-    return summed.join(F.broadcast(names), "query").select(
-        "query_id",
-        *CHUNK,
-        (F.col("matched") == F.col("size")).cast("byte").alias("complete"),
-        F.round("score", SCORE_DIGITS).alias("ranking"),
-        "score",
+    uses = [[(ids[query_id], times) for query_id, times in block.users[unit].items()] for unit in units]
+    shared = spark.sparkContext.broadcast(
+        Scoring(
+            np.array([weights[number] for number in range(len(units))]),
+            np.cumsum([0, *(len(used) for used in uses)]),
+            np.array([query for used in uses for query, _ in used], np.int64),
+            np.array([times for used in uses for _, times in used], np.float64),
+            np.array([block.sizes[query_id] for query_id in ids], np.float64),
+            mean,
+        )
     )
+    scored = hits.mapInArrow(_scorer(shared, k), BEST_SCHEMA.replace("chunk_id string, ", ""))
+    return scored.join(F.broadcast(names), "query")
 
 
 def _type(df: DataFrame, name: str) -> str:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +22,7 @@ from folioscope.session import materialize, shared_folder
 CHUNK = ("document_id", "chunk_index")
 # Chunks whose postings one task reads, and bounds of the two numbers of buckets. Files: terms x chunks buckets. A small
 # index has a bucket for every 2,000 chunks, up to eight.
-CHUNKS_PER_TASK = 250_000
+CHUNKS_PER_TASK = 8_000
 SMALL_CHUNKS, SMALL_BUCKETS, MOST_CHUNK_BUCKETS = 2_000, 8, 8_192
 CHUNKS_PER_TERM_BUCKET = 1_000_000
 LEAST_TERM_BUCKETS, MOST_TERM_BUCKETS = 8, 1_024
@@ -106,12 +106,16 @@ def _bucketed(spark: SparkSession, path: str, schema: str, chunk_buckets: int) -
 
 
 def store_index(
-    index: DataFrame, postings: DataFrame, path: str | None = None, chunk_buckets: int | None = None
+    index: DataFrame,
+    invert: Callable[[DataFrame], DataFrame],
+    path: str | None = None,
+    chunk_buckets: int | None = None,
 ) -> StoredIndex:
-    """Write an index (rows of ``lexical.build_index``, a written table) and its ``postings`` with the columns named above.
-    The number of ``chunk_buckets`` follows from that of the chunks unless it is given.
+    """Write an index (rows of ``lexical.build_index``, a written table) and the postings that ``invert`` makes of its rows,
+    with the columns named above. The number of ``chunk_buckets`` follows from that of the chunks unless it is given.
 
-    Postings are shuffled once, by chunk; each task writes its chunks' part of every term bucket, sorted by term.
+    Rows are shuffled once, by chunk, before they are inverted; each task writes its chunks' part of every term bucket,
+    sorted by term.
     """
     spark = index.sparkSession
     path = (path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
@@ -128,11 +132,11 @@ def store_index(
     least = _bounded(math.ceil(n_chunks / SMALL_CHUNKS), 1, SMALL_BUCKETS)
     chunk_buckets = chunk_buckets or _bounded(math.ceil(n_chunks / CHUNKS_PER_TASK), least, MOST_CHUNK_BUCKETS)
     buckets = _bounded(math.ceil(n_chunks / CHUNKS_PER_TERM_BUCKET), LEAST_TERM_BUCKETS, MOST_TERM_BUCKETS)
+    postings = invert(index.repartition(chunk_buckets, *CHUNK))
     placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     name = f"written_{uuid.uuid4().hex}"
     (
-        placed.repartition(chunk_buckets, *CHUNK)
-        .write.partitionBy("bucket")
+        placed.write.partitionBy("bucket")
         .bucketBy(chunk_buckets, *CHUNK)
         .sortBy("term")
         .option("path", f"{path}/postings")

@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_lexical import Fts, corpus, tables
 
 from folioscope.operators import lexical, stored, vectors
+from folioscope.operators.blocks import shares
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +109,30 @@ def test_a_term_in_every_chunk_lies_in_as_many_files_as_others(spark, built):
     most = index.postings.groupBy("term").count().orderBy("count", ascending=False).first()
     [bucket] = index.located(spark.createDataFrame([(most.term,)], "term string"))[1]
     assert most["count"] > 75 and len(per_bucket[str(bucket)]) >= 4
+
+
+def test_a_pass_gives_the_best_of_each_task_without_a_shuffle(spark, built, monkeypatch):
+    index = built[4]
+    queries = asked(spark, ["the grid", "foo_bar the", "the наказ карта", "the_the"])
+    whole = sorted(map(tuple, lexical.search(index, queries, 4).collect()))
+    monkeypatch.setattr(lexical, "CELLS", 7)
+    assert sorted(map(tuple, lexical.search(index, queries, 4).collect())) == whole
+    scored = lexical._search_pass(index, queries, 4, F.lit(0.0), {}, None)
+    assert "Exchange hashpartitioning" not in plan_of(scored)
+    per_task = scored.groupBy(F.spark_partition_id(), "query_id").count().collect()
+    assert len({row.query_id for row in per_task}) == 4 and max(row["count"] for row in per_task) <= 4
+
+
+def test_phrases_alone_and_no_words(spark, built):
+    index = built[4]
+    found = lexical.search(index, asked(spark, ["foo_bar", "- -"]), k=200).collect()
+    assert {row.query_id for row in found} == {0} and {row.all_terms for row in found} == {True}
+    assert lexical.search(index, asked(spark, ["..."])).count() == 0
+
+
+def test_runs_of_rows_by_cost():
+    cost = np.array([3, 3, 9, 1, 1, 30, 2])
+    runs = list(shares(cost, 7))
+    assert [at for run in runs for at in range(*run)] == list(range(7))
+    assert all(cost[low + 1 : high].sum() < 7 for low, high in runs)
+    assert list(shares(cost[:0], 7)) == []
