@@ -24,6 +24,8 @@ TABLE_PATTERN = r"\bтаблиц[яі]\b|\btable\b"
 MIN_POINTS = 3
 MIN_TABLES = 2
 MIN_SHORT_DOCUMENT = 50
+# Pages a Python worker cuts at a time: besides the batch it was given, it holds the pieces of these only.
+CUT_ROWS = 256
 
 _BREAK = re.compile(r"\n|[.!?] ")
 _POINT = re.compile(POINT_PATTERN, re.MULTILINE)
@@ -96,8 +98,7 @@ def _pieces(text: Column, at_points: Column, options: ChunkOptions) -> Column:
     """Pieces of a page text, cut at its points or by length. NULL texts stay NULL and cost nothing."""
     target, overlap = options.target, options.overlap
 
-    @F.arrow_udf(PIECES)
-    def split_pages(texts: pa.Array, points: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, points: pa.Array) -> pa.Array:
         offsets, starts, ends, parts = [0], [], [], []
         empty = np.zeros(len(texts), dtype=bool)
         for row, (text, by_points) in enumerate(zip(texts.to_pylist(), points.to_pylist())):
@@ -117,6 +118,12 @@ def _pieces(text: Column, at_points: Column, options: ChunkOptions) -> Column:
             mask=pa.array(empty),
         )
 
+    @F.arrow_udf(PIECES)
+    def split_pages(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, points in batches:
+            for at in range(0, len(texts), CUT_ROWS):
+                yield cut(texts.slice(at, CUT_ROWS), points.slice(at, CUT_ROWS))
+
     return split_pages(text, at_points)
 
 

@@ -3,6 +3,8 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from folioscope.operators import chunking
 from folioscope.operators.chunking import ChunkOptions, build_chunks, chunking_counters, point_spans, windows
@@ -148,3 +150,18 @@ def test_skip_reasons(spark):
     pages = spark.createDataFrame([(1,), (4,)], "document_id long")
     rows = {row.id: row.skip_reason for row in chunking.skip_reasons(docs, pages).collect()}
     assert rows == {1: "ocr_required", 2: "no_text", 3: "no_text", 4: None, 5: "no_text"}
+
+
+def test_a_worker_cuts_few_pages_at_a_time(spark, monkeypatch):
+    texts = [None, "", "one. " * 900, "1. a\n2. b\n3. c\n" * 400, "x" * 6000, " ", None, "tail"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+
+    def pieces(most):
+        monkeypatch.setattr(chunking, "CUT_ROWS", most)
+        shown = rows.select("id", chunking.point_pieces(F.col("text")).alias("pieces"))
+        # Batches are streamed through the worker: it never holds the pieces of all pages of a batch.
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        assert f"], {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan.split("ArrowEvalPython", 1)[1]
+        return sorted(map(tuple, shown.collect()))
+
+    assert pieces(3) == pieces(100)
