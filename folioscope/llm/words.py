@@ -8,6 +8,7 @@ megabyte, cut between words, so a long text needs no more scratch memory than a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ _RANDOM = np.random.default_rng(20240607)
 # Fixed random numbers: equal in every process, as hashes of different tasks are compared.
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(_RANDOM.integers(1, 1 << 62, dtype=np.uint64) * np.uint64(4) + np.uint64(3))
+BACK = pow(int(STEP), -1, 1 << 64)
 FACTORS = _RANDOM.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -104,6 +106,50 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     return np.concatenate(hashes), begin, np.concatenate(ends), np.searchsorted(begin, offsets)
 
 
+def plain_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word as it is written, and the place of each text's first word (one more than there are texts).
+
+    Sums of bytes times powers up to each byte are kept, so a word's hash is a difference of two of them.
+    """
+    hashes, starts = [], []
+    for first, last in _segments(data, member):
+        part = data[first:last]
+        inside = member[part]
+        begins, closes = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
+        cuts = offsets[np.searchsorted(offsets, first) : np.searchsorted(offsets, last)] - first
+        begins[cuts] = inside[cuts]
+        cuts = cuts[cuts > 0] - 1
+        closes[cuts] = inside[cuts]
+        begin = np.flatnonzero(begins)
+        hashes.append(spans_of(prefix_sums(BYTE_VALUES[part]), begin, np.flatnonzero(closes) + 1))
+        starts.append(begin + first)
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+@lru_cache(maxsize=4)
+def _power_table(base: int, size: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(size - 1, base, np.uint64)), dtype=np.uint64)
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    return _power_table(base, max(SEGMENT * 2, 1 << (count - 1).bit_length()))[:count]
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place, each times a power of its place."""
+    return np.append(np.uint64(0), np.cumsum(values * _powers(int(STEP), len(values)), dtype=np.uint64))
+
+
+def spans_of(sums: np.ndarray, begin: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Hash of the values from ``begin`` up to ``behind``, the same wherever they stand."""
+    back = _powers(BACK, len(sums))
+    return mix((sums[behind] - sums[begin]) * back[begin])
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive words, by the place of its first word (also across texts)."""
     count = len(hashes) - width + 1

@@ -11,7 +11,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
-from folioscope.llm import decontamination, jaccard_join, line_dedup, pii_crf, secret_scan, source_mixing, suffix_dedup
+from folioscope.llm import decontamination, jaccard_join, line_dedup, pii_crf, secret_scan, source_mixing, suffix_dedup, words
 from folioscope.llm.queries import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -340,3 +340,61 @@ def test_label_chances_match_every_labelling():
     want = total / total.sum(axis=1, keepdims=True)
     got, converged = field.marginals(text, tokens)
     assert converged and np.allclose(got, want, atol=1e-3)
+
+
+def passage_words(texts: list[str | None], width: int) -> list[int]:
+    lists = [re.findall("[^\x20\x09-\x0d]+", text or "") for text in texts]
+    rows = Counter(w for words in lists for w in {tuple(words[at : at + width]) for at in range(len(words) - width + 1)})
+    found = []
+    for words in lists:
+        starts = [at for at in range(len(words) - width + 1) if rows[tuple(words[at : at + width])] > 1]
+        found.append(len({place for at in starts for place in range(at, at + width)}))
+    return found
+
+
+def test_passages_of_over_50_words(spark):
+    # Passages with too few bytes for a repeat of 400, over differing white space, or twice in one row only.
+    rng = random.Random(7)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdefgé", k=rng.randint(2, 6))) for _ in range(n))
+
+    passages = [prose(n) for n in (50, 51, 55, 60)]
+    texts = [f"{prose(rng.randrange(80))} {rng.choice(passages)} {prose(rng.randrange(80))}" for _ in range(60)]
+    copy = prose(150)
+    alone = prose(54)
+    texts += [passages[2].replace(" ", "\n\t"), f"{alone} {prose(9)} {alone}", copy, copy, copy + " End", copy.upper(), None, "", "\x00 é"]
+    texts += ["la " * 90, "la " * 60, "lo " * 200]
+    rows = [(n % 66, text) for n, text in enumerate(texts)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    want = passage_words(texts, 51)
+    body = [len((text or "").encode()) for text in texts]
+    assert sorted((row.doc_id, row.n_bytes, row.n_passage_words) for row in got) == sorted(
+        (key, size, count) for (key, _), size, count in zip(rows, body, want)
+    )
+    assert max(len(passage.encode()) for passage in passages) < 400 and sum(map(bool, want[:60])) > 30 and want[61] == 0
+
+
+@pytest.mark.parametrize("segment", [7, 64, 1 << 19])
+def test_word_runs_hold_every_window_once(monkeypatch, segment):
+    monkeypatch.setattr(suffix_dedup, "WORD_SEGMENT", segment)
+    rng = random.Random(segment)
+    texts = ["", *(" ".join(rng.choices("abc", k=rng.randrange(90))) for _ in range(30)), "d" * 30, "", "e e" * 40]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    hashes, first = words.plain_words(data, offsets, words.NOT_SPACE)
+    lists = [text.split() for text in texts]
+    assert first.tolist() == np.cumsum([0, *map(len, lists)]).tolist()
+    names = {}
+    assert all(names.setdefault(value, word) == word for value, word in zip(hashes.tolist(), sum(lists, [])))
+    assert len(set(hashes.tolist())) == len(set(sum(lists, [])))
+    text, anchor, whole, start, last, fresh = suffix_dedup.word_runs(hashes, first, 20)
+    held = [(of, at) for of, begin, end in zip(text, start, last) for at in range(begin - first[of], end - first[of] + 1)]
+    assert held == [(of, at) for of, found in enumerate(lists) for at in range(len(found) - 19)]
+    assert sorted(zip(text[fresh], anchor[fresh])) == sorted(set(zip(text, anchor)))
+    owner, equal = {}, {}
+    for of, name, value, begin, end in zip(text, anchor, whole, start, last):
+        found = lists[of][begin - first[of] : end - first[of] + 20]
+        assert equal.setdefault(value, found) == found
+        for at in range(len(found) - 19):
+            assert owner.setdefault(tuple(found[at : at + 20]), name) == name
