@@ -391,7 +391,7 @@ def test_word_runs_hold_every_window_once(monkeypatch, segment):
     text, anchor, whole, start, last, fresh = suffix_dedup.word_runs(hashes, first, 20)
     held = [(of, at) for of, begin, end in zip(text, start, last) for at in range(begin - first[of], end - first[of] + 1)]
     assert held == [(of, at) for of, found in enumerate(lists) for at in range(len(found) - 19)]
-    assert sorted(zip(text[fresh], anchor[fresh])) == sorted(set(zip(text, anchor)))
+    assert sorted(zip(text[fresh], whole[fresh])) == sorted(set(zip(text, whole)))
     owner, equal = {}, {}
     for of, name, value, begin, end in zip(text, anchor, whole, start, last):
         found = lists[of][begin - first[of] : end - first[of] + 20]
